@@ -36,7 +36,7 @@ def week_start(ts: Column | str) -> Column:
 
 
 def within_week(ts: Column | str, monday: dt.date | str) -> Column:
-    """Range form of ``week_start(ts) = monday``: scans can prune on it."""
+    """Range form of ``week_start(ts) = monday``, which can be pushed down."""
     column = F.col(ts) if isinstance(ts, str) else ts
     return (column >= instant(monday)) & (column < instant(monday) + days(7))
 

@@ -36,16 +36,20 @@ def first_order_features(
     as_of,
     days: int = 30,
     ties: str = "all",
+    firsts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per matured user: attributes of the first delivered order, of the
-    user, and whether the user came back within ``days``.
+    user, and whether the user came back within ``days``. ``firsts`` hands in the
+    result of ``repeat_flags`` where it is already at hand.
 
     The first order is found again by its timestamp, whatever its status, so
     orders that share it all appear; ``ties="first"`` keeps the one with the
     lowest order_id. The join on user and time spreads even a user with a huge
     history, and only that user's orders at one instant can match.
     """
-    firsts = repeat_flags(orders, as_of, days).withColumnRenamed("repeated", f"repeated_{days}d")
+    if firsts is None:
+        firsts = repeat_flags(orders, as_of, days)
+    firsts = firsts.withColumnRenamed("repeated", f"repeated_{days}d")
     attributes = orders.select(
         "user_id",
         F.col("order_ts").alias("first_ts"),

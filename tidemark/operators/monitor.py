@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.calendar import week_start, within_week
+from tidemark.functions.calendar import days, week_start, within_week
 from tidemark.functions.numeric import (
     measured_mean,
     money_mean,
@@ -140,18 +140,19 @@ def late_drilldown(orders: DataFrame, week=None, report: DataFrame | None = None
     """Late deliveries by city in one week.
 
     With ``report``, the week is the reported one, and the result is empty unless
-    some metric breached there. A given ``week`` also prunes the scan.
+    some metric breached there. The week is a range of order times, which goes to
+    the source as a filter: as literals if it is given, else once the report is
+    known.
     """
     rows = delivered(orders)
     if week is not None:
         rows = rows.filter(within_week("order_ts", week))
     if report is not None:
-        # One distinct row at most: a report covers a single week.
-        breached = (
-            report.filter(F.col("status").isin(AMBER, RED)).select("week_start").distinct().limit(1)
-        )
-        rows = rows.withColumn("week_start", week_start("order_ts")).join(
-            F.broadcast(breached), "week_start", "left_semi"
+        breached = report.filter(F.col("status").isin(AMBER, RED))
+        monday = breached.agg(F.max("week_start").cast("timestamp_ntz")).scalar()
+        # The subquery stands alone on one side: only then is its result pushed down.
+        rows = rows.filter(
+            (F.col("order_ts") >= monday) & (F.col("order_ts") - days(7) < monday)
         )
     elif week is None:
         raise ValueError("give a week, a report, or both")

@@ -50,11 +50,11 @@ def query(build: Query) -> Query:
 
 
 def features_of(spark: SparkSession, directory: str, ties: str = "all") -> DataFrame:
+    firsts = first_orders.repeat_flags(orders_of(spark, directory), AS_OF)
+    keys = firsts.select("user_id", F.col("first_ts").alias("order_ts"))
+    orders = orders_of(spark, directory, city=True, delivery=True, only=keys)
     return drivers.first_order_features(
-        users_of(spark, directory),
-        orders_of(spark, directory, city=True, delivery=True),
-        AS_OF,
-        ties=ties,
+        users_of(spark, directory), orders, AS_OF, ties=ties, firsts=firsts
     )
 
 

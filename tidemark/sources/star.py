@@ -19,8 +19,21 @@ PROMISED_MINUTES = 32.0
 LATE_AFTER_DAYS = 1600
 
 
+# Declared, so that no job has to look at a file before a plan exists.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_extendedprice double, l_discount double, "
+    "l_shipdate timestamp_ntz",
+    "events": "ts timestamp_ntz, user_id bigint, event_type string",
+}
+
+
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{directory}/{name}.parquet")
 
 
 def _platform(user_id):
@@ -42,10 +55,17 @@ def users_of(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def orders_of(
-    spark: SparkSession, directory: str, *, city: bool = False, delivery: bool = False
+    spark: SparkSession,
+    directory: str,
+    *,
+    city: bool = False,
+    delivery: bool = False,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Orders; ``city`` adds the user's city, ``delivery`` the columns that come
-    from line items: discount, delivery_minutes and is_late."""
+    from line items: discount, delivery_minutes and is_late. ``only`` holds the
+    user_id and order_ts of the orders wanted, and thins them out before those
+    joins."""
     hour = F.make_dt_interval(F.lit(0), (F.col("o_custkey") % 24).cast("int"))
     orders = _table(spark, directory, "orders").select(
         F.col("o_orderkey").alias("order_id"),
@@ -58,6 +78,8 @@ def orders_of(
         F.substring("o_orderpriority", 1, 1).cast("int").cast("double").alias("rating"),
         F.when(F.col("o_orderkey") % 40 == 7, "cancelled").otherwise("delivered").alias("status"),
     )
+    if only is not None:
+        orders = orders.join(only, ["user_id", "order_ts"], "left_semi")
     if delivery:
         orders = orders.join(_shipments(spark, directory), "order_id", "left").withColumns(
             {

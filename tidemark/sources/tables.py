@@ -88,9 +88,9 @@ def read_table(
     """Read one table with its declared types.
 
     Columns are matched by name. A text source takes its types from the declared
-    schema while it is parsed, so nothing is inferred from the rows; a
-    self-describing source is cast where its types differ. Columns that the
-    source lacks are left out.
+    schema while it is parsed, so nothing is inferred from the rows, and every
+    file's header has to agree with the first one's; a self-describing source is
+    cast where its types differ. Columns that the source lacks are left out.
     """
     declared = {field.name: field for field in TABLES[name].fields}
     if fmt == "csv":
@@ -105,6 +105,7 @@ def read_table(
         source = (
             spark.read.schema(in_file_order)
             .option("header", True)
+            .option("enforceSchema", False)
             .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
             .option("mode", "FAILFAST")
             .csv(path)
