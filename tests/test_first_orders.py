@@ -45,6 +45,16 @@ def test_first_order_is_the_first_delivered_one(make):
     assert row["repeated"] == 0
 
 
+def test_slots_are_cut_alike_before_1970(make):
+    orders = make.orders(
+        {"user_id": 1, "order_ts": "1969-12-20 12:00:00"},
+        {"user_id": 1, "order_ts": "1970-01-25 12:00:00"},
+        {"user_id": 2, "order_ts": "1969-12-20 12:00:00"},
+        {"user_id": 2, "order_ts": "1970-01-19 12:00:00"},
+    )
+    assert flags(repeat_flags(orders, "2026-06-30")) == {1: 0, 2: 1}
+
+
 @pytest.mark.parametrize("seed", range(4))
 @pytest.mark.parametrize("days", [1, 7, 30])
 def test_repeat_flags_match_brute_force(make, seed, days):
@@ -61,7 +71,7 @@ def test_repeat_window_takes_whole_days_only(make):
             repeat_flags(orders, "2026-06-30", bad)
 
 
-def test_users_are_windowed_only_after_a_daily_rollup(make):
+def test_users_are_windowed_only_after_a_rollup(make):
     plan = plan_of(
         repeat_flags(make.orders({"user_id": 1, "order_ts": "2026-01-01 10:00:00"}), "2026-06-30")
     )
@@ -72,11 +82,13 @@ def test_users_are_windowed_only_after_a_daily_rollup(make):
 
 @pytest.mark.parametrize("unit", ["hour", "day"])
 @pytest.mark.parametrize("seed", range(3))
-def test_order_numbers_match_brute_force(make, seed, unit):
+@pytest.mark.parametrize("heavy_orders", [0, 5, 50, 1000])
+def test_order_numbers_match_brute_force(make, seed, unit, heavy_orders):
     history = brute.history(seed)
     bare = make.orders(*history).drop("order_seq")
-    got = {row["order_id"]: row["order_seq"] for row in enrich_orders(bare, unit=unit).collect()}
-    assert got == brute.sequence(history)
+    numbered = enrich_orders(bare, heavy_orders=heavy_orders, unit=unit).collect()
+    assert len(numbered) == len(history)
+    assert {row["order_id"]: row["order_seq"] for row in numbered} == brute.sequence(history)
 
 
 def test_lateness_is_derived_with_a_grace_period(make):

@@ -3,12 +3,12 @@
 A plain window over ``user_id`` would sort all orders of a user in one task. The
 helpers here first roll a history up to calendar grain (which map-side partial
 aggregation already does), so what reaches a per-user window is bounded by the
-number of days or months, however many orders one user holds.
+number of time slots, however many orders one user holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import day_of, days, instant
@@ -22,28 +22,46 @@ def delivered(orders: DataFrame) -> DataFrame:
     return orders.filter(F.col("status") == "delivered")
 
 
+def active_users(orders: DataFrame, period: Column, name: str) -> DataFrame:
+    """``name`` and ``active_users``: distinct users per ``period``.
+
+    Next to other aggregates, a distinct count would drag all their buffers
+    through a shuffle by user; on its own it moves two narrow columns, and the
+    other aggregates shrink to one row per period before they move at all.
+    """
+    return (
+        orders.select(period.alias(name), "user_id")
+        .distinct()
+        .groupBy(name)
+        .agg(F.count("user_id").alias("active_users"))
+    )
+
+
 def repeat_flags(orders: DataFrame, as_of, window_days: int = 30) -> DataFrame:
     """user_id, first_ts, repeated for users whose first delivered order is at
     least ``window_days`` old at ``as_of``.
 
     ``repeated`` is 1 if another delivered order came later than the first, and
-    at most ``window_days`` after it. The first and last time of each day decide
-    that exactly for whole days: on the first day the latest time tells, on the
-    closing day the earliest, and on the days between any order counts.
+    at most ``window_days`` after it. Histories are cut into slots of
+    ``window_days`` days; the earliest and latest time of each slot decide that
+    exactly. In the slot of the first order, every later time is near enough, so
+    the latest tells; in the next slot every time is later, so the earliest tells.
     """
     if window_days != int(window_days) or window_days < 1:
         raise ValueError("window_days must be a whole number of days, 1 or more")
-    window = days(int(window_days))
-    daily = (
+    window_days = int(window_days)
+    window = days(window_days)
+    day = F.unix_date(day_of("order_ts"))
+    slots = (
         delivered(orders)
-        .groupBy("user_id", day_of("order_ts").alias("day"))
+        .groupBy("user_id", F.floor(day / window_days).alias("slot"))
         .agg(F.min("order_ts").alias("earliest"), F.max("order_ts").alias("latest"))
     )
     inside = (F.col("latest") > F.col("first_ts")) & (
         F.col("earliest") <= F.col("first_ts") + window
     )
     return (
-        daily.withColumn("first_ts", F.min("earliest").over(by_user()))
+        slots.withColumn("first_ts", F.min("earliest").over(by_user()))
         .filter(F.col("first_ts") <= instant(as_of) - window)
         .groupBy("user_id", "first_ts")
         .agg(F.max(F.when(inside, 1).otherwise(0)).alias("repeated"))
@@ -64,35 +82,53 @@ def first_n_orders(orders: DataFrame, n: int) -> DataFrame:
 
 
 def enrich_orders(
-    orders: DataFrame, grace_minutes: float = 10, unit: str = "hour"
+    orders: DataFrame,
+    grace_minutes: float = 10,
+    heavy_orders: int = 1_000_000,
+    unit: str = "hour",
 ) -> DataFrame:
     """Add ``order_seq`` (1 = first placed order) and ``is_late`` where absent.
 
-    An order's number is the count of the user's orders in earlier hours plus its
-    place within its own hour. Only the hourly counts meet per user; the orders
-    themselves are shuffled by user and hour.
+    Users with more than ``heavy_orders`` orders are numbered by time slot, see
+    :func:`_numbered_by_slot`; a window per user serves all others in one shuffle.
+    The list of heavy users is broadcast: it cannot be longer than the number of
+    orders divided by ``heavy_orders``.
     """
     if "is_late" not in orders.columns:
         overrun = F.col("delivery_minutes") - F.col("promised_minutes")
         orders = orders.withColumn("is_late", (overrun > grace_minutes).cast("int"))
     if "order_seq" in orders.columns:
         return orders
-    slotted = orders.withColumn("slot", _slot("order_ts", unit))
-    earlier = F.sum("in_slot").over(
-        by_user().orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    heavy = F.broadcast(
+        orders.groupBy("user_id")
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("n") > heavy_orders)
+        .select("user_id")
     )
+    place = F.row_number().over(by_user().orderBy("order_ts", "order_id"))
+    light = orders.join(heavy, "user_id", "left_anti").withColumn("order_seq", place)
+    slotted = _numbered_by_slot(orders.join(heavy, "user_id", "left_semi"), unit)
+    return light.unionByName(slotted).select(*orders.columns, "order_seq")
+
+
+def _numbered_by_slot(orders: DataFrame, unit: str) -> DataFrame:
+    """Number each user's orders without bringing them together: the count of the
+    user's orders in earlier slots, plus the place within the own slot. Only the
+    counts per slot meet per user. The places come before the join, which then
+    finds both sides sorted."""
+    slotted = orders.withColumn("slot", _slot("order_ts", unit))
+    in_slot = Window.partitionBy("user_id", "slot").orderBy("order_ts", "order_id")
+    before = by_user().orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         slotted.groupBy("user_id", "slot")
-        .agg(F.count("*").alias("in_slot"))
-        .select("user_id", "slot", F.coalesce(earlier, F.lit(0)).alias("earlier"))
-    )
-    place = F.row_number().over(
-        Window.partitionBy("user_id", "slot").orderBy("order_ts", "order_id")
+        .agg(F.count("*").alias("n"))
+        .select("user_id", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     )
     return (
-        slotted.join(offsets, ["user_id", "slot"])
-        .withColumn("order_seq", (F.col("earlier") + place).cast("int"))
-        .select(*orders.columns, "order_seq")
+        slotted.withColumn("place", F.row_number().over(in_slot))
+        .join(offsets, ["user_id", "slot"])
+        .withColumn("order_seq", (F.col("earlier") + F.col("place")).cast("int"))
+        .drop("slot", "place", "earlier")
     )
 
 

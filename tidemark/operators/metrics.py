@@ -14,25 +14,25 @@ from tidemark.functions.numeric import (
     ratio,
     rounded_if,
 )
-from tidemark.operators.first_orders import delivered, repeat_flags
+from tidemark.operators.first_orders import active_users, delivered, repeat_flags
 
 LAKH = 100000.0
 
 
 def headline(users: DataFrame, orders: DataFrame, rounded: bool = True) -> DataFrame:
     """One row of key figures over delivered orders."""
-    registered = users.agg(F.count("*").alias("registered_users")).scalar()
+    registered = users.agg(F.count("*")).scalar()
+    ordering = delivered(orders).select("user_id").distinct().agg(F.count("user_id")).scalar()
     totals = (
         delivered(orders)
         .agg(
-            F.count_distinct("user_id").alias("ordering_users"),
             F.count("*").alias("orders"),
             F.sum("gmv").cast("double").alias("gmv"),
             money_mean("gmv").alias("aov"),
             percent_of_flags("is_late").alias("late_pct"),
             F.avg("rating").alias("rating"),
         )
-        .withColumn("registered_users", registered)
+        .withColumns({"registered_users": registered, "ordering_users": ordering})
     )
     return totals.select(
         "registered_users",
@@ -62,17 +62,18 @@ def repeat_rate(orders: DataFrame, as_of, days: int = 30, rounded: bool = True)
 
 def monthly_trend(orders: DataFrame) -> DataFrame:
     """Delivered orders by calendar month."""
+    users = active_users(delivered(orders), month_start("order_ts"), "month")
     return (
         delivered(orders)
         .groupBy(month_start("order_ts").alias("month"))
         .agg(
-            F.count_distinct("user_id").alias("active_users"),
             F.count("*").alias("orders"),
             F.sum("gmv").cast("double").alias("gmv"),
             money_mean("gmv").alias("aov"),
             percent_of_flags("is_late").alias("late_pct"),
             percent(F.sum("discount"), F.sum("gmv")).alias("discount_pct"),
         )
+        .join(users, "month")
         .select(
             month_label("month").alias("month"),
             "active_users",

@@ -15,38 +15,38 @@ from tidemark.functions.numeric import (
     percent,
     percent_of_flags,
 )
-from tidemark.operators.first_orders import delivered
+from tidemark.operators.first_orders import active_users, delivered
 from tidemark.operators.funnel import funnel_weekly
 
 
 @dataclass(frozen=True)
 class Metric:
-    """A weekly metric. ``good`` is the direction that is good; ``amber`` and
-    ``red`` are relative moves the other way, against the trailing mean."""
+    """A weekly metric: an aggregate over delivered orders, or a named source of
+    its own. ``good`` is the direction that is good; ``amber`` and ``red`` are
+    relative moves the other way, against the trailing mean."""
 
     label: str
-    value: Column | None
+    value: Column | str
     good: str
     amber: float
     red: float
 
 
-FUNNEL_METRIC = "Session→order conv (%)"
+ACTIVE_USERS, FUNNEL = "active users", "funnel"
 
 
 def default_metrics() -> list[Metric]:
-    """The tracked metrics. Labels, directions and thresholds are fixed values.
-    The last one has no order expression: it comes from the session funnel."""
+    """The tracked metrics. Labels, directions and thresholds are fixed values."""
     return [
         Metric("Orders", F.count("*"), "up", 0.05, 0.10),
-        Metric("Active users", F.count_distinct("user_id"), "up", 0.05, 0.10),
+        Metric("Active users", ACTIVE_USERS, "up", 0.05, 0.10),
         Metric("GMV (₹)", F.sum("gmv"), "up", 0.05, 0.10),
         Metric("AOV (₹)", money_mean("gmv"), "up", 0.03, 0.06),
         Metric("Late-delivery rate (%)", percent_of_flags("is_late"), "down", 0.10, 0.20),
         Metric("Avg delivery (min)", measured_mean("delivery_minutes"), "down", 0.05, 0.10),
         Metric("Avg rating", F.avg("rating"), "up", 0.02, 0.04),
         Metric("Discount % of GMV", percent(F.sum("discount"), F.sum("gmv")), "down", 0.10, 0.20),
-        Metric(FUNNEL_METRIC, None, "up", 0.05, 0.10),
+        Metric("Session→order conv (%)", FUNNEL, "up", 0.05, 0.10),
     ]
 
 
@@ -62,18 +62,32 @@ def weekly_metrics(
     first_step: int = 1,
     last_step: int = 6,
 ) -> DataFrame:
-    """metric, week_start, value: all order metrics from one pass over delivered
-    orders, and the funnel metric if ``events`` are given."""
-    of_orders = [m for m in metrics or default_metrics() if m.value is not None]
-    wide = (
+    """metric, week_start, value. All aggregates over orders come from one pass
+    that keeps one row per week; active users are counted beside it. The funnel
+    takes part if ``events`` are given."""
+    registry = metrics or default_metrics()
+    aggregates = [m for m in registry if isinstance(m.value, Column)]
+    week = week_start("order_ts").alias("week_start")
+    long = (
         delivered(orders)
-        .groupBy(week_start("order_ts").alias("week_start"))
-        .agg(*[m.value.cast("double").alias(m.label) for m in of_orders])
+        .groupBy(week)
+        .agg(*[m.value.cast("double").alias(m.label) for m in aggregates])
+        .unpivot("week_start", [f"`{m.label}`" for m in aggregates], "metric", "value")
     )
-    long = wide.unpivot("week_start", [f"`{m.label}`" for m in of_orders], "metric", "value")
-    if events is not None:
-        weekly_funnel = funnel_weekly(events, first_step, last_step)
-        long = long.unionByName(weekly_funnel.withColumn("metric", F.lit(FUNNEL_METRIC)))
+    for metric in registry:
+        if isinstance(metric.value, Column):
+            continue
+        if metric.value == ACTIVE_USERS:
+            users = active_users(delivered(orders), week_start("order_ts"), "week_start")
+            one = users.withColumnRenamed("active_users", "value")
+        elif metric.value == FUNNEL and events is not None:
+            one = funnel_weekly(events, first_step, last_step)
+        else:
+            continue
+        labelled = one.select(
+            F.lit(metric.label).alias("metric"), "week_start", F.col("value").cast("double")
+        )
+        long = long.unionByName(labelled)
     return long.select("metric", "week_start", "value")
 
 
