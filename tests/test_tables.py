@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 
 from conftest import one, rows
+from tidemark.__main__ import main
 from tidemark.plans.report import full_report, weekly_run
 from tidemark.sources import scratch
 from tidemark.sources.results import write_results
@@ -96,6 +97,23 @@ def test_parked_tables_lie_in_the_shared_folder(spark):
     assert root in parked.inputFiles()[0]
 
 
+class Unset:
+    """A session without a shared folder."""
+
+    def __init__(self, master):
+        self.master = master
+        self.conf = self
+
+    def get(self, key, default=None):
+        return self.master if key == "spark.master" else default
+
+
+def test_only_local_sessions_get_a_temporary_folder():
+    assert scratch.scratch_root(Unset("local[2]")) == scratch.scratch_root(Unset("local[8]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch_root(Unset("yarn"))
+
+
 def test_full_report_and_weekly_run(spark, csv_folder, tmp_path):
     tables = read_tables(spark, str(csv_folder), "csv")
     report = full_report(tables, "2026-06-30")
@@ -110,3 +128,11 @@ def test_full_report_and_weekly_run(spark, csv_folder, tmp_path):
     assert rows(run["drilldown"]) == [
         {"city": "Pune", "late_rate_pct": 0.0, "avg_min": 40.5, "orders": 1}
     ]
+
+
+def test_command_line(spark, csv_folder, tmp_path):
+    out = str(tmp_path / "out")
+    common = [str(csv_folder), out, "--format", "csv", "--out-format", "json"]
+    assert main(["weekly", *common, "--week", "2026-06-01"]) == 1
+    assert spark.read.json(f"{out}/drilldown").first()["city"] == "Pune"
+    assert main(["weekly", *common, "--week", "2020-01-06"]) == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -20,9 +21,12 @@ def scratch_root(spark: SparkSession) -> str:
     master = spark.conf.get("spark.master", "local")
     if not master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
