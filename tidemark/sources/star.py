@@ -36,21 +36,24 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{directory}/{name}.parquet")
 
 
-def _platform(user_id):
-    return F.when(user_id % 7 < 5, "Android").otherwise("iOS")
+def _platform(key: str) -> str:
+    return f"IF({key} % 7 < 5, 'Android', 'iOS') AS platform"
 
 
 def users_of(spark: SparkSession, directory: str) -> DataFrame:
-    customers = _table(spark, directory, "customer")
     nations = _table(spark, directory, "nation").join(
-        _table(spark, directory, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+        _table(spark, directory, "region"), F.expr("n_regionkey = r_regionkey")
     )
-    return customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("c_custkey").alias("user_id"),
-        F.col("r_name").alias("city"),
-        _platform(F.col("c_custkey")).alias("platform"),
-        F.col("c_mktsegment").alias("acquisition_channel"),
-        F.when(F.col("c_acctbal") > 7500, 1).otherwise(0).alias("is_member"),
+    return (
+        _table(spark, directory, "customer")
+        .join(nations, F.expr("c_nationkey = n_nationkey"))
+        .selectExpr(
+            "c_custkey AS user_id",
+            "r_name AS city",
+            _platform("c_custkey"),
+            "c_mktsegment AS acquisition_channel",
+            "IF(c_acctbal > 7500, 1, 0) AS is_member",
+        )
     )
 
 
@@ -66,75 +69,79 @@ def orders_of(
     from line items: discount, delivery_minutes and is_late. ``only`` holds the
     user_id and order_ts of the orders wanted, and thins them out before those
     joins."""
-    hour = F.make_dt_interval(F.lit(0), (F.col("o_custkey") % 24).cast("int"))
-    orders = _table(spark, directory, "orders").select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("user_id"),
-        F.col("o_orderdate").alias("placed_on"),
-        (F.col("o_orderdate") + hour).alias("order_ts"),
-        _platform(F.col("o_custkey")).alias("platform"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("gmv"),
-        F.lit(PROMISED_MINUTES).alias("promised_minutes"),
-        F.substring("o_orderpriority", 1, 1).cast("int").cast("double").alias("rating"),
-        F.when(F.col("o_orderkey") % 40 == 7, "cancelled").otherwise("delivered").alias("status"),
+    columns = [
+        "order_id",
+        "user_id",
+        "order_ts",
+        "platform",
+        "gmv",
+        "promised_minutes",
+        "rating",
+        "status",
+    ]
+    orders = _table(spark, directory, "orders").selectExpr(
+        "o_orderkey AS order_id",
+        "o_custkey AS user_id",
+        "o_orderdate AS placed_on",
+        "o_orderdate + make_dt_interval(0, int(o_custkey % 24)) AS order_ts",
+        _platform("o_custkey"),
+        "CAST(o_totalprice AS DECIMAL(18,2)) AS gmv",
+        f"double({PROMISED_MINUTES}) AS promised_minutes",
+        "double(substring(o_orderpriority, 1, 1)) AS rating",
+        "IF(o_orderkey % 40 = 7, 'cancelled', 'delivered') AS status",
     )
     if only is not None:
         orders = orders.join(only, ["user_id", "order_ts"], "left_semi")
     if delivery:
-        orders = orders.join(_shipments(spark, directory), "order_id", "left").withColumns(
-            {
-                "delivery_minutes": F.lit(2.0)
-                + F.date_diff("last_ship", "placed_on").cast("double") / 40.0,
-                "is_late": (F.date_diff("last_ship", "placed_on") > LATE_AFTER_DAYS).cast("int"),
-            }
-        )
-        orders = orders.drop("last_ship")
+        orders = orders.join(_shipments(spark, directory), "order_id", "left")
+        columns += [
+            "discount",
+            "2D + datediff(last_ship, placed_on) / 40D AS delivery_minutes",
+            f"int(datediff(last_ship, placed_on) > {LATE_AFTER_DAYS}) AS is_late",
+        ]
     if city:
         cities = users_of(spark, directory).select("user_id", "city")
         orders = orders.join(cities, "user_id", "left")
-    return orders.drop("placed_on")
+        columns.append("city")
+    return orders.selectExpr(*columns)
 
 
 def _shipments(spark: SparkSession, directory: str) -> DataFrame:
     """Last shipping date and exact discount per order. Cents times hundredths
     are summed as longs, ten-thousandths of the currency unit."""
-    cents = F.rint(F.col("l_extendedprice") * 100.0).cast("long")
-    hundredths = F.rint(F.col("l_discount") * 100.0).cast("long")
+    units = F.expr("sum(bigint(rint(l_extendedprice * 100D)) * bigint(rint(l_discount * 100D)))")
     return (
         _table(spark, directory, "lineitem")
         .groupBy(F.col("l_orderkey").alias("order_id"))
-        .agg(F.max("l_shipdate").alias("last_ship"), F.sum(cents * hundredths).alias("units"))
-        .select(
+        .agg(F.max("l_shipdate").alias("last_ship"), units.alias("units"))
+        .selectExpr(
             "order_id",
             "last_ship",
-            (F.col("units").cast("decimal(20,0)") * F.lit("0.0001").cast("decimal(4,4)"))
-            .cast("decimal(18,4)")
-            .alias("discount"),
+            "CAST(CAST(units AS DECIMAL(20,0)) * 0.0001BD AS DECIMAL(18,4)) AS discount",
         )
     )
 
 
 def events_of(spark: SparkSession, directory: str) -> DataFrame:
-    step = F.array_position(F.array(*map(F.lit, FUNNEL_STEPS)), F.col("event_type"))
+    steps = ", ".join(f"'{name}'" for name in FUNNEL_STEPS)
     return (
         _table(spark, directory, "events")
-        .filter(F.col("event_type").isin(*FUNNEL_STEPS))
-        .select(
-            (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("session_id"),
+        .filter(f"event_type IN ({steps})")
+        .selectExpr(
+            "user_id * 100 + dayofmonth(ts) AS session_id",
             "user_id",
-            F.col("ts").alias("event_ts"),
-            F.col("event_type").alias("event_name"),
-            step.cast("int").alias("step_no"),
-            _platform(F.col("user_id")).alias("platform"),
+            "ts AS event_ts",
+            "event_type AS event_name",
+            f"int(array_position(array({steps}), event_type)) AS step_no",
+            _platform("user_id"),
         )
     )
 
 
 def variants_of(spark: SparkSession, directory: str) -> DataFrame:
     """Every customer's arm: even keys are control."""
-    return _table(spark, directory, "customer").select(
-        F.col("c_custkey").alias("user_id"),
-        F.when(F.col("c_custkey") % 2 == 0, "control").otherwise("treatment").alias("variant"),
+    return _table(spark, directory, "customer").selectExpr(
+        "c_custkey AS user_id", "IF(c_custkey % 2 = 0, 'control', 'treatment') AS variant"
     )
 
 
