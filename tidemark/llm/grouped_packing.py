@@ -108,14 +108,30 @@ class _Open:
         return found, count, contents
 
 
+def _draw(supply: list[list[int]], count: int, end: int) -> list[list[int]]:
+    """Take ``count`` pieces off the longer (0) or shorter (-1) end of [length, pieces] pairs."""
+    drawn = []
+    while count:
+        n, there = supply[end]
+        step = min(count, there)
+        drawn.append([n, step])
+        count -= step
+        if step == there:
+            supply.pop(end)
+        else:
+            supply[end][1] -= step
+    return drawn
+
+
 def plan_sequences(histogram: dict[int, int], capacity: int, groups: int = 40, large: float = 1 / 8) -> np.ndarray:
     """Rows (length, first rank, pieces, first sequence, pieces per sequence, offset).
 
     Lengths over ``large * capacity`` are ranked and put into ``groups`` groups with
     equally many pieces, each rounded up to its group's longest. The best configurations
     of these few sizes are made up as often as whole multiples allow, and actual lengths
-    take the rounded ones' places, longest first. All other pieces go, longest first, to
-    the fullest sequence that has room.
+    take the rounded ones' places, longest first. The shortest place of a configuration
+    stays open: its pieces, and all small ones, go longest first to the fullest sequence
+    that has room, so that no room is lost to the rounding.
     """
     left = {n: c for n, c in histogram.items() if c > 0}
     open_ = _Open(capacity)
@@ -145,21 +161,14 @@ def plan_sequences(histogram: dict[int, int], capacity: int, groups: int = 40, l
             times = int(min([times + 1e-6, *(sum(c for _, c in supply[g]) // pattern[g] for g in np.flatnonzero(pattern))]))
             if times <= 0 or not pattern.any():
                 continue
-            places = []
-            for g in np.flatnonzero(pattern).tolist():
-                for _ in range(int(pattern[g])):
-                    need, place = times, []
-                    while need:
-                        n, count = supply[g][0]
-                        step = min(need, count)
-                        place.append([n, step])
-                        need -= step
-                        left[n] -= step
-                        if step == count:
-                            supply[g].pop(0)
-                        else:
-                            supply[g][0][1] -= step
-                    places.append(place)
+            slots = np.repeat(np.flatnonzero(pattern), pattern[np.flatnonzero(pattern)])
+            slots = slots[np.argsort(-sizes[slots], kind="stable")].tolist()
+            places = [_draw(supply[g], times, 0) for g in slots[: max(1, len(slots) - 1)]]
+            for place in places:
+                for n, count in place:
+                    left[n] -= count
+            for g in slots[len(places) :]:  # its pieces stay with the rest, for the closest fit
+                _draw(supply[g], times, -1)
             while places[0]:  # stretches of sequences in which every place holds one length
                 step = min(place[0][1] for place in places)
                 held: dict[int, int] = {}
@@ -199,6 +208,20 @@ def plan_sequences(histogram: dict[int, int], capacity: int, groups: int = 40, l
     return np.asarray(sorted(plan), dtype=np.int64).reshape(-1, 6)
 
 
+def best_plan(histogram: dict[int, int], capacity: int, groups: int = 40) -> np.ndarray:
+    """The plan with the fewest sequences over several bounds between small and large. With few
+    small pieces about, a low bound wins; with many, a high one."""
+    least, best = -(-sum(n * c for n, c in histogram.items()) // capacity), None
+    for large in (1 / 2, 2 / 5, 1 / 4, 1 / 8):
+        plan = plan_sequences(histogram, capacity, groups, large)
+        used = int((plan[:, 3] + plan[:, 2] // plan[:, 4]).max()) if len(plan) else 0
+        if best is None or used < best[0]:
+            best = used, plan
+        if used == least:
+            break
+    return best[1]
+
+
 def _place(batches, plan):
     table = plan.value
     keys = table[:, 0] << 48 | table[:, 1]
@@ -226,7 +249,7 @@ def pack(cut: DataFrame, capacity: int = 2048, groups: int = 40) -> DataFrame:
     tasks_import(spark)
     counts = park(cut.groupBy("task", "length").agg((F.max("nth") + 1).alias("n")), "length-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(plan_sequences(histogram, capacity, groups))
+    plan = spark.sparkContext.broadcast(best_plan(histogram, capacity, groups))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = cut.join(bases, ["task", "length"]).select(
