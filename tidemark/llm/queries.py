@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitplane_store, grouped_packing, separator_scan
+from tidemark.llm import benchmark_filter, bitplane_store, grouped_packing, oracles, separator_scan
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_OF_TEXT = 49407  # <|endoftext|> of that file
@@ -42,10 +42,24 @@ def op7_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
 
 
+def op10_benchmark_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold windows of 13 words of benchmark items, and how much of them."""
+    found = benchmark_filter.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        benchmark_filter.contaminated().alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op5_bitplane_ids": op5_bitplane_ids,
     "op7_grouped_packing": op7_grouped_packing,
+    "op10_benchmark_filter": op10_benchmark_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_benchmark_filter": oracles.OP10}
