@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmark_filter, bitplane_store, grouped_packing, oracles, separator_scan
+from tidemark.llm import benchmark_filter, bitplane_store, grouped_packing, oracles, separator_scan, toxic_segments
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_OF_TEXT = 49407  # <|endoftext|> of that file
@@ -42,6 +42,14 @@ def op7_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
 
 
+def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxic_segments.score(docs, toxic_segments.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = (toxic_segments.fold() == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op10_benchmark_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold windows of 13 words of benchmark items, and how much of them."""
     found = benchmark_filter.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13)
@@ -59,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op5_bitplane_ids": op5_bitplane_ids,
     "op7_grouped_packing": op7_grouped_packing,
+    "op9_toxic_segments": op9_toxic_segments,
     "op10_benchmark_filter": op10_benchmark_filter,
 }
 
