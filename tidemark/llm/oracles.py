@@ -28,3 +28,80 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN counted USING (rid) LEFT JOIN listed USING (rid)
 """
+
+#: host/path of the rules of op8, longest first, and what they say
+RULES = (("block", "example.org/en/1"), ("block", "example.org/es/"), ("allow", "com/fr/"), ("block", "com/de/"), ("allow", "org/"))
+
+
+def _fits(text: str) -> str:
+    host, _, path = text.partition("/")
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}'))"
+
+
+def _strength(source: str, group: str, mean: str) -> str:
+    return f"""SELECT {group}, CASE WHEN icc > 0 AND icc < 1 THEN greatest(1.0, least(1000.0, 1 / icc - 1)) ELSE 1000.0 END AS strength
+  FROM (
+    SELECT {group}, (sum(n * (bad / n - {mean}) ** 2) - (count(*) - 1) * first({mean}) * (1 - first({mean})))
+      / nullif((sum(n) - sum(n * n) / sum(n) - count(*) + 1) * first({mean}) * (1 - first({mean})), 0) AS icc
+    FROM {source} WHERE n > 0 GROUP BY {group}
+  )"""
+
+
+OP8 = f"""
+WITH placed AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), known AS (
+  SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
+), hosts AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS two,
+    array_to_string(string_split(host, '.')[-3:], '.') AS three, string_split(host, '.')[-1] AS one
+  FROM placed LEFT JOIN known ON doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})', 1) AS BIGINT) GROUP BY host
+), named AS (
+  SELECT host, n, bad, CASE WHEN shared THEN two ELSE one END AS suffix, CASE WHEN shared THEN three ELSE two END AS domain
+  FROM (SELECT *, two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'example.com', 'example.net', 'example.org') AS shared FROM hosts)
+), domains AS (
+  SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY ALL
+), suffixes AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM domains) AS share, 1 AS everything FROM domains GROUP BY suffix
+), s0 AS (
+  {_strength("suffixes", "everything", "share")}
+), s1 AS (
+  SELECT suffix, (bad + coalesce(strength, 1000) * share) / (n + coalesce(strength, 1000)) AS suffix_share FROM suffixes LEFT JOIN s0 USING (everything)
+), d1 AS (
+  SELECT * FROM domains JOIN s1 USING (suffix)
+), s2 AS (
+  {_strength("d1", "suffix", "suffix_share")}
+), d2 AS (
+  SELECT domain, (bad + coalesce(strength, 1000) * suffix_share) / (n + coalesce(strength, 1000)) AS domain_share FROM d1 LEFT JOIN s2 USING (suffix)
+), h1 AS (
+  SELECT * FROM named JOIN d2 USING (domain)
+), s3 AS (
+  {_strength("h1", "suffix", "domain_share")}
+), posterior AS (
+  SELECT host, n + coalesce(strength, 1000) AS size, (bad + coalesce(strength, 1000) * domain_share) / (n + coalesce(strength, 1000)) AS mean
+  FROM h1 LEFT JOIN s3 USING (suffix)
+), bounds AS (
+  SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (size + 1)) AS bound FROM posterior
+), ruled AS (
+  SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(t)} THEN '{t}'" for _, t in RULES)} END AS rule FROM placed
+)
+SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{t}' THEN '{v}'" for v, t in RULES)}
+  WHEN bound > 0.25 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN bounds USING (host)
+"""
+
+OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(CAST(q.w AS DOUBLE[]), CAST(v.w AS DOUBLE[])) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.w) = len(v.w)
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""

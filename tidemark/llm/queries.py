@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmark_filter, bitplane_store, grouped_packing, oracles, separator_scan, toxic_segments
+from tidemark.llm import benchmark_filter, bitplane_store, grouped_packing, histogram_topk, host_reputation, oracles, separator_scan, toxic_segments
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_OF_TEXT = 49407  # <|endoftext|> of that file
@@ -31,6 +31,12 @@ def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(counted, ["path", "doc_no"]).select("doc_id", shard, "doc_no", "start", "n_tokens", "ended")
 
 
+def op4_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors, by integer inner product, for every twentieth vector."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", histogram_topk.quantized("embedding").alias("vector"))
+    return histogram_topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from bit-plane files of all ids."""
     files = bitplane_store.write_ids(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
@@ -42,6 +48,24 @@ def op7_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
 
 
+def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host of every page, and whether the labelled document that its url numbers is toxic or of low quality."""
+    number = F.regexp_extract(host_reputation.path_of(), "/([0-9]{1,18})", 1)
+    pages = table(spark, sf_dir, "pages").select(
+        host_reputation.host_of().alias("host"), F.when(number != "", number.cast("long")).alias("doc_id")
+    )
+    bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)
+    known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(bad).alias("bad"))
+    return pages.join(known, "doc_id", "left").select("host", "bad")
+
+
+def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allow or block every page by the rules, else by its host's reputation."""
+    outcomes = page_outcomes(spark, sf_dir)
+    judged = host_reputation.judge(table(spark, sf_dir, "pages"), outcomes, oracles.RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -65,10 +89,16 @@ def op10_benchmark_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
+    "op4_histogram_topk": op4_histogram_topk,
     "op5_bitplane_ids": op5_bitplane_ids,
     "op7_grouped_packing": op7_grouped_packing,
+    "op8_host_reputation": op8_host_reputation,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_benchmark_filter": op10_benchmark_filter,
 }
 
-ORACLES: dict[str, str] = {"op10_benchmark_filter": oracles.OP10}
+ORACLES: dict[str, str] = {
+    "op4_histogram_topk": oracles.OP4,
+    "op8_host_reputation": oracles.OP8,
+    "op10_benchmark_filter": oracles.OP10,
+}
