@@ -105,3 +105,17 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+OP2 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS bits FROM pages
+), d AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(
+      list_transform(range(5), lambda j: get_bit(bits, CAST(5 * i + j AS INTEGER)) * CAST(2 ** (4 - j) AS INTEGER)))::BIGINT, 1)), '') AS payload_digest
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmark_filter, bitplane_store, grouped_packing, histogram_topk, host_reputation, oracles, separator_scan, toxic_segments
+from tidemark.llm import arc_convert, benchmark_filter, bitplane_store, grouped_packing, histogram_topk, host_reputation, oracles, separator_scan, toxic_segments
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_OF_TEXT = 49407  # <|endoftext|> of that file
@@ -31,6 +31,14 @@ def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(counted, ["path", "doc_no"]).select("doc_id", shard, "doc_no", "start", "n_tokens", "ended")
 
 
+def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as ARC archives, converted to WARC and read back."""
+    archives = arc_convert.write_arc(table(spark, sf_dir, "pages"))
+    records = arc_convert.park(arc_convert.survey(archives), "arc-records")
+    warcs = arc_convert.convert(archives, records, least=0)
+    return arc_convert.read_warc(warcs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of all vectors, by integer inner product, for every twentieth vector."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", histogram_topk.quantized("embedding").alias("vector"))
@@ -89,6 +97,7 @@ def op10_benchmark_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
+    "op2_arc_to_warc": op2_arc_to_warc,
     "op4_histogram_topk": op4_histogram_topk,
     "op5_bitplane_ids": op5_bitplane_ids,
     "op7_grouped_packing": op7_grouped_packing,
@@ -98,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_arc_to_warc": oracles.OP2,
     "op4_histogram_topk": oracles.OP4,
     "op8_host_reputation": oracles.OP8,
     "op10_benchmark_filter": oracles.OP10,
