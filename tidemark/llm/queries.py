@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import arc_convert, benchmark_filter, bitplane_store, grouped_packing, histogram_topk, host_reputation, oracles, separator_scan, toxic_segments
+from tidemark.llm import arc_convert, benchmark_filter, bitplane_store, grouped_packing, histogram_topk, host_reputation, jaccard_join, oracles, separator_scan, toxic_segments
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_OF_TEXT = 49407  # <|endoftext|> of that file
@@ -51,6 +51,12 @@ def op5_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane_store.read_documents(files)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by a Jaccard similarity of 0.8 of their 5-word shingles."""
+    found = jaccard_join.join_documents(table(spark, sf_dir, "documents"), width=5, share=80)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return grouped_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_arc_to_warc": op2_arc_to_warc,
     "op4_histogram_topk": op4_histogram_topk,
     "op5_bitplane_ids": op5_bitplane_ids,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_grouped_packing": op7_grouped_packing,
     "op8_host_reputation": op8_host_reputation,
     "op9_toxic_segments": op9_toxic_segments,
