@@ -119,3 +119,37 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
 FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
 """
+
+OP3 = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+), l AS (
+  SELECT rid, doc_id, pos, list_filter(string_split(translate(ls[pos], '123456789' || chr(9) || chr(13) || chr(12) || chr(11), '000000000    '), ' '), lambda x: x <> '') AS t
+  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS pos FROM d)
+), leaved AS (
+  SELECT rid, doc_id, pos, t, list_transform(t[1:4], lambda x: CASE WHEN contains(x, '0') THEN '<*>' ELSE x END) AS head, len(t) AS n,
+    greatest(1, CAST(ceil((len(t) - 4) / 6) AS BIGINT)) AS w
+  FROM l WHERE len(t) >= 5
+), shared AS (
+  SELECT * FROM leaved QUALIFY count(*) OVER (PARTITION BY n, head) >= 3
+), each AS (
+  SELECT rid, doc_id, pos, n, head, j, t[5 + j * w : 4 + (j + 1) * w] AS field
+  FROM (SELECT *, unnest(range(0, 6)) AS j FROM shared) WHERE j * w < n - 4
+), marked AS (
+  SELECT *, count(*) OVER (PARTITION BY n, head, j, field) >= 3 AS common FROM each
+), grouped AS (
+  SELECT rid, doc_id, pos, n, head, coalesce(list({'j': j, 'field': field} ORDER BY j) FILTER (WHERE common), []) AS parts, count(*) AS present
+  FROM marked GROUP BY ALL
+), lines AS (
+  SELECT * FROM grouped WHERE len(parts) >= 0.5 * present
+), templates AS (
+  SELECT n, head, parts, min(doc_id) AS kept FROM lines GROUP BY ALL HAVING count(DISTINCT rid) >= 3
+), dropped AS (
+  SELECT rid, list(pos) AS gone FROM lines JOIN templates USING (n, head, parts) WHERE doc_id <> kept GROUP BY rid
+), rest AS (
+  SELECT doc_id, coalesce(len(gone), 0) AS n_dropped,
+    CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ls[i]), chr(10)) END AS text
+  FROM d LEFT JOIN dropped USING (rid)
+)
+SELECT doc_id, n_dropped, CAST(length(text) AS BIGINT) AS chars_left, md5(text) AS text_md5 FROM rest
+"""

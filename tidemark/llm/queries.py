@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import arc_convert, benchmark_filter, bitplane_store, grouped_packing, histogram_topk, host_reputation, jaccard_join, oracles, separator_scan, toxic_segments
+from tidemark.llm import arc_convert, benchmark_filter, bitplane_store, grouped_packing, histogram_topk, host_reputation, jaccard_join, line_templates, oracles, separator_scan, toxic_segments
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_OF_TEXT = 49407  # <|endoftext|> of that file
@@ -39,6 +39,14 @@ def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_convert.read_warc(warcs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines whose template recurs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = line_templates.drop_lines(docs)
+    dropped = F.col("n_dropped").cast("long").alias("n_dropped")
+    return left.select("doc_id", dropped, F.length("text").cast("long").alias("chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op4_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of all vectors, by integer inner product, for every twentieth vector."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", histogram_topk.quantized("embedding").alias("vector"))
@@ -104,6 +112,7 @@ def op10_benchmark_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_arc_to_warc": op2_arc_to_warc,
+    "op3_line_templates": op3_line_templates,
     "op4_histogram_topk": op4_histogram_topk,
     "op5_bitplane_ids": op5_bitplane_ids,
     "op6_jaccard_join": op6_jaccard_join,
@@ -115,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_arc_to_warc": oracles.OP2,
+    "op3_line_templates": oracles.OP3,
     "op4_histogram_topk": oracles.OP4,
     "op8_host_reputation": oracles.OP8,
     "op10_benchmark_filter": oracles.OP10,
