@@ -273,7 +273,8 @@ def link_components(texts: DataFrame, width: int, share: int) -> DataFrame:
 
 
 def join_documents(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
-    """Per row of ``docs``: row_key, doc_id, n_shingles, component_id, the smallest doc_id that links reach.
+    """Per row of ``docs``: row_key, doc_id, n_shingles, component_id, the smallest doc_id that links reach,
+    and component, a number of the component (null without words).
 
     Links: sets of ``width``-word shingles whose intersection is at least ``share`` percent of their
     union. A text with fewer words has one shingle of them all; a null text or one without words
@@ -287,7 +288,20 @@ def join_documents(docs: DataFrame, width: int = 5, share: int = 80) -> DataFram
     least = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = _labelled(least, labels)
     reached = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = named.join(reached, "component").select("node", "component_id")
+    by_node = named.join(reached, "component").select("node", "component", "component_id")
+    reached_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.join(by_node, "node", "left").select(
-        "row_key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "row_key", "doc_id", F.col("n").alias("n_shingles"), reached_id.alias("component_id"), "component"
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
+    """``docs`` with one row of each component, that with the smallest doc_id (null first); columns as they
+    were. Texts without words all stay. Rows with equal doc_id and text are one document."""
+    found = join_documents(docs, width, share)
+    first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    kept = first.select(F.col("first.row_key").alias("__key")).unionAll(
+        found.filter("component is null").select(F.col("row_key").alias("__key"))
+    ).distinct()
+    rows = docs.withColumn("__key", row_key()).join(kept, "__key", "left_semi").dropDuplicates(["__key"])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.rows import row_key, without
+from tidemark.llm.rows import row_key
 from tidemark.llm.storage import slices, tasks_import
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -272,6 +272,21 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     )
 
 
+def _keep(batches, model, threshold: float, at: int):
+    model = model.value
+    scores = _Scores(model)
+    for batch in slices(batches, 1024):
+        kept = []
+        for text in batch.column(at).to_pylist():
+            s = np.fromiter(map(scores.__getitem__, WORD.findall((text or "").lower())), float)
+            best, strong, _ = evidence(model, s)
+            kept.append(_probability(model, best, strong) < threshold)
+        yield batch.filter(pa.array(kept, pa.bool_()))
+
+
 def reject(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without rows that score ``threshold`` or more; columns as they were."""
-    return without(docs, score(docs, model).filter(F.col("score") >= threshold))
+    """``docs`` without rows that score ``threshold`` or more; columns as they were, nothing is shuffled."""
+    spark = docs.sparkSession
+    tasks_import(spark)
+    keep = partial(_keep, model=spark.sparkContext.broadcast(model), threshold=threshold, at=docs.columns.index("text"))
+    return docs.mapInArrow(keep, docs.schema)
