@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from tidemark.functions.statistics import ERFC_FIT
-
 AS_OF = "TIMESTAMP '2001-08-01 00:00:00'"
 
 
@@ -46,11 +44,17 @@ def minutes_mean(value: str) -> str:
 
 
 def erfc(x: str) -> str:
-    t = f"(1 / (1 + ({x}) / CAST(2 AS DOUBLE)))"
-    fit = f"CAST({ERFC_FIT[-1]} AS DOUBLE)"
-    for coefficient in reversed(ERFC_FIT[:-1]):
-        fit = f"(CAST({coefficient} AS DOUBLE) + {t} * {fit})"
-    return f"({t} * EXP({fit} - ({x}) * ({x})))"
+    """Twice the tail of exp(-(x + t)^2) over t from 0 to 8, by Simpson's rule."""
+    return f"""(2 / SQRT(PI()) * EXP(-({x}) * ({x})) * (
+      SELECT SUM(CASE WHEN k IN (0, 8000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+                 * EXP(-2 * ({x}) * (k / {dbl("1000")}) - (k / {dbl("1000")}) * (k / {dbl("1000")})))
+             * {dbl("0.001")} / 3
+      FROM RANGE(0, 8001) r(k)))"""
+
+
+def digits(value: str) -> str:
+    """Six significant digits."""
+    return f"CAST(PRINTF('%.5e', {value}) AS DOUBLE)"
 
 
 def two_sided(z: str) -> str:
@@ -111,29 +115,36 @@ arms_v AS (
 
 FIRSTS = "firsts AS (SELECT user_id, MIN(order_ts) AS first_ts FROM good_v GROUP BY user_id)"
 
-MATURED = f"""
+
+
+def matured(days: int) -> str:
+    return f"""
 {FIRSTS},
 back AS (
   SELECT f.user_id, f.first_ts,
          CASE WHEN COUNT(*) FILTER (WHERE g.order_ts > f.first_ts
-                                    AND g.order_ts <= f.first_ts + INTERVAL 30 DAY) > 0
+                                    AND g.order_ts <= f.first_ts + INTERVAL {days} DAY) > 0
               THEN 1 ELSE 0 END AS repeated
   FROM firsts f JOIN good_v g USING (user_id)
-  WHERE f.first_ts + INTERVAL 30 DAY <= {AS_OF}
+  WHERE f.first_ts + INTERVAL {days} DAY <= {AS_OF}
   GROUP BY f.user_id, f.first_ts)"""
 
-FEATURES = f"""
-{MATURED},
+
+def features(days: int) -> str:
+    return f"""
+{matured(days)},
 feat AS (
   SELECT b.user_id, b.first_ts, o.order_id, o.city, o.platform, o.is_late, o.rating,
-         o.delivery_minutes, o.promised_minutes, u.acquisition_channel, u.is_member,
-         b.repeated AS repeated_30d,
+         o.delivery_minutes, o.promised_minutes, u.acquisition_channel, u.is_member, b.repeated,
          {rd("o.delivery_minutes - o.promised_minutes", 1)} AS minutes_late
   FROM back b
   JOIN orders_v o ON o.user_id = b.user_id AND o.order_ts = b.first_ts
   JOIN users_v u ON u.user_id = b.user_id)"""
 
 
+MATURED, FEATURES = matured(30), features(30)
+
+
 def sql(select: str, *extra: str) -> str:
     return "WITH " + ",\n".join([VIEWS, *extra]) + "\n" + select
 
@@ -157,21 +168,23 @@ cohorts AS (
   FROM matrix m JOIN sizes s USING (cohort_month))"""
 
 LATE_CURVE = f"""
-{FIRSTS},
-flagged AS (
-  SELECT f.user_id, f.first_ts, MAX(o.is_late) AS late
-  FROM firsts f JOIN orders_v o ON o.user_id = f.user_id AND o.order_ts = f.first_ts
-  GROUP BY 1, 2),
+placed AS (
+  SELECT user_id, order_ts, status, is_late,
+         RANK() OVER (PARTITION BY user_id, status ORDER BY order_ts) AS nth
+  FROM orders_v WHERE user_id IS NOT NULL),
+starts AS (SELECT DISTINCT user_id, order_ts AS since FROM placed WHERE status = 'delivered' AND nth = 1),
+known AS (
+  SELECT s.user_id, s.since,
+         (SELECT MAX(p.is_late) FROM placed p WHERE p.user_id = s.user_id AND p.order_ts = s.since) AS late
+  FROM starts s),
+visits AS (
+  SELECT DISTINCT k.late, k.user_id, CAST({MONTHS.format('p.order_ts')} - {MONTHS.format('k.since')} AS INTEGER) AS period_index
+  FROM known k JOIN placed p ON p.user_id = k.user_id AND p.status = 'delivered' WHERE k.late IS NOT NULL),
 late_curve AS (
-  SELECT CASE f.late WHEN 1 THEN 'First delivery LATE' ELSE 'First delivery ON TIME' END AS segment,
-         CAST({MONTHS.format('g.order_ts')} - {MONTHS.format('f.first_ts')} AS INTEGER)
-           AS period_index,
-         {rd(pct("COUNT(DISTINCT g.user_id)", "MAX(n.size)"), 1)} AS retention_pct,
-         {big("MAX(n.size)")} AS cohort_size
-  FROM flagged f
-  JOIN good_v g USING (user_id)
-  JOIN (SELECT late, COUNT(*) AS size FROM flagged GROUP BY late) n ON n.late = f.late
-  GROUP BY 1, 2)"""
+  SELECT 'First delivery ' || CASE WHEN late = 1 THEN 'LATE' ELSE 'ON TIME' END AS segment, period_index,
+         {rd(pct("COUNT(*)", "(SELECT COUNT(*) FROM known k WHERE k.late = v.late)"), 1)} AS retention_pct,
+         {big("(SELECT COUNT(*) FROM known k WHERE k.late = v.late)")} AS cohort_size
+  FROM visits v GROUP BY late, period_index)"""
 
 STEPS = "steps AS (SELECT step_no, event_name, COUNT(DISTINCT session_id) AS sessions FROM events_v GROUP BY 1, 2)"
 BEFORE = "LAG(sessions) OVER (ORDER BY step_no)"
@@ -210,34 +223,36 @@ rfm AS (
                            ELSE 'Hibernating / Churned' END END AS segment
   FROM rfm_tiles)"""
 
+# Each cell once per lateness, joined; the gap is a mean over users, weighted by counting them.
 CELLS = f"""
+sided AS (
+  SELECT city, acquisition_channel, is_member, platform, is_late, COUNT(*) AS n, SUM(repeated) AS x
+  FROM feat WHERE is_late IS NOT NULL GROUP BY ALL HAVING COUNT(*) >= 5),
 cells AS (
-  SELECT * FROM (
-    SELECT COUNT(*) FILTER (WHERE is_late = 1) AS n_late,
-           COUNT(*) FILTER (WHERE is_late = 0) AS n_on,
-           AVG(repeated_30d) FILTER (WHERE is_late = 1) AS p_late,
-           AVG(repeated_30d) FILTER (WHERE is_late = 0) AS p_on
-    FROM feat GROUP BY city, acquisition_channel, is_member, platform)
-  WHERE n_late >= 5 AND n_on >= 5),
+  SELECT l.n + o.n AS n, {div("l.x", "l.n")} AS p_late, {div("o.x", "o.n")} AS p_on
+  FROM sided l JOIN sided o USING (city, acquisition_channel, is_member, platform)
+  WHERE l.is_late = 1 AND o.is_late = 0),
 strat AS (
-  SELECT COUNT(*) AS cells_used, {big("SUM(n_late + n_on)")} AS users_covered,
-         {pct("SUM((p_on - p_late) * (n_late + n_on))", "SUM(n_late + n_on)")} AS gap,
-         {pct("SUM(p_on * (n_late + n_on))", "SUM(n_late + n_on)")} AS on_pct,
-         {pct("SUM(p_late * (n_late + n_on))", "SUM(n_late + n_on)")} AS late_pct
+  SELECT COUNT(*) AS cells_used, {big("SUM(n)")} AS users_covered, {pct("SUM(n * p_on) - SUM(n * p_late)", "SUM(n)")} AS gap,
+         {pct("SUM(n * p_on)", "SUM(n)")} AS on_pct, {pct("SUM(n * p_late)", "SUM(n)")} AS late_pct
   FROM cells)"""
 
 ONE_WAY = f"""
-one_way AS (
-  SELECT 'city' AS dimension, city AS value, repeated_30d FROM feat
-  UNION ALL SELECT 'channel', acquisition_channel, repeated_30d FROM feat
-  UNION ALL SELECT 'platform', platform, repeated_30d FROM feat
-  UNION ALL SELECT 'member', CASE is_member WHEN 1 THEN 'Member' ELSE 'Non-member' END,
-            repeated_30d FROM feat
-  UNION ALL SELECT 'first_rating', CASE WHEN rating >= 4.5 THEN '4.5-5.0'
-            WHEN rating >= 3.5 THEN '3.5-4.0' ELSE '<3.5' END, repeated_30d FROM feat),
+traits AS (
+  SELECT city, acquisition_channel AS channel, platform, IF(is_member = 1, 'Member', 'Non-member') AS member,
+         (SELECT label FROM (VALUES (4.5, 9.9, '4.5-5.0'), (3.5, 4.4, '3.5-4.0')) band(low, high, label)
+          WHERE rating BETWEEN low AND high) AS band, repeated
+  FROM feat),
+grouped AS (
+  SELECT GROUPING_ID(city, channel, platform, member, first_rating) AS which, city, channel, platform, member,
+         first_rating, COUNT(*) AS users, {rd(share("repeated"), 2)} AS repeat_pct
+  FROM (SELECT *, COALESCE(band, '<3.5') AS first_rating FROM traits)
+  GROUP BY GROUPING SETS ((city), (channel), (platform), (member), (first_rating))),
 by_segment AS (
-  SELECT dimension, value, COUNT(*) AS users, {rd(share("repeated_30d"), 2)} AS repeat_pct
-  FROM one_way GROUP BY 1, 2)"""
+  SELECT CASE which WHEN 15 THEN 'city' WHEN 23 THEN 'channel' WHEN 27 THEN 'platform' WHEN 29 THEN 'member'
+           ELSE 'first_rating' END AS dimension,
+         COALESCE(city, channel, platform, member, first_rating) AS value, users, repeat_pct
+  FROM grouped)"""
 
 CITY_HOUR = f"""
 city_hour AS (
@@ -252,13 +267,13 @@ SPLIT = f"""
 split AS (
   SELECT {LATE.format('o')} AS segment, a.variant, COUNT(*) AS n,
          {big("SUM(a.repeat_within_90d)")} AS conversions,
-         {rd(share("a.repeat_within_90d"), 2)} AS repeat_14d_pct
+         {rd(share("a.repeat_within_90d"), 2)} AS repeat_90d_pct
   FROM arms_v a JOIN orders_v o ON o.order_id = a.first_order_id GROUP BY 1, 2)"""
 
 PRIMARY = f"""
 primary_v AS (
   SELECT variant, COUNT(*) AS n, {big("SUM(repeat_within_90d)")} AS conversions,
-         {rd(share("repeat_within_90d"), 3)} AS repeat_14d_pct
+         {rd(share("repeat_within_90d"), 3)} AS repeat_90d_pct
   FROM arms_v GROUP BY variant)"""
 
 
@@ -293,9 +308,9 @@ shown AS (
   FROM stats)"""
 
 
-READOUT_COLUMNS = f"""control_n, treatment_n, control_rate_pct, treatment_rate_pct,
+READOUT_COLUMNS = f"""'treatment' AS variant, control_n, treatment_n, control_rate_pct, treatment_rate_pct,
   se_control_pct, se_treatment_pct, abs_lift_pp, rel_lift_pct, ci_low_pp, ci_high_pp, z_stat,
-  {rd("p", 6)} AS p_value,
+  {digits("p")} AS p_value,
   CASE WHEN p < 0.0001 THEN '< 0.0001' ELSE PRINTF('%.4f', p) END AS p_value_str,
   p < 0.05 AS significant_at_5pct"""
 
@@ -303,13 +318,13 @@ READOUT_COLUMNS = f"""control_n, treatment_n, control_rate_pct, treatment_rate_p
 def lift(source: str, by: str = "") -> str:
     on = f"c.{by} = t.{by}" if by else "TRUE"
     keep = f"c.{by}," if by else ""
-    gap = "(t.repeat_14d_pct - c.repeat_14d_pct)"
-    return f"""SELECT {keep} {rd(gap, 2)} AS lift_pp,
-      {rd(f"100 * {gap} / c.repeat_14d_pct", 1)} AS rel_lift_pct
+    gap = "(t.repeat_90d_pct - c.repeat_90d_pct)"
+    return f"""SELECT {keep} t.variant, {rd(gap, 2)} AS lift_pp,
+      {rd(f"100 * {gap} / c.repeat_90d_pct", 1)} AS rel_lift_pct
     FROM {source} c JOIN {source} t ON c.variant = 'control' AND t.variant = 'treatment' AND {on}"""
 
 
-# label, weekly value, good direction, amber, red
+# Label, weekly value, good direction, amber, red
 MONITORED = (
     ("Orders", dbl("COUNT(*)"), "up", 0.05, 0.10),
     ("Active users", dbl("COUNT(DISTINCT user_id)"), "up", 0.05, 0.10),
@@ -320,11 +335,15 @@ MONITORED = (
     ("Avg rating", "AVG(rating)", "up", 0.02, 0.04),
     ("Discount % of GMV", pct("SUM(discount)", "SUM(gmv)"), "down", 0.10, 0.20),
 )
+SESSIONS = ("Session→order conv (%)", "up", 0.05, 0.10)
 WEEKLY = "\nweekly AS (" + " UNION ALL ".join(
     f"SELECT '{label}' AS metric, CAST(DATE_TRUNC('week', order_ts) AS DATE) AS week_start,"
     f" {value} AS value FROM good_v GROUP BY 2"
     for label, value, *_ in MONITORED
-) + ")"
+) + f""" UNION ALL
+  SELECT '{SESSIONS[0]}', CAST(DATE_TRUNC('week', event_ts) AS DATE),
+         {pct("COUNT(DISTINCT session_id) FILTER (WHERE step_no = 4)", "COUNT(DISTINCT session_id) FILTER (WHERE step_no = 1)")}
+  FROM events_v GROUP BY 2)"""
 PREVIOUS = [f"LAG(value, {k}) OVER (PARTITION BY metric ORDER BY week_start)" for k in (4, 3, 2, 1)]
 BASELINED = f"""
 {WEEKLY},
@@ -338,7 +357,7 @@ baselined AS (
 CLASSIFIED = f"""
 {BASELINED},
 limits(metric, direction, amber, red) AS (VALUES {", ".join(
-    f"('{m}', '{d}', CAST({a} AS DOUBLE), CAST({r} AS DOUBLE))" for m, _, d, a, r in MONITORED)}),
+    f"('{m}', '{d}', CAST({a} AS DOUBLE), CAST({r} AS DOUBLE))" for m, d, a, r in (*((m, d, a, r) for m, _, d, a, r in MONITORED), SESSIONS))}),
 moves AS (
   SELECT b.*, l.direction, l.amber, l.red,
          CASE WHEN base IS NULL OR base = 0 THEN 0 ELSE (value - base) / ABS(base) END AS move,
@@ -349,10 +368,14 @@ classified AS (
                  WHEN (CASE direction WHEN 'up' THEN -move ELSE move END) >= red THEN 'RED'
                  WHEN (CASE direction WHEN 'up' THEN -move ELSE move END) >= amber THEN 'AMBER'
                  ELSE 'GREEN' END AS status
-  FROM moves),
-chosen AS (
-  SELECT * FROM classified WHERE week_start =
-    (SELECT MAX(week_start) FROM weekly WHERE week_start < (SELECT MAX(week_start) FROM weekly))),
+  FROM moves)"""
+SECOND_LATEST = "(SELECT MAX(week_start) FROM weekly WHERE week_start < (SELECT MAX(week_start) FROM weekly))"
+
+
+def reported(week: str) -> str:
+    return f"""
+{CLASSIFIED},
+chosen AS (SELECT * FROM classified WHERE week_start = {week}),
 report AS (
   SELECT week_start, metric, {rd("value", 2)} AS this_week, {rd("base", 2)} AS base_4wk,
          {rd("100 * move", 1)} AS delta_pct, direction, status,
@@ -363,6 +386,9 @@ report AS (
   FROM chosen)"""
 
 
+REPORT_WEEK = "DATE '2001-06-18'"
+
+
 def impact(rounded: bool) -> str:
     def use(value: str, places: int) -> str:
         return rd(value, places) if rounded else dbl(value)
@@ -404,19 +430,24 @@ priced AS (
           {rd("traded / 100000", 1)} AS nudge_aov_guardrail_cost_lakh_yr,
           {rd("aov_c - aov_t", 1)} AS nudge_aov_delta_rupees,
           {rd("net / 100000", 1)} AS nudge_net_gmv_lakh_yr,
-          {rd("(android + lateness + net) / 100000", 1)} AS total_gmv_lakh_yr
+          {rd("(android + lateness + net) / 100000", 1)} AS total_gmv_lakh_yr,
+          (SELECT STRING_AGG(PRINTF('%s, %s: %.1f', city, daypart, late_rate_pct), '; ' ORDER BY late_rate_pct DESC, city, daypart)
+           FROM (FROM city_hour ORDER BY late_rate_pct DESC, city, daypart LIMIT 2)) AS lateness_worst_cells
         FROM priced""",
         FEATURES,
         CELLS,
         LEAK,
         PRIMARY,
         readout("primary_v"),
+        CITY_HOUR,
         inputs,
     )
 
 
 FEATURE_COLUMNS = """user_id, first_ts, city, platform, is_late, rating, delivery_minutes,
-  promised_minutes, acquisition_channel, is_member, repeated_30d, minutes_late"""
+  promised_minutes, acquisition_channel, is_member, repeated AS repeated_30d, minutes_late"""
+
+MONTHS_OF_ORDERS = 80  # that the orders table spans
 
 ORACLES: dict[str, str] = {
     "headline": sql(f"""
@@ -456,7 +487,7 @@ ORACLES: dict[str, str] = {
     "cohort_pivot": sql(
         "SELECT cohort_month, cohort_size, "
         + ", ".join(
-            f"MAX(retention_pct) FILTER (WHERE period_index = {k}) AS m{k}" for k in range(12)
+            f"MAX(retention_pct) FILTER (WHERE period_index = {k}) AS m{k}" for k in range(MONTHS_OF_ORDERS)
         )
         + " FROM cohorts GROUP BY 1, 2",
         COHORT,
@@ -525,18 +556,18 @@ ORACLES: dict[str, str] = {
     ),
     "repeat_by_late": sql(
         f"""SELECT CASE WHEN is_late = 1 THEN 'Late' ELSE 'On time' END AS first_delivery,
-          COUNT(*) AS users, {rd(share("repeated_30d"), 2)} AS repeat_30d_pct
+          COUNT(*) AS users, {rd(share("repeated"), 2)} AS repeat_30d_pct
         FROM feat GROUP BY 1""",
         FEATURES,
     ),
     "late_gap_test": sql(
         f"""SELECT {rd("100 * (p_o - p_l)", 2)} AS raw_gap_pp, {rd("z", 6)} AS z,
-          {rd(two_sided("z"), 6)} AS p_value FROM tested""",
+          {digits(two_sided("z"))} AS p_value FROM tested""",
         FEATURES,
         f"""sides AS (
           SELECT {dbl("COUNT(*) FILTER (WHERE is_late = 1)")} AS n_l,
-            {dbl("COALESCE(SUM(repeated_30d) FILTER (WHERE is_late = 1), 0)")} AS x_l,
-            {dbl("COUNT(*)")} AS n, {dbl("SUM(repeated_30d)")} AS x FROM feat),
+            {dbl("COALESCE(SUM(repeated) FILTER (WHERE is_late = 1), 0)")} AS x_l,
+            {dbl("COUNT(*)")} AS n, {dbl("SUM(repeated)")} AS x FROM feat),
         rates AS (
           SELECT *, x_l / n_l AS p_l, (x - x_l) / (n - n_l) AS p_o, x / n AS pool FROM sides),
         tested AS (
@@ -556,7 +587,7 @@ ORACLES: dict[str, str] = {
                WHEN minutes_late > 0 THEN '2. 0-10 min late'
                ELSE '1. Early / on time' END AS lateness_bucket,
           COUNT(*) AS users, {rd("AVG(rating)", 2)} AS avg_first_rating,
-          {rd(share("repeated_30d"), 2)} AS repeat_30d_pct
+          {rd(share("repeated"), 2)} AS repeat_30d_pct
         FROM feat GROUP BY 1""",
         FEATURES,
     ),
@@ -589,7 +620,7 @@ ORACLES: dict[str, str] = {
         FROM arms_v GROUP BY variant"""),
     "srm_test": sql(
         f"""SELECT {rd("chi2", 6)} AS chi2, CAST(1 AS INTEGER) AS df,
-          {rd(erfc("SQRT(chi2 / 2)"), 6)} AS p_value, {erfc("SQRT(chi2 / 2)")} > 0.01 AS passed
+          {digits(erfc("SQRT(chi2 / 2)"))} AS p_value, {erfc("SQRT(chi2 / 2)")} > 0.01 AS passed
         FROM fit""",
         f"""halves AS (SELECT {dbl("COUNT(*)")} / 2 AS e,
               {dbl("COUNT(*) FILTER (WHERE variant = 'control')")} AS c FROM arms_v),
@@ -606,7 +637,7 @@ ORACLES: dict[str, str] = {
         f"SELECT segment, {READOUT_COLUMNS} FROM shown", SPLIT, readout("split", "segment")
     ),
     "ab_power": sql(
-        """SELECT CAST(2 AS DOUBLE) AS planned_mde_pp, required_n_per_arm, actual_min_n_per_arm,
+        """SELECT 'treatment' AS variant, CAST(2 AS DOUBLE) AS planned_mde_pp, required_n_per_arm, actual_min_n_per_arm,
           actual_min_n_per_arm >= required_n_per_arm AS powered FROM sized""",
         PRIMARY,
         readout("primary_v"),
@@ -641,14 +672,15 @@ ORACLES: dict[str, str] = {
         f"SELECT metric, week_start, direction, {rd('move', 6)} AS move, status FROM classified",
         CLASSIFIED,
     ),
-    "weekly_report": sql("SELECT * FROM report", CLASSIFIED),
+    "weekly_report": sql("SELECT * FROM report", reported(SECOND_LATEST)),
+    "weekly_report_of_a_week": sql("SELECT * FROM report", reported(REPORT_WEEK)),
     "late_drilldown": sql(
         f"""SELECT city, {rd(share("is_late"), 1)} AS late_rate_pct,
           {rd(minutes_mean("delivery_minutes"), 1)} AS avg_min, COUNT(*) AS orders
         FROM good_v WHERE CAST(DATE_TRUNC('week', order_ts) AS DATE) IN
           (SELECT week_start FROM report WHERE status IN ('AMBER', 'RED'))
         GROUP BY city""",
-        CLASSIFIED,
+        reported(REPORT_WEEK),
     ),
     "impact_model": impact(rounded=False),
     "impact_model_rounded_inputs": impact(rounded=True),
@@ -668,3 +700,7 @@ ORACLES: dict[str, str] = {
           CAST(SUM(coupon_cost) AS DOUBLE), MAX(assigned_ts) FROM arms_v"""),
 }
 ORACLES["write_results_json"] = ORACLES["guardrails"]
+
+# The same queries over a window of 14 days.
+for _name in ("repeat_by_late", "late_gap_test", "repeat_by_late_stratified", "dose_response", "repeat_by_segment"):
+    ORACLES[f"{_name}_14d"] = ORACLES[_name].replace(FEATURES, features(14)).replace("repeat_30d_pct", "repeat_14d_pct")

@@ -144,3 +144,8 @@ def test_dayparts_include_both_end_hours(make):
     assert rows(drivers.worst_cells(by_hour, 1)) == [
         {"city": "Pune", "daypart": "Dinner peak", "late_rate_pct": 50.0}
     ]
+
+
+def test_every_edge_needs_a_label(spark):
+    with pytest.raises(ValueError, match="one label more"):
+        drivers.dose_response(spark.range(1), edges=(0, 5), labels=("a", "b"))

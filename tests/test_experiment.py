@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import one, rows
-from tidemark.functions.statistics import erfc
+from tidemark.functions.statistics import chi_square_tail, erfc
 from tidemark.operators import experiment
 
 
@@ -19,13 +19,14 @@ def published(spark):
 def test_erfc_follows_the_exact_function(spark):
     points = spark.range(0, 700).select((F.col("id") / 100).alias("x"))
     for row in points.withColumn("y", erfc(F.col("x"))).collect():
-        assert row["y"] == pytest.approx(math.erfc(row["x"]), rel=1.2e-7)
+        assert row["y"] == pytest.approx(math.erfc(row["x"]), rel=1e-11)
 
 
 def test_readout_of_the_published_counts(published):
     got = one(experiment.ab_readout(published))
     assert got.pop("p_value") == pytest.approx(1.6076702857859e-08, rel=1e-6)
     assert got == {
+        "variant": "treatment",
         "control_n": 9681,
         "treatment_n": 9620,
         "control_rate_pct": 18.986,
@@ -44,6 +45,7 @@ def test_readout_of_the_published_counts(published):
 
 def test_power_of_the_published_counts(published):
     assert one(experiment.ab_power(published)) == {
+        "variant": "treatment",
         "planned_mde_pp": 2.0,
         "required_n_per_arm": 6275,
         "actual_min_n_per_arm": 9620,
@@ -77,7 +79,23 @@ def test_sample_ratio(spark):
     assert row["p_value"] == pytest.approx(0.660606, abs=1e-6)
     three = arms.union(spark.createDataFrame([("third", 9000)], arms.schema))
     row = one(experiment.srm_test(three))
-    assert row["df"] == 2 and row["p_value"] is None
+    assert row["df"] == 2 and row["p_value"] == pytest.approx(math.exp(-row["chi2"] / 2), rel=1e-9)
+
+
+# Fixed values of the chi-square tail, from published tables.
+@pytest.mark.parametrize("x, df, p", [(7.814728, 3, 0.05), (13.276704, 4, 0.01), (11.070498, 5, 0.05), (3.841459, 1, 0.05)])
+def test_chi_square_tail(spark, x, df, p):
+    row = spark.range(1).select(chi_square_tail(F.lit(x), F.lit(df)).alias("p")).first()
+    assert row["p"] == pytest.approx(p, rel=1e-5)
+
+
+def test_every_arm_is_compared_with_the_control(published):
+    third = published.sparkSession.createDataFrame([("coupon", 9000, 1900, 21.111)], published.schema)
+    found = rows(experiment.ab_readout(published.union(third)), "variant")
+    assert set(found) == {"treatment", "coupon"} and found["treatment"]["z_stat"] == 5.65
+    assert found["coupon"]["treatment_n"] == 9000 and found["coupon"]["control_n"] == 9681
+    assert set(rows(experiment.ab_lift(published.union(third)), "variant")) == {"treatment", "coupon"}
+    assert set(rows(experiment.ab_power(published.union(third)), "variant")) == {"treatment", "coupon"}
 
 
 def test_outcomes_from_orders(make):
@@ -141,9 +159,9 @@ def test_arm_tables(make):
     lifts = rows(experiment.ab_segment_lift(split), "segment")
     assert lifts["First delivery LATE"]["lift_pp"] == 0.0
     assert lifts["First delivery ON TIME"] == {
-        "segment": "First delivery ON TIME", "lift_pp": 100.0, "rel_lift_pct": None,
+        "segment": "First delivery ON TIME", "variant": "treatment", "lift_pp": 100.0, "rel_lift_pct": None,
     }
 
 
 def test_lift_of_the_published_rates(published):
-    assert one(experiment.ab_lift(published)) == {"lift_pp": 3.29, "rel_lift_pct": 17.3}
+    assert one(experiment.ab_lift(published)) == {"variant": "treatment", "lift_pp": 3.29, "rel_lift_pct": 17.3}

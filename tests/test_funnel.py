@@ -53,3 +53,13 @@ def test_weekly_funnel_splits_on_monday(make):
     found = rows(funnel.funnel_weekly(sample(make), 1, 3), "week_start")
     assert found[dt.date(2026, 6, 22)]["value"] == 100 * 2 / 3
     assert found[dt.date(2026, 6, 29)]["value"] is None
+
+
+def test_the_pivot_holds_every_platform(spark):
+    by_platform = spark.createDataFrame(
+        [("web", "open", 50.0), ("iOS", "open", 60.0), ("Android", "open", 70.0)],
+        "platform string, event_name string, step_conv_pct double",
+    )
+    assert rows(funnel.funnel_pivot(by_platform)) == [
+        {"event_name": "open", "android": 70.0, "ios": 60.0, "web": 50.0}
+    ]

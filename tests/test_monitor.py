@@ -162,3 +162,14 @@ def test_a_breached_week_is_pushed_down_too(spark, make, tmp_path):
     assert [row["orders"] for row in drilldown.collect()] == [1]
     pushed = plan_of(drilldown).partition("PushedFilters: ")[2].partition("\n")[0]
     assert "GreaterThanOrEqual(order_ts,ScalarSubquery" in pushed
+
+
+def test_registry_entries_are_never_skipped(make):
+    orders = make.orders({"user_id": 1, "order_ts": "2026-01-05 10:00:00"})
+    unknown = [monitor.Metric("Odd", "no such source", "up", 0.1, 0.2)]
+    with pytest.raises(ValueError, match="no such source"):
+        monitor.weekly_metrics(orders, metrics=unknown)
+    with pytest.raises(ValueError, match="needs events"):
+        monitor.weekly_metrics(orders, metrics=[monitor.Metric("Funnel", monitor.FUNNEL, "up", 0.1, 0.2)])
+    users = [monitor.Metric("Users", monitor.ACTIVE_USERS, "up", 0.1, 0.2)]
+    assert [r["value"] for r in monitor.weekly_metrics(orders, metrics=users).collect()] == [1.0]

@@ -74,3 +74,30 @@ def test_late_curve_matches_brute_force(make, seed):
         for r in retention.cohort_by_late(make.orders(*history)).collect()
     }
     assert got == want
+
+
+def test_the_pivot_holds_every_cell_of_the_matrix(make):
+    orders = make.orders(
+        {"user_id": 1, "order_ts": "2024-11-03 10:00:00"},
+        {"user_id": 1, "order_ts": "2026-06-03 10:00:00"},
+        {"user_id": 2, "order_ts": "2025-12-03 10:00:00"},
+        {"user_id": None, "order_ts": "2024-01-03 10:00:00"},
+    )
+    matrix = retention.cohort_matrix(orders)
+    cells = {(r["cohort_month"], r["period_index"]): r["retention_pct"] for r in matrix.collect()}
+    wide = retention.cohort_pivot(matrix)
+    assert wide.columns[2:] == [f"m{k}" for k in range(20)]
+    found = {
+        (r["cohort_month"], k): r[f"m{k}"] for r in wide.collect() for k in range(20) if r[f"m{k}"] is not None
+    }
+    assert found == cells and len(cells) == 3
+
+
+def test_orders_without_a_user_are_in_no_cohort(make):
+    orders = make.orders(
+        {"user_id": 1, "order_ts": "2026-01-03 10:00:00", "is_late": 1},
+        {"user_id": None, "order_ts": "2026-01-04 10:00:00", "is_late": 1},
+        {"user_id": None, "order_ts": "2026-02-04 10:00:00", "is_late": 0},
+    )
+    assert [r["cohort_size"] for r in retention.cohort_matrix(orders).collect()] == [1]
+    assert [r["cohort_size"] for r in retention.cohort_by_late(orders).collect()] == [1]

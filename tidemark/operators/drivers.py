@@ -86,16 +86,21 @@ def first_order_features(
     )
 
 
-def repeat_by_late(features: DataFrame) -> DataFrame:
-    """Repeat rate by lateness of the first delivery; unknown counts as on time."""
+def _repeated(days: int) -> str:
+    return f"repeated_{days}d"
+
+
+def repeat_by_late(features: DataFrame, days: int = 30) -> DataFrame:
+    """Repeat rate by lateness of the first delivery; unknown counts as on time.
+    ``days`` is the window that the features were built with, here and below."""
     label = F.when(F.col("is_late") == 1, "Late").otherwise("On time")
     return features.groupBy(label.alias("first_delivery")).agg(
         F.count("*").alias("users"),
-        F.round(percent_of_flags("repeated_30d"), 2).alias("repeat_30d_pct"),
+        F.round(percent_of_flags(_repeated(days)), 2).alias(f"repeat_{days}d_pct"),
     )
 
 
-def late_gap_test(features: DataFrame) -> DataFrame:
+def late_gap_test(features: DataFrame, days: int = 30) -> DataFrame:
     """Gap between on-time and late repeat rates, with a pooled z-test on exact counts."""
     late = F.coalesce(F.col("is_late") == 1, F.lit(False))
 
@@ -104,9 +109,9 @@ def late_gap_test(features: DataFrame) -> DataFrame:
 
     counts = features.agg(
         total(F.lit(1), late).alias("n_late"),
-        total(F.col("repeated_30d"), late).alias("x_late"),
+        total(F.col(_repeated(days)), late).alias("x_late"),
         total(F.lit(1), ~late).alias("n_on_time"),
-        total(F.col("repeated_30d"), ~late).alias("x_on_time"),
+        total(F.col(_repeated(days)), ~late).alias("x_on_time"),
     )
     gap = ratio("x_on_time", "n_on_time") - ratio("x_late", "n_late")
     z = pooled_z(F.col("x_late"), F.col("n_late"), F.col("x_on_time"), F.col("n_on_time"))
@@ -116,7 +121,7 @@ def late_gap_test(features: DataFrame) -> DataFrame:
 
 
 def repeat_by_late_stratified(
-    features: DataFrame, min_cell: int = 20, rounded: bool = True
+    features: DataFrame, min_cell: int = 20, rounded: bool = True, days: int = 30
 ) -> DataFrame:
     """The late gap held constant within city, channel, membership and platform.
 
@@ -129,8 +134,8 @@ def repeat_by_late_stratified(
         .agg(
             F.sum(F.when(late, 1).otherwise(0)).alias("n_late"),
             F.sum(F.when(on_time, 1).otherwise(0)).alias("n_on_time"),
-            F.sum(F.when(late, F.col("repeated_30d"))).alias("x_late"),
-            F.sum(F.when(on_time, F.col("repeated_30d"))).alias("x_on_time"),
+            F.sum(F.when(late, F.col(_repeated(days)))).alias("x_late"),
+            F.sum(F.when(on_time, F.col(_repeated(days)))).alias("x_on_time"),
         )
         .filter((F.col("n_late") >= min_cell) & (F.col("n_on_time") >= min_cell))
         .select(
@@ -159,20 +164,23 @@ def dose_response(
     features: DataFrame,
     edges: Sequence[float] = (0, 10, 20, 30),
     labels: Sequence[str] = LATENESS_LABELS,
+    days: int = 30,
 ) -> DataFrame:
     """Repeat rate by bucket of minutes late. Buckets include their upper edge;
     unknown minutes fall into the last one."""
+    if len(labels) != len(edges) + 1:
+        raise ValueError("there must be one label more than edges")
     bucket = F.lit(labels[-1])
     for edge, label in reversed(list(zip(edges, labels))):
         bucket = F.when(F.col("minutes_late") <= edge, label).otherwise(bucket)
     return features.groupBy(bucket.alias("lateness_bucket")).agg(
         F.count("*").alias("users"),
-        F.round(F.avg("rating"), 2).alias("avg_first_rating"),
-        F.round(percent_of_flags("repeated_30d"), 2).alias("repeat_30d_pct"),
+        F.round(measured_mean("rating"), 2).alias("avg_first_rating"),
+        F.round(percent_of_flags(_repeated(days)), 2).alias(f"repeat_{days}d_pct"),
     )
 
 
-def repeat_by_segment(features: DataFrame) -> DataFrame:
+def repeat_by_segment(features: DataFrame, days: int = 30) -> DataFrame:
     """Repeat rate by city, channel, platform, membership and first-rating band.
 
     Users are counted once, into cells over all five dimensions; the breakdowns
@@ -189,7 +197,7 @@ def repeat_by_segment(features: DataFrame) -> DataFrame:
         "first_rating": band,
     }
     cells = features.groupBy(*[value.alias(name) for name, value in dimensions.items()]).agg(
-        F.count("*").alias("n"), F.sum("repeated_30d").alias("x")
+        F.count("*").alias("n"), F.sum(_repeated(days)).alias("x")
     )
     return (
         cells.unpivot(["n", "x"], list(dimensions), "dimension", "value")

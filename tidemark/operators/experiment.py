@@ -18,8 +18,8 @@ from tidemark.functions.numeric import (
     rounded_if,
 )
 from tidemark.functions.statistics import (
+    chi_square_tail,
     critical_z,
-    erfc,
     pooled_z,
     required_per_arm,
     standard_error,
@@ -91,8 +91,7 @@ def srm_check(assignments: DataFrame) -> DataFrame:
 
 
 def srm_test(arms: DataFrame, min_p: float = 0.01) -> DataFrame:
-    """Chi-square fit of the arm sizes to an equal split. The p-value has a closed
-    form for two arms and is NULL for any other number."""
+    """Chi-square fit of the arm sizes to an equal split, of two arms or more."""
     all_arms = Window.partitionBy()
     expected = F.sum("users").over(all_arms) / F.count("*").over(all_arms)
     distance = F.pow(F.col("users") - F.col("expected"), 2) / F.col("expected")
@@ -101,7 +100,7 @@ def srm_test(arms: DataFrame, min_p: float = 0.01) -> DataFrame:
         .agg(F.sum(distance).alias("chi2"), F.count("*").alias("arms"))
         .select("chi2", (F.col("arms") - 1).cast("int").alias("df"))
     )
-    p = F.when(F.col("df") == 1, erfc(F.sqrt(F.col("chi2") / 2.0)))
+    p = F.when(F.col("df") >= 1, chi_square_tail(F.col("chi2"), F.col("df")))
     return totals.withColumn("p_value", p).withColumn("passed", F.col("p_value") > min_p)
 
 
@@ -116,45 +115,61 @@ def ab_balance(assignments: DataFrame, orders: DataFrame) -> DataFrame:
             F.count("*").alias("users"),
             F.round(money_mean("gmv"), 1).alias("first_order_aov"),
             F.round(percent_of_flags("is_late"), 2).alias("first_late_pct"),
-            F.round(F.avg("rating"), 3).alias("first_rating"),
+            F.round(measured_mean("rating"), 3).alias("first_rating"),
         )
     )
 
 
-def ab_primary(
-    assignments: DataFrame, outcome: str = "repeat_within_14d", by: Sequence[str] = ()
-) -> DataFrame:
-    """Users, conversions and conversion rate per arm, and per ``by`` group if given."""
+def _outcome(days: int) -> str:
+    return f"repeat_within_{days}d"
+
+
+def ab_primary(assignments: DataFrame, days: int = 14, by: Sequence[str] = ()) -> DataFrame:
+    """Users, conversions and conversion rate per arm, and per ``by`` group if given.
+    ``days`` is the window of the outcome, and names the rate."""
+    outcome = _outcome(days)
     return assignments.groupBy(*by, "variant").agg(
         F.count("*").alias("n"),
         F.sum(outcome).alias("conversions"),
-        F.round(percent_of_flags(outcome), 3).alias("repeat_14d_pct"),
+        F.round(percent_of_flags(outcome), 3).alias(f"repeat_{days}d_pct"),
     )
 
 
-def _arms_in_one_row(rates: DataFrame, by: Sequence[str]) -> DataFrame:
-    def of_arm(arm: str, value: str):
-        return F.max(F.when(F.col("variant") == arm, F.col(value)))
+def _beside_control(rates: DataFrame, by: Sequence[str], **values: str) -> DataFrame:
+    """Every arm, with the control arm's ``values`` of its ``by`` group beside it. The control's own
+    row stays only where it has no other arm to be compared with."""
+    group = Window.partitionBy(*by)
+    is_control = F.col("variant").eqNullSafe(CONTROL)
+    beside = rates.withColumns(
+        {name: F.max(F.when(is_control, F.col(value))).over(group) for name, value in values.items()}
+    ).withColumn("others", F.count(F.when(~is_control, 1)).over(group))
+    return beside.filter(~is_control | (F.col("others") == 0))
 
-    return rates.groupBy(*by).agg(
-        of_arm(CONTROL, "n").alias("control_n"),
-        of_arm(TREATMENT, "n").alias("treatment_n"),
-        of_arm(CONTROL, "conversions").cast("double").alias("x_c"),
-        of_arm(TREATMENT, "conversions").cast("double").alias("x_t"),
+
+def _against_control(rates: DataFrame, by: Sequence[str]) -> DataFrame:
+    other = ~F.col("variant").eqNullSafe(CONTROL)
+    return _beside_control(rates, by, control_n="n", x_c="conversions").select(
+        *by,
+        F.when(other, F.col("variant")).alias("variant"),
+        "control_n",
+        F.when(other, F.col("n")).alias("treatment_n"),
+        F.col("x_c").cast("double").alias("x_c"),
+        F.when(other, F.col("conversions")).cast("double").alias("x_t"),
     )
 
 
 def ab_readout(
     rates: DataFrame, by: Sequence[str] = (), alpha: float = 0.05, rounded: bool = True
 ) -> DataFrame:
-    """Lift, confidence interval and significance, one row per ``by`` group.
+    """Lift, confidence interval and significance of each arm against the control, one row per
+    ``by`` group and arm.
 
     ``rates`` has the columns of :func:`ab_primary`. The test pools the arms; the
     interval does not.
     """
     n_c, n_t = F.col("control_n").cast("double"), F.col("treatment_n").cast("double")
     arms = (
-        _arms_in_one_row(rates, by)
+        _against_control(rates, by)
         .withColumn("p_c", F.try_divide(F.col("x_c"), n_c))
         .withColumn("p_t", F.try_divide(F.col("x_t"), n_t))
         .withColumn("se_c", standard_error(F.col("p_c"), n_c))
@@ -174,6 +189,7 @@ def ab_readout(
 
     return arms.select(
         *by,
+        "variant",
         "control_n",
         "treatment_n",
         shown(F.col("p_c"), 3).alias("control_rate_pct"),
@@ -202,12 +218,13 @@ def ab_power(
     power: float = 0.80,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Whether the smaller arm is large enough to see an absolute lift of ``mde``
-    over the control rate."""
-    arms = _arms_in_one_row(rates, by)
+    """Whether the smaller of the control and each other arm is large enough to see an absolute
+    lift of ``mde`` over the control rate."""
+    arms = _against_control(rates, by)
     base_rate = F.try_divide(F.col("x_c"), F.col("control_n").cast("double"))
     return arms.select(
         *by,
+        "variant",
         F.lit(100.0 * mde).alias("planned_mde_pp"),
         required_per_arm(base_rate, mde, alpha, power).alias("required_n_per_arm"),
         F.least("control_n", "treatment_n").alias("actual_min_n_per_arm"),
@@ -227,10 +244,9 @@ def ab_guardrails(assignments: DataFrame, rounded: bool = True) -> DataFrame:
     )
 
 
-def ab_by_segment(
-    assignments: DataFrame, orders: DataFrame, outcome: str = "repeat_within_14d"
-) -> DataFrame:
+def ab_by_segment(assignments: DataFrame, orders: DataFrame, days: int = 14) -> DataFrame:
     """The primary metric split by whether the first delivery was late."""
+    outcome = _outcome(days)
     segment = F.when(F.col("is_late") == 1, LATE_SEGMENT).otherwise(ON_TIME_SEGMENT)
     return (
         assignments.select("variant", outcome, F.col("first_order_id").alias("order_id"))
@@ -239,27 +255,25 @@ def ab_by_segment(
         .agg(
             F.count("*").alias("n"),
             F.sum(outcome).alias("conversions"),
-            F.round(percent_of_flags(outcome), 2).alias("repeat_14d_pct"),
+            F.round(percent_of_flags(outcome), 2).alias(f"repeat_{days}d_pct"),
         )
     )
 
 
-def ab_lift(rates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Treatment minus control rate, absolute and relative, as shown in reports:
+def ab_lift(rates: DataFrame, by: Sequence[str] = (), days: int = 14) -> DataFrame:
+    """Each arm's rate minus the control's, absolute and relative, as shown in reports:
     from the rates that :func:`ab_primary` or :func:`ab_by_segment` display."""
-
-    def rate(arm: str):
-        return F.max(F.when(F.col("variant") == arm, F.col("repeat_14d_pct")))
-
-    arms = rates.groupBy(*by).agg(rate(CONTROL).alias("c"), rate(TREATMENT).alias("t"))
-    lift = F.col("t") - F.col("c")
-    return arms.select(
+    rate = f"repeat_{days}d_pct"
+    other = ~F.col("variant").eqNullSafe(CONTROL)
+    lift = F.when(other, F.col(rate) - F.col("c"))
+    return _beside_control(rates, by, c=rate).select(
         *by,
+        F.when(other, F.col("variant")).alias("variant"),
         F.round(lift, 2).alias("lift_pp"),
         F.round(F.try_divide(F.lit(100.0) * lift, F.col("c")), 1).alias("rel_lift_pct"),
     )
 
 
-def ab_segment_lift(by_segment: DataFrame) -> DataFrame:
+def ab_segment_lift(by_segment: DataFrame, days: int = 14) -> DataFrame:
     """The lift within each segment."""
-    return ab_lift(by_segment, by=["segment"])
+    return ab_lift(by_segment, by=["segment"], days=days)

@@ -22,6 +22,11 @@ def delivered(orders: DataFrame) -> DataFrame:
     return orders.filter(F.col("status") == "delivered")
 
 
+def with_user(orders: DataFrame) -> DataFrame:
+    """Orders that some user placed: those without a user_id have no history."""
+    return orders.filter(F.col("user_id").isNotNull())
+
+
 def active_users(orders: DataFrame, period: Column, name: str) -> DataFrame:
     """``name`` and ``active_users``: distinct users per ``period``.
 
@@ -39,7 +44,7 @@ def active_users(orders: DataFrame, period: Column, name: str) -> DataFrame:
 
 def repeat_flags(orders: DataFrame, as_of, window_days: int = 30) -> DataFrame:
     """user_id, first_ts, repeated for users whose first delivered order is at
-    least ``window_days`` old at ``as_of``.
+    least ``window_days`` old at ``as_of``. Orders without a user_id take no part.
 
     ``repeated`` is 1 if another delivered order came later than the first, and
     at most ``window_days`` after it. Histories are cut into slots of
@@ -53,7 +58,7 @@ def repeat_flags(orders: DataFrame, as_of, window_days: int = 30) -> DataFrame:
     window = days(window_days)
     day = F.unix_date(day_of("order_ts"))
     slots = (
-        delivered(orders)
+        with_user(delivered(orders))
         .groupBy("user_id", F.floor(day / window_days).alias("slot"))
         .agg(F.min("order_ts").alias("earliest"), F.max("order_ts").alias("latest"))
     )
@@ -82,33 +87,20 @@ def first_n_orders(orders: DataFrame, n: int) -> DataFrame:
 
 
 def enrich_orders(
-    orders: DataFrame,
-    grace_minutes: float = 10,
-    heavy_orders: int = 1_000_000,
-    unit: str = "hour",
+    orders: DataFrame, grace_minutes: float = 10, unit: str = "hour"
 ) -> DataFrame:
     """Add ``order_seq`` (1 = first placed order) and ``is_late`` where absent.
 
-    Users with more than ``heavy_orders`` orders are numbered by time slot, see
-    :func:`_numbered_by_slot`; a window per user serves all others in one shuffle.
-    The list of heavy users is broadcast: it cannot be longer than the number of
-    orders divided by ``heavy_orders``.
+    All users are numbered by time slot, see :func:`_numbered_by_slot`: however many
+    orders one user has, no task holds more than those of one slot. Orders without a
+    user_id are numbered together, like those of one user.
     """
     if "is_late" not in orders.columns:
         overrun = F.col("delivery_minutes") - F.col("promised_minutes")
         orders = orders.withColumn("is_late", (overrun > grace_minutes).cast("int"))
     if "order_seq" in orders.columns:
         return orders
-    heavy = F.broadcast(
-        orders.groupBy("user_id")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > heavy_orders)
-        .select("user_id")
-    )
-    place = F.row_number().over(by_user().orderBy("order_ts", "order_id"))
-    light = orders.join(heavy, "user_id", "left_anti").withColumn("order_seq", place)
-    slotted = _numbered_by_slot(orders.join(heavy, "user_id", "left_semi"), unit)
-    return light.unionByName(slotted).select(*orders.columns, "order_seq")
+    return _numbered_by_slot(orders, unit).select(*orders.columns, "order_seq")
 
 
 def _numbered_by_slot(orders: DataFrame, unit: str) -> DataFrame:
@@ -126,9 +118,14 @@ def _numbered_by_slot(orders: DataFrame, unit: str) -> DataFrame:
     )
     return (
         slotted.withColumn("place", F.row_number().over(in_slot))
-        .join(offsets, ["user_id", "slot"])
-        .withColumn("order_seq", (F.col("earlier") + F.col("place")).cast("int"))
-        .drop("slot", "place", "earlier")
+        .alias("placed")
+        .join(
+            offsets.alias("offsets"),
+            F.expr("placed.user_id <=> offsets.user_id AND placed.slot <=> offsets.slot"),
+        )
+        .select(
+            "placed.*", (F.col("earlier") + F.col("place")).cast("int").alias("order_seq")
+        )
     )
 
 

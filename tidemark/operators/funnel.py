@@ -45,10 +45,24 @@ def funnel_by(events: DataFrame, dimension: str = "platform") -> DataFrame:
     )
 
 
+MAX_SEGMENTS = 1000
+
+
+def observed_segments(by_segment: DataFrame, dimension: str = "platform") -> list[str]:
+    """The segments that occur, in order. More than can be columns are an error, not a cut."""
+    found = by_segment.select(dimension).filter(F.col(dimension).isNotNull()).distinct()
+    names = [row[0] for row in found.limit(MAX_SEGMENTS + 1).collect()]
+    if len(names) > MAX_SEGMENTS:
+        raise ValueError(f"{dimension} has more than {MAX_SEGMENTS} values")
+    return sorted(names)
+
+
 def funnel_pivot(
-    by_segment: DataFrame, segments: Sequence[str], dimension: str = "platform"
+    by_segment: DataFrame, segments: Sequence[str] | None = None, dimension: str = "platform"
 ) -> DataFrame:
-    """Step conversion with one column per segment."""
+    """Step conversion with one column per segment: those given, or all that occur."""
+    if segments is None:
+        segments = observed_segments(by_segment, dimension)
     wide = (
         by_segment.groupBy("event_name")
         .pivot(dimension, list(segments))

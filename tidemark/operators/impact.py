@@ -38,7 +38,7 @@ def impact_model(
     The inputs are the one-row results of the operators they are named after, and
     the guardrails per arm. Build those with ``rounded=False`` for exact figures,
     or set ``rounded_inputs`` to multiply them as a report displays them.
-    ``worst`` adds the worst city and daypart cells as an array.
+    ``worst`` adds the worst city and daypart cells as an array, the worst first.
 
     Every assumption is a parameter: half of the platform gap is recoverable, the
     late rate falls by six points, and every treated user who repeats takes the
@@ -54,12 +54,12 @@ def impact_model(
         extra_orders.select("extra_orders"),
         leak.select("recoverable_orders_6mo"),
         stratified.select("adjusted_gap_pp"),
-        readout.select("abs_lift_pp", "treatment_rate_pct"),
+        readout.filter(F.col("variant") == TREATMENT).select("abs_lift_pp", "treatment_rate_pct"),
         guardrails.agg(aov_of(CONTROL).alias("aov_c"), aov_of(TREATMENT).alias("aov_t")),
     ]
     if worst is not None:
-        cell = F.struct("city", "daypart", "late_rate_pct")
-        frames.append(worst.agg(F.collect_list(cell).alias("lateness_worst_cells")))
+        cell = F.struct((-F.col("late_rate_pct")).alias("order"), "city", "daypart", "late_rate_pct")
+        frames.append(worst.agg(F.array_sort(F.collect_list(cell)).alias("lateness_worst_cells")))
     inputs = one_row(*frames)
     if rounded_inputs:
         displayed = {
@@ -98,6 +98,12 @@ def impact_model(
     def lakhs(value):
         return F.round(value / LAKH, 1)
 
+    without_order = F.transform(
+        "lateness_worst_cells",
+        lambda c: F.struct(
+            c["city"].alias("city"), c["daypart"].alias("daypart"), c["late_rate_pct"].alias("late_rate_pct")
+        ),
+    )
     return model.select(
         F.round("aov", 0).alias("aov_used"),
         F.col("extra_orders").alias("orders_per_retained_user_measured"),
@@ -114,5 +120,5 @@ def impact_model(
         F.round("aov_delta", 1).alias("nudge_aov_delta_rupees"),
         lakhs(F.col("net")).alias("nudge_net_gmv_lakh_yr"),
         lakhs(F.col("android") + F.col("lateness") + F.col("net")).alias("total_gmv_lakh_yr"),
-        *(["lateness_worst_cells"] if worst is not None else []),
+        *([without_order.alias("lateness_worst_cells")] if worst is not None else []),
     )

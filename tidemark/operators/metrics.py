@@ -30,7 +30,7 @@ def headline(users: DataFrame, orders: DataFrame, rounded: bool = True) -> DataF
             F.sum("gmv").cast("double").alias("gmv"),
             money_mean("gmv").alias("aov"),
             percent_of_flags("is_late").alias("late_pct"),
-            F.avg("rating").alias("rating"),
+            measured_mean("rating").alias("rating"),
         )
         .withColumns({"registered_users": registered, "ordering_users": ordering})
     )
@@ -51,9 +51,18 @@ def headline(users: DataFrame, orders: DataFrame, rounded: bool = True) -> DataF
     )
 
 
-def repeat_rate(orders: DataFrame, as_of, days: int = 30, rounded: bool = True) -> DataFrame:
-    """Share of matured new users with a second delivered order within ``days``."""
-    return repeat_flags(orders, as_of, days).agg(
+def repeat_rate(
+    orders: DataFrame,
+    as_of,
+    days: int = 30,
+    rounded: bool = True,
+    firsts: DataFrame | None = None,
+) -> DataFrame:
+    """Share of matured new users with a second delivered order within ``days``. ``firsts``
+    hands in the result of ``repeat_flags`` where it is already at hand."""
+    if firsts is None:
+        firsts = repeat_flags(orders, as_of, days)
+    return firsts.agg(
         F.count("*").alias("matured_new_users"),
         F.sum("repeated").alias("repeated_users"),
         rounded_if(rounded, percent_of_flags("repeated"), 2).alias(f"repeat_{days}d_rate_pct"),
@@ -94,7 +103,7 @@ def guardrails(orders: DataFrame) -> DataFrame:
         .agg(
             percent_of_flags(cancelled).alias("cancel_pct"),
             measured_mean("delivery_minutes").alias("minutes"),
-            F.avg("rating").alias("rating"),
+            measured_mean("rating").alias("rating"),
             percent(F.sum("discount"), F.sum("gmv")).alias("discount_pct"),
             money_mean(F.col("gmv") - F.col("discount")).alias("net"),
         )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def default_metrics() -> list[Metric]:
         Metric("AOV (₹)", money_mean("gmv"), "up", 0.03, 0.06),
         Metric("Late-delivery rate (%)", percent_of_flags("is_late"), "down", 0.10, 0.20),
         Metric("Avg delivery (min)", measured_mean("delivery_minutes"), "down", 0.05, 0.10),
-        Metric("Avg rating", F.avg("rating"), "up", 0.02, 0.04),
+        Metric("Avg rating", measured_mean("rating"), "up", 0.02, 0.04),
         Metric("Discount % of GMV", percent(F.sum("discount"), F.sum("gmv")), "down", 0.10, 0.20),
         Metric("Session→order conv (%)", FUNNEL, "up", 0.05, 0.10),
     ]
@@ -64,31 +65,40 @@ def weekly_metrics(
 ) -> DataFrame:
     """metric, week_start, value. All aggregates over orders come from one pass
     that keeps one row per week; active users are counted beside it. The funnel
-    takes part if ``events`` are given."""
+    takes part if ``events`` are given; a registry of one's own that names it
+    needs them."""
     registry = metrics or default_metrics()
     aggregates = [m for m in registry if isinstance(m.value, Column)]
+    for metric in registry:
+        if not isinstance(metric.value, Column) and metric.value not in (ACTIVE_USERS, FUNNEL):
+            raise ValueError(f"{metric.label}: no source is named {metric.value!r}")
+        if metrics and not isinstance(metric.value, Column) and metric.value == FUNNEL and events is None:
+            raise ValueError(f"{metric.label} needs events")
     week = week_start("order_ts").alias("week_start")
-    long = (
-        delivered(orders)
-        .groupBy(week)
-        .agg(*[m.value.cast("double").alias(m.label) for m in aggregates])
-        .unpivot("week_start", [f"`{m.label}`" for m in aggregates], "metric", "value")
-    )
+    parts = []
+    if aggregates:
+        parts.append(
+            delivered(orders)
+            .groupBy(week)
+            .agg(*[m.value.cast("double").alias(m.label) for m in aggregates])
+            .unpivot("week_start", [f"`{m.label}`" for m in aggregates], "metric", "value")
+        )
     for metric in registry:
         if isinstance(metric.value, Column):
             continue
         if metric.value == ACTIVE_USERS:
             users = active_users(delivered(orders), week_start("order_ts"), "week_start")
             one = users.withColumnRenamed("active_users", "value")
-        elif metric.value == FUNNEL and events is not None:
+        elif events is not None:
             one = funnel_weekly(events, first_step, last_step)
         else:
             continue
-        labelled = one.select(
-            F.lit(metric.label).alias("metric"), "week_start", F.col("value").cast("double")
+        parts.append(
+            one.select(
+                F.lit(metric.label).alias("metric"), "week_start", F.col("value").cast("double")
+            )
         )
-        long = long.unionByName(labelled)
-    return long.select("metric", "week_start", "value")
+    return reduce(DataFrame.unionByName, [p.select("metric", "week_start", "value") for p in parts])
 
 
 def trailing_baseline(weekly: DataFrame, n: int = 4) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import month_number, month_number_label
 from tidemark.functions.numeric import percent
-from tidemark.operators.first_orders import by_user, delivered
+from tidemark.operators.first_orders import by_user, delivered, with_user
 
 LATE_SEGMENT = "First delivery LATE"
 ON_TIME_SEGMENT = "First delivery ON TIME"
@@ -32,9 +32,12 @@ def _curve(active: DataFrame, cohort: str) -> DataFrame:
 
 
 def cohort_matrix(orders: DataFrame) -> DataFrame:
-    """Share of each first-order month's users who ordered k calendar months later."""
+    """Share of each first-order month's users who ordered k calendar months later.
+    Orders without a user_id belong to no cohort."""
     months = (
-        delivered(orders).select("user_id", month_number("order_ts").alias("month")).distinct()
+        with_user(delivered(orders))
+        .select("user_id", month_number("order_ts").alias("month"))
+        .distinct()
     )
     active = months.withColumn("cohort", F.min("month").over(by_user())).withColumn(
         "period_index", F.col("month") - F.col("cohort")
@@ -48,11 +51,23 @@ def cohort_matrix(orders: DataFrame) -> DataFrame:
     )
 
 
+def observed_periods(matrix: DataFrame) -> range:
+    """All periods from the earliest cohort's month to the latest month in ``matrix``:
+    one aggregate, one row, whatever the number of orders."""
+    month = F.col("cohort_month")
+    start = F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int")
+    first, last = matrix.agg(F.min(start), F.max(start + F.col("period_index"))).first()
+    return range(0 if first is None else last - first + 1)
+
+
 def cohort_pivot(
-    matrix: DataFrame, periods: Sequence[int], fill: float | None = None
+    matrix: DataFrame, periods: Sequence[int] | None = None, fill: float | None = None
 ) -> DataFrame:
-    """One row per cohort, one column m0, m1, ... per period. A period that was
-    not observed stays NULL unless ``fill`` is given."""
+    """One row per cohort, one column m0, m1, ... per period: those given, or all that the
+    months of ``matrix`` allow. A period that was not observed stays NULL unless ``fill``
+    is given."""
+    if periods is None:
+        periods = observed_periods(matrix)
     wide = (
         matrix.groupBy("cohort_month", "cohort_size")
         .pivot("period_index", list(periods))
@@ -73,7 +88,7 @@ def cohort_by_late(orders: DataFrame) -> DataFrame:
     user over many tasks; the month and user levels above it are small.
     """
     per_instant = (
-        orders.groupBy("user_id", "order_ts")
+        with_user(orders).groupBy("user_id", "order_ts")
         .agg(
             F.max(F.when(F.col("status") == "delivered", 1).otherwise(0)).alias("has_delivered"),
             F.max("is_late").alias("late"),

@@ -18,7 +18,6 @@ from tidemark.operators import (
     retention,
     segments,
 )
-from tidemark.plans.session import tuned
 from tidemark.sources.results import write_results
 from tidemark.sources.scratch import scratch_path
 from tidemark.sources.star import (
@@ -35,26 +34,26 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2001-08-01"
 OUTCOME_DAYS = 90
 OUTCOME = f"repeat_within_{OUTCOME_DAYS}d"
-COHORT_PERIODS = 12
+SHORT_DAYS = 14
+REPORT_WEEK = "2001-06-18"
 MIN_CELL = 5
 
 QUERIES: dict[str, Query] = {}
 
 
 def query(build: Query) -> Query:
-    def run(spark: SparkSession, directory: str) -> DataFrame:
-        return build(tuned(spark), directory)
+    QUERIES[build.__name__] = build
+    return build
 
-    QUERIES[build.__name__] = run
-    return run
 
-
-def features_of(spark: SparkSession, directory: str, ties: str = "all") -> DataFrame:
-    firsts = first_orders.repeat_flags(orders_of(spark, directory), AS_OF)
+def features_of(
+    spark: SparkSession, directory: str, ties: str = "all", days: int = 30
+) -> DataFrame:
+    firsts = first_orders.repeat_flags(orders_of(spark, directory), AS_OF, days)
     keys = firsts.select("user_id", F.col("first_ts").alias("order_ts"))
     orders = orders_of(spark, directory, city=True, delivery=True, only=keys)
     return drivers.first_order_features(
-        users_of(spark, directory), orders, AS_OF, ties=ties, firsts=firsts
+        users_of(spark, directory), orders, AS_OF, days, ties=ties, firsts=firsts
     )
 
 
@@ -65,17 +64,27 @@ def outcomes_of(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def primary_of(spark: SparkSession, directory: str) -> DataFrame:
-    return experiment.ab_primary(outcomes_of(spark, directory), OUTCOME)
+    return experiment.ab_primary(outcomes_of(spark, directory), OUTCOME_DAYS)
+
+
+def first_deliveries_of(spark: SparkSession, directory: str, outcomes: DataFrame) -> DataFrame:
+    """The orders that experiment users were assigned with."""
+    firsts = outcomes.select("user_id", F.col("assigned_ts").alias("order_ts"))
+    return orders_of(spark, directory, delivery=True, only=firsts)
 
 
 def split_of(spark: SparkSession, directory: str) -> DataFrame:
+    outcomes = outcomes_of(spark, directory)
     return experiment.ab_by_segment(
-        outcomes_of(spark, directory), orders_of(spark, directory, delivery=True), OUTCOME
+        outcomes, first_deliveries_of(spark, directory, outcomes), OUTCOME_DAYS
     )
 
 
 def weekly_of(spark: SparkSession, directory: str) -> DataFrame:
-    return monitor.weekly_metrics(orders_of(spark, directory, delivery=True))
+    """All nine metrics; the funnel of the binding has four steps."""
+    return monitor.weekly_metrics(
+        orders_of(spark, directory, delivery=True), events_of(spark, directory), last_step=4
+    )
 
 
 def classified_of(spark: SparkSession, directory: str) -> DataFrame:
@@ -132,7 +141,7 @@ def cohort_matrix(spark, directory):
 @query
 def cohort_pivot(spark, directory):
     matrix = retention.cohort_matrix(orders_of(spark, directory))
-    return retention.cohort_pivot(matrix, range(COHORT_PERIODS))
+    return retention.cohort_pivot(matrix)
 
 
 @query
@@ -173,7 +182,7 @@ def funnel_weekly(spark, directory):
 @query
 def funnel_pivot(spark, directory):
     by_platform = funnel.funnel_by(events_of(spark, directory), "platform")
-    return funnel.funnel_pivot(by_platform, ("Android", "iOS"))
+    return funnel.funnel_pivot(by_platform)
 
 
 # Segmentation
@@ -217,7 +226,7 @@ def repeat_by_late(spark, directory):
 @query
 def late_gap_test(spark, directory):
     test = drivers.late_gap_test(features_of(spark, directory))
-    return test.select("raw_gap_pp", F.round("z", 6).alias("z"), _six_places("p_value"))
+    return test.select("raw_gap_pp", F.round("z", 6).alias("z"), _six_digits("p_value"))
 
 
 @query
@@ -235,6 +244,35 @@ def repeat_by_segment(spark, directory):
     return drivers.repeat_by_segment(features_of(spark, directory))
 
 
+@query
+def repeat_by_late_14d(spark, directory):
+    features = features_of(spark, directory, days=SHORT_DAYS)
+    return drivers.repeat_by_late(features, SHORT_DAYS)
+
+
+@query
+def late_gap_test_14d(spark, directory):
+    test = drivers.late_gap_test(features_of(spark, directory, days=SHORT_DAYS), SHORT_DAYS)
+    return test.select("raw_gap_pp", F.round("z", 6).alias("z"), _six_digits("p_value"))
+
+
+@query
+def repeat_by_late_stratified_14d(spark, directory):
+    features = features_of(spark, directory, days=SHORT_DAYS)
+    return drivers.repeat_by_late_stratified(features, MIN_CELL, days=SHORT_DAYS)
+
+
+@query
+def dose_response_14d(spark, directory):
+    return drivers.dose_response(features_of(spark, directory, days=SHORT_DAYS), days=SHORT_DAYS)
+
+
+@query
+def repeat_by_segment_14d(spark, directory):
+    features = features_of(spark, directory, days=SHORT_DAYS)
+    return drivers.repeat_by_segment(features, SHORT_DAYS)
+
+
 @query
 def segment_deviation(spark, directory):
     return drivers.segment_deviation(
@@ -261,10 +299,10 @@ def worst_cells(spark, directory):
 # Experiment readout
 
 
-def _six_places(name: str):
-    """The tail fit goes through exp(), which engines round differently in the
-    last bit; six decimals of a p-value are the same everywhere."""
-    return F.round(name, 6).alias(name)
+def _six_digits(name: str):
+    """Engines round exp() differently in the last bit, and a p-value may be very small: six
+    significant digits are the same everywhere."""
+    return F.format_string("%.5e", name).cast("double").alias(name)
 
 
 @query
@@ -280,14 +318,13 @@ def srm_check(spark, directory):
 @query
 def srm_test(spark, directory):
     test = experiment.srm_test(experiment.srm_check(outcomes_of(spark, directory)))
-    return test.select(F.round("chi2", 6).alias("chi2"), "df", _six_places("p_value"), "passed")
+    return test.select(F.round("chi2", 6).alias("chi2"), "df", _six_digits("p_value"), "passed")
 
 
 @query
 def ab_balance(spark, directory):
-    return experiment.ab_balance(
-        outcomes_of(spark, directory), orders_of(spark, directory, delivery=True)
-    )
+    outcomes = outcomes_of(spark, directory)
+    return experiment.ab_balance(outcomes, first_deliveries_of(spark, directory, outcomes))
 
 
 @query
@@ -298,14 +335,14 @@ def ab_primary(spark, directory):
 @query
 def ab_readout(spark, directory):
     return experiment.ab_readout(primary_of(spark, directory)).withColumn(
-        "p_value", _six_places("p_value")
+        "p_value", _six_digits("p_value")
     )
 
 
 @query
 def ab_readout_by_segment(spark, directory):
     return experiment.ab_readout(split_of(spark, directory), by=["segment"]).withColumn(
-        "p_value", _six_places("p_value")
+        "p_value", _six_digits("p_value")
     )
 
 
@@ -326,12 +363,12 @@ def ab_by_segment(spark, directory):
 
 @query
 def ab_segment_lift(spark, directory):
-    return experiment.ab_segment_lift(split_of(spark, directory))
+    return experiment.ab_segment_lift(split_of(spark, directory), OUTCOME_DAYS)
 
 
 @query
 def ab_lift(spark, directory):
-    return experiment.ab_lift(primary_of(spark, directory))
+    return experiment.ab_lift(primary_of(spark, directory), days=OUTCOME_DAYS)
 
 
 # Weekly monitor
@@ -362,11 +399,17 @@ def weekly_report(spark, directory):
     return monitor.weekly_report(classified_of(spark, directory))
 
 
+@query
+def weekly_report_of_a_week(spark, directory):
+    return monitor.weekly_report(classified_of(spark, directory), REPORT_WEEK)
+
+
 @query
 def late_drilldown(spark, directory):
     return monitor.late_drilldown(
         orders_of(spark, directory, city=True, delivery=True),
-        report=monitor.weekly_report(classified_of(spark, directory)),
+        week=REPORT_WEEK,
+        report=monitor.weekly_report(classified_of(spark, directory), REPORT_WEEK),
     )
 
 
@@ -386,9 +429,19 @@ def _impact(spark, directory, rounded: bool):
         drivers.repeat_by_late_stratified(features_of(spark, directory), MIN_CELL, rounded=False),
         experiment.ab_readout(primary, rounded=False),
         experiment.ab_guardrails(outcomes_of(spark, directory), rounded=False),
+        drivers.worst_cells(city_hour_of(spark, directory)),
         rounded_inputs=rounded,
-    ).withColumn(
-        "orders_per_retained_user_measured", F.round("orders_per_retained_user_measured", 6)
+    ).withColumns(
+        {
+            "orders_per_retained_user_measured": F.round("orders_per_retained_user_measured", 6),
+            "lateness_worst_cells": F.array_join(
+                F.transform(
+                    "lateness_worst_cells",
+                    lambda c: F.format_string("%s, %s: %.1f", c["city"], c["daypart"], c["late_rate_pct"]),
+                ),
+                "; ",
+            ),
+        }
     )
 
 

@@ -16,6 +16,7 @@ from tidemark.operators import (
     retention,
     segments,
 )
+from tidemark.operators.first_orders import repeat_flags
 from tidemark.sources.scratch import park
 
 
@@ -23,30 +24,33 @@ def full_report(
     tables: Mapping[str, DataFrame],
     as_of,
     *,
-    cohort_periods: int = 12,
     min_cell: int = 20,
     months: float = 6.0,
 ) -> dict[str, DataFrame]:
     """All tables of the analysis by name, ready for ``write_results``.
 
-    The first-order features feed six of them and are parked once; the scores
-    park their own per-user table. Everything else stays lazy.
+    What several tables are made from is parked once: the first-order features, and every
+    small result that another table or the impact model reads again. The impact model multiplies
+    exact inputs.
     """
     users, orders = tables["users"], tables["orders"]
     events, assignments = tables["app_events"], tables["ab_test_assignments"]
 
-    features = park(drivers.first_order_features(users, orders, as_of), "features")
+    firsts = park(repeat_flags(orders, as_of), "firsts")
+    features = park(
+        drivers.first_order_features(users, orders, as_of, firsts=firsts), "features"
+    )
     headline = metrics.headline(users, orders)
-    north_star = metrics.repeat_rate(orders, as_of)
-    matrix = retention.cohort_matrix(orders)
-    late_curve = retention.cohort_by_late(orders)
-    by_platform = funnel.funnel_by(events, "platform")
+    north_star = park(metrics.repeat_rate(orders, as_of, firsts=firsts), "north-star")
+    matrix = park(retention.cohort_matrix(orders), "cohorts")
+    late_curve = park(retention.cohort_by_late(orders), "late-curve")
+    by_platform = park(funnel.funnel_by(events, "platform"), "platforms")
     scores = segments.rfm_scores(orders, as_of)
-    by_segment = drivers.repeat_by_segment(features)
-    city_hour = drivers.late_by_city_hour(orders)
-    arms = experiment.srm_check(assignments)
-    primary = experiment.ab_primary(assignments)
-    split = experiment.ab_by_segment(assignments, orders)
+    by_segment = park(drivers.repeat_by_segment(features), "by-segment")
+    city_hour = park(drivers.late_by_city_hour(orders), "city-hour")
+    arms = park(experiment.srm_check(assignments), "arms")
+    primary = park(experiment.ab_primary(assignments), "primary")
+    split = park(experiment.ab_by_segment(assignments, orders), "split")
     return {
         "headline": headline,
         "north_star": north_star,
@@ -54,12 +58,12 @@ def full_report(
         "guardrails": metrics.guardrails(orders),
         "hour_of_day": metrics.hour_of_day(orders),
         "cohort_matrix": matrix,
-        "cohort_pivot": retention.cohort_pivot(matrix, range(cohort_periods)),
+        "cohort_pivot": retention.cohort_pivot(matrix),
         "cohort_by_late": late_curve,
         "cohort_by_late_pivot": retention.cohort_by_late_pivot(late_curve),
         "funnel": funnel.funnel(events),
         "funnel_by_platform": by_platform,
-        "funnel_pivot": funnel.funnel_pivot(by_platform, ("Android", "iOS")),
+        "funnel_pivot": funnel.funnel_pivot(by_platform),
         "payment_leak": funnel.leak_size(events),
         "rfm_summary": segments.rfm_summary(scores),
         "behaviour_by_channel": segments.behaviour_by_channel(users, orders),

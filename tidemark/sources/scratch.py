@@ -2,35 +2,26 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder: on a
-    cluster, executors could not read each other's.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    master = spark.conf.get("spark.master", "local")
-    if not master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder()
+    """The shared folder that the session names in ``spark.checkpoint.dir``; without that
+    setting the session's warehouse, which executors share as well."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
+def clean_up(spark: SparkSession) -> None:
+    """Delete everything that this application has parked. Frames that read it are void then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def park(frame: DataFrame, label: str) -> DataFrame:

@@ -67,8 +67,8 @@ def orders_of(
 ) -> DataFrame:
     """Orders; ``city`` adds the user's city, ``delivery`` the columns that come
     from line items: discount, delivery_minutes and is_late. ``only`` holds the
-    user_id and order_ts of the orders wanted, and thins them out before those
-    joins."""
+    user_id and order_ts of the orders wanted, and thins out orders and line items
+    before those joins."""
     columns = [
         "order_id",
         "user_id",
@@ -93,7 +93,8 @@ def orders_of(
     if only is not None:
         orders = orders.join(only, ["user_id", "order_ts"], "left_semi")
     if delivery:
-        orders = orders.join(_shipments(spark, directory), "order_id", "left")
+        wanted = None if only is None else orders.select("order_id")
+        orders = orders.join(_shipments(spark, directory, wanted), "order_id", "left")
         columns += [
             "discount",
             "2D + datediff(last_ship, placed_on) / 40D AS delivery_minutes",
@@ -106,13 +107,18 @@ def orders_of(
     return orders.selectExpr(*columns)
 
 
-def _shipments(spark: SparkSession, directory: str) -> DataFrame:
-    """Last shipping date and exact discount per order. Cents times hundredths
-    are summed as longs, ten-thousandths of the currency unit."""
+def _shipments(
+    spark: SparkSession, directory: str, wanted: DataFrame | None = None
+) -> DataFrame:
+    """Last shipping date and exact discount per order, of the ``wanted`` orders if given: line
+    items of others go before they are grouped. Cents times hundredths are summed as longs,
+    ten-thousandths of the currency unit."""
+    items = _table(spark, directory, "lineitem").withColumnRenamed("l_orderkey", "order_id")
+    if wanted is not None:
+        items = items.join(wanted, "order_id", "left_semi")
     units = F.expr("sum(bigint(rint(l_extendedprice * 100D)) * bigint(rint(l_discount * 100D)))")
     return (
-        _table(spark, directory, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("order_id"))
+        items.groupBy("order_id")
         .agg(F.max("l_shipdate").alias("last_ship"), units.alias("units"))
         .selectExpr(
             "order_id",
