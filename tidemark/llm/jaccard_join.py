@@ -178,8 +178,9 @@ def _region_rows(prefixes: DataFrame, share: int) -> DataFrame:
     """
     ordinary = prefixes.select("node", "n", F.explode(F.slice("pivots", F.lit(1), F.col("cold"))).alias("s"))
     by_size = Window.partitionBy("s").orderBy("n", "node")
-    gap = ~F.coalesce(_compatible(F.lag("n").over(by_size), F.col("n"), share), F.lit(False))
-    end = ~F.coalesce(_compatible(F.lead("n").over(by_size), F.col("n"), share), F.lit(False))
+    before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    gap = before.isNull() | ~_compatible(before, F.col("n"), share)  # least() passes over nulls
+    end = after.isNull() | ~_compatible(after, F.col("n"), share)
     runs = (
         ordinary.withColumn("gap", gap).withColumn("end", end).filter("not (gap and end)")
         .withColumn("run", F.sum(F.col("gap").cast("int")).over(by_size))
