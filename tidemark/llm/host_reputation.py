@@ -64,11 +64,9 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     add = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = hosts.groupBy("suffix", "domain").agg(*add)
     suffixes = domains.groupBy("suffix").agg(*add)
-    suffixes = suffixes.withColumn("all", F.lit(1))
-    everything = suffixes.groupBy("all").agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("share"))  # one row
-    top = suffixes.join(F.broadcast(everything), "all")
-    kept = _strength(top, "all", "share")
-    top = top.join(F.broadcast(kept), "all", "left")
+    share = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("share")).scalar()
+    top = suffixes.withColumn("share", share).withColumn("all", F.lit(1))
+    top = top.withColumn("strength", _strength(top, "all", "share").select("strength").scalar())
     shrunk = lambda prior: (F.col("bad") + F.coalesce("strength", F.lit(1000.0)) * F.col(prior)) / (F.col("n") + F.coalesce("strength", F.lit(1000.0)))
     suffix_level = top.select("suffix", shrunk("share").alias("suffix_share"))
     domain_in = domains.join(suffix_level, "suffix")
