@@ -279,7 +279,10 @@ def convert(archives: DataFrame, records: DataFrame, least: int = 0) -> DataFram
     tasks_import(spark)
     revisits = find_revisits(records, least)
     folder = scratch_path(spark, "warc")
-    written = archives.select("archive").groupBy("archive").cogroup(revisits.groupBy("archive")).applyInArrow(
+    # as many partitions as archives, which small rows must not be merged into fewer
+    n = max(1, archives.count())
+    left, right = archives.select("archive").repartition(n, "archive"), revisits.repartition(n, "archive")
+    written = left.groupBy("archive").cogroup(right.groupBy("archive")).applyInArrow(
         partial(_convert, folder=folder), "warc string, n_records long, n_revisits long"
     )
     return park(written, "warc-files")
