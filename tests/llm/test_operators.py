@@ -427,7 +427,7 @@ def test_rules_and_reputation(spark):
         (None, "s://www.bad.net/\nk", "www.bad.net", "/\nk", None, "block"),
     ]
     pages = spark.createDataFrame([u[:2] for u in urls], "page_id long, url string").withColumn("verdict", F.lit(""))
-    seen = [("bad.net", 1)] * 60 + [("www.bad.net", 1)] * 60 + [("good.net", 0)] * 60 + [("", None), ("other.com", 0), ("other.com", None)]
+    seen = [("bad.net", 1)] * 60 + [("www.bad.net", 1)] * 60 + [("good.net", 0)] * 60 + [("", None), ("other.com", None)] + [("fine.com", 0)] * 600
     outcomes = spark.createDataFrame(seen, "host string, bad int")
     rules = [("block", "example.org/es/"), ("allow", "org/")]
     got = [tuple(r)[:5] for r in host_reputation.judge(pages, outcomes, rules).collect()]

@@ -46,8 +46,10 @@ def templated(docs: DataFrame, depth: int = 4, min_tokens: int = 5, min_docs: in
     each = shared.select("row_key", "doc_id", "at", "leaf", F.posexplode("fields").alias("j", "field")).filter("field is not null or j = 0")
     common = each.filter("field is not null").groupBy("leaf", "j", "field").agg(F.count("*").alias("k")).filter(F.col("k") >= min_docs)
     marked = each.join(common.withColumn("common", F.lit(True)), ["leaf", "j", "field"], "left")
-    parts = F.array_sort(F.collect_list(F.when(F.col("common"), F.struct("j", "field"))))
-    grouped = marked.groupBy("row_key", "doc_id", "at", "leaf").agg(parts.alias("parts"), F.count("field").alias("present"))
+    # sets, as rows with equal doc_id and text are one document
+    parts = F.array_sort(F.collect_set(F.when(F.col("common"), F.struct("j", "field"))))
+    present = F.size(F.collect_set(F.when(F.col("field").isNotNull(), F.col("j"))))
+    grouped = marked.groupBy("row_key", "doc_id", "at", "leaf").agg(parts.alias("parts"), present.alias("present"))
     return grouped.filter(F.size("parts") >= constant * F.col("present")).select(
         "row_key", "doc_id", "at", F.xxhash64("leaf", "parts").alias("template")
     )
