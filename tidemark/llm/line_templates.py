@@ -41,10 +41,12 @@ def templated(docs: DataFrame, depth: int = 4, min_tokens: int = 5, min_docs: in
     """row_key, doc_id, at, template of the lines that may recur: those of whose fields at least the share
     ``constant`` belongs to the template."""
     lines = park(_lines(docs, depth, min_tokens), "lines")
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("k")).filter(F.col("k") >= min_docs).select("leaf")
+    # parked, so that the join below deals out both sides and may split a leaf of very many lines
+    leaves = park(lines.groupBy("leaf").agg(F.count("*").alias("k")).filter(F.col("k") >= min_docs).select("leaf"), "leaves")
     shared = park(lines.join(leaves, "leaf"), "shared-lines")
     each = shared.select("row_key", "doc_id", "at", "leaf", F.posexplode("fields").alias("j", "field")).filter("field is not null or j = 0")
-    common = each.filter("field is not null").groupBy("leaf", "j", "field").agg(F.count("*").alias("k")).filter(F.col("k") >= min_docs)
+    counted = each.filter("field is not null").groupBy("leaf", "j", "field").agg(F.count("*").alias("k"))
+    common = park(counted.filter(F.col("k") >= min_docs).drop("k"), "fields")
     marked = each.join(common.withColumn("common", F.lit(True)), ["leaf", "j", "field"], "left")
     # sets, as rows with equal doc_id and text are one document
     parts = F.array_sort(F.collect_set(F.when(F.col("common"), F.struct("j", "field"))))
@@ -65,7 +67,8 @@ def recurring_lines(docs: DataFrame, depth: int = 4, min_tokens: int = 5, min_do
     lines = park(templated(docs, depth, min_tokens, min_docs, constant), "templates")
     per_doc = lines.groupBy("template", "row_key").agg(F.min("doc_id").alias("doc_id"))
     templates = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "row_key")).alias("first"))
-    again = lines.join(templates.filter(F.col("docs") >= min_docs), "template").filter("row_key <> first.row_key")
+    recurring = park(templates.filter(F.col("docs") >= min_docs).select("template", "first"), "recurring")
+    again = lines.join(recurring, "template").filter("row_key <> first.row_key")
     return again.groupBy("row_key").agg(F.collect_set("at").alias("dropped"))
 
 
