@@ -16,7 +16,8 @@ pair, larger ones after a split into the Voronoi regions of several pivot texts,
 replicated to each pivot that is no more than twice the link distance farther than its nearest.
 That goes on until no large region is left, or one can't be split and is joined pair by pair.
 
-Distances come from whole sets. Sets are compared as 64-bit hashes; equal sets are one node.
+Pairs whose prefixes have too little in common for a link are put aside first; distances of the
+others come from whole sets. Sets are compared as 64-bit hashes; equal sets are one node.
 Two different shingles or sets with one hash would be taken as equal, at odds of about 2^-64 a pair.
 """
 
@@ -195,6 +196,32 @@ def _region_rows(prefixes: DataFrame, share: int) -> DataFrame:
     return cold.unionAll(hot)
 
 
+def _plausible(pairs: DataFrame, prefixes: DataFrame, share: int) -> DataFrame:
+    """The pairs (u, v) whose prefixes have enough in common for a link.
+
+    Of two prefixes in one order, what the sets share beyond the common part of both lies behind the
+    end of the prefix that ends first. So they share at most that part and the longer rest.
+    """
+    side = lambda name: prefixes.select(
+        F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("pivots").alias(f"p_{name}")
+    )
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    rest = F.greatest(F.col("n_u") - F.size("p_u"), F.col("n_v") - F.size("p_v"))
+    most = F.size(F.array_intersect("p_u", "p_v")) + rest
+    return both.filter(100 * most >= share * (F.col("n_u") + F.col("n_v") - most)).select("u", "v")
+
+
+def _sets_of(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, items of at least these nodes, by another pass over the texts."""
+    chosen = texts.sparkSession.sparkContext.broadcast(_filter_of(nodes))
+    passed = texts.select("text").mapInArrow(partial(_wanted_sets, width=width, chosen=chosen), "node long, items array<long>")
+    return park(passed.groupBy("node").agg(F.first("items").alias("items")), "sets")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
+
 def _measured(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The distance of each pair (u, v, distinct) and whether it is a link."""
     left = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("left")), "u")
@@ -232,12 +259,15 @@ def link_components(texts: DataFrame, width: int, share: int) -> DataFrame:
     # copies are one node: dropped in the map tasks first
     prefixes = park(found.groupBy("node").agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"), F.first("cold").alias("cold")), "prefixes")
     regions = park(_region_rows(prefixes, share), "regions")
-    chosen = spark.sparkContext.broadcast(_filter_of(regions.select("node").distinct()))
-    passed = texts.select("text").mapInArrow(partial(_wanted_sets, width=width, chosen=chosen), "node long, items array<long>")
-    sets = park(passed.groupBy("node").agg(F.first("items").alias("items")), "sets")
 
-    first = regions.filter("node <> pivot").select(*_pairs(F.col("node"), F.col("pivot"))).distinct()
-    links = park(_measured(first, sets, share).filter("linked").select("u", "v"), "links")
+    def links_among(pairs: DataFrame) -> DataFrame:
+        likely = park(_plausible(pairs, prefixes, share), "likely")
+        if likely.isEmpty():
+            return likely
+        sets = _sets_of(texts, _ends(likely), width)
+        return park(_measured(likely, sets, share).filter("linked").select("u", "v"), "links")
+
+    links = links_among(regions.filter("node <> pivot").select(*_pairs(F.col("node"), F.col("pivot"))).distinct())
     labels = park(components(links), "labels")
     rows = _labelled(regions.filter("node <> pivot").select("region", "node", "n"), labels)
     left = park(_undecided(rows), "undecided")
@@ -248,7 +278,7 @@ def link_components(texts: DataFrame, width: int, share: int) -> DataFrame:
             (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
         ).filter(_compatible(F.col("a.n"), F.col("b.n"), share))
         pairs = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-        links = links.unionAll(park(_measured(pairs, sets, share).filter("linked").select("u", "v"), "links"))
+        links = links.unionAll(links_among(pairs))
         large = left.filter(F.col("k") > SMALL)
         if large.isEmpty():
             break
@@ -257,7 +287,8 @@ def link_components(texts: DataFrame, width: int, share: int) -> DataFrame:
         order = Window.partitionBy("region").orderBy("pivot")
         pivots = park(heads.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= PIVOTS).select("region", "pivot"), "pivots")
         beside = large.join(pivots, "region").filter("node <> pivot")
-        distances = park(_measured(beside.select(*_pairs(F.col("node"), F.col("pivot"))).distinct(), sets, share), "distances")
+        tried = park(beside.select(*_pairs(F.col("node"), F.col("pivot"))).distinct(), "tried")
+        distances = park(_measured(tried, _sets_of(texts, _ends(tried), width), share), "distances")
         links = links.unionAll(distances.filter("linked").select("u", "v"))
         labels = park(components(links), "labels")
         reach = beside.select("region", "node", "n", "k", "pivot", *_pairs(F.col("node"), F.col("pivot"))).join(distances, ["u", "v"])
