@@ -447,6 +447,31 @@ priced AS (
 FEATURE_COLUMNS = """user_id, first_ts, city, platform, is_late, rating, delivery_minutes,
   promised_minutes, acquisition_channel, is_member, repeated AS repeated_30d, minutes_late"""
 
+# table, view, then its columns: numbers after the bar, texts and times before it
+TABLE_COLUMNS = (
+    ("users", "users_v", "city platform acquisition_channel | user_id is_member"),
+    ("orders", "orders_2", "order_ts city platform status | order_id user_id gmv discount promised_minutes delivery_minutes is_late rating"),
+    ("app_events", "events_2", "event_ts event_name platform | session_id user_id step_no"),
+    ("ab_test_assignments", "arms_2", "assigned_ts variant | user_id first_order_id repeat_within_14d second_order_aov second_order_cancelled coupon_cost"),
+)
+
+
+def column_checks() -> str:
+    parts = []
+    for name, view, columns in TABLE_COLUMNS:
+        texts, numbers = (half.split() for half in columns.split("|"))
+        for c in texts:
+            parts.append(f"SELECT '{name}' AS table_name, '{c}' AS column_name, COUNT({c}) AS n_values, {dbl(f'SUM(LENGTH(CAST({c} AS VARCHAR)))')} AS total, CAST(MIN({c}) AS VARCHAR) AS lowest, CAST(MAX({c}) AS VARCHAR) AS highest FROM {view}")
+        for c in numbers:
+            parts.append(f"SELECT '{name}', '{c}', COUNT({c}), {dbl(f'SUM(CAST(ROUND({c} * 10000) AS BIGINT))')}, NULL, NULL FROM {view}")
+    return sql(
+        " UNION ALL ".join(parts),
+        "orders_2 AS (SELECT * REPLACE (ROUND(discount, 2) AS discount) FROM orders_v)",
+        "events_2 AS (SELECT * REPLACE (CAST(DATE_TRUNC('second', event_ts) AS TIMESTAMP) AS event_ts) FROM events_v)",
+        "arms_2 AS (SELECT *, repeat_within_90d AS repeat_within_14d FROM arms_v)",
+    )
+
+
 MONTHS_OF_ORDERS = 80  # that the orders table spans
 
 ORACLES: dict[str, str] = {
@@ -689,16 +714,9 @@ ORACLES: dict[str, str] = {
           CASE WHEN delivery_minutes IS NULL THEN NULL
                WHEN delivery_minutes - 32 > 10 THEN 1 ELSE 0 END AS is_late
         FROM orders_v"""),
-    "read_tables": sql("""
-        SELECT 'users' AS table_name, COUNT(*) AS n_rows, CAST(SUM(user_id) AS BIGINT) AS user_id_sum,
-          CAST(SUM(is_member) AS DOUBLE) AS total, CAST(NULL AS TIMESTAMP) AS latest FROM users_v
-        UNION ALL SELECT 'orders', COUNT(*), CAST(SUM(user_id) AS BIGINT),
-          CAST(SUM(gmv) AS DOUBLE), MAX(order_ts) FROM orders_v
-        UNION ALL SELECT 'app_events', COUNT(*), CAST(SUM(user_id) AS BIGINT),
-          CAST(SUM(step_no) AS DOUBLE), DATE_TRUNC('second', MAX(event_ts)) FROM events_v
-        UNION ALL SELECT 'ab_test_assignments', COUNT(*), CAST(SUM(user_id) AS BIGINT),
-          CAST(SUM(coupon_cost) AS DOUBLE), MAX(assigned_ts) FROM arms_v"""),
+    "read_tables": column_checks(),
 }
+ORACLES["read_tables_parquet"] = ORACLES["read_tables"]
 ORACLES["write_results_json"] = ORACLES["guardrails"]
 
 # The same queries over a window of 14 days.

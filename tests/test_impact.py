@@ -15,7 +15,7 @@ def inputs(spark, aov=447.0, extra=2.72):
         row("extra_orders double", extra),
         row("recoverable_orders_6mo double", 15491.0),
         row("adjusted_gap_pp double", 11.78),
-        row("abs_lift_pp double, treatment_rate_pct double", 3.291, 22.277),
+        row("variant string, abs_lift_pp double, treatment_rate_pct double", "treatment", 3.291, 22.277),
         guardrails,
     ]
 

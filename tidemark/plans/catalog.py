@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import (
     drivers,
@@ -466,41 +468,61 @@ def enrich_orders(spark, directory):
     )
 
 
-@query
-def read_tables(spark, directory):
-    """Write all four tables as CSV, read them back typed, and sum each one up."""
-    path = scratch_path(spark, "csv")
+def _column_checks(name: str, table: DataFrame) -> DataFrame:
+    """One row per column: how many values, their sum in ten-thousandths (of texts and times: their
+    total length), and the lowest and highest text or time. All columns in one pass."""
+    checks = []
+    for field in table.schema.fields:
+        column = F.col(field.name)
+        if isinstance(field.dataType, T.NumericType):
+            total, low, high = F.sum(F.rint(column * 10000).cast("long")), F.lit(None), F.lit(None)
+        else:
+            text = column.cast("string")
+            total, low, high = F.sum(F.length(text)), F.min(column), F.max(column)
+        checks.append(
+            F.struct(
+                F.lit(field.name).alias("column_name"),
+                F.count(column).alias("n_values"),
+                total.cast("double").alias("total"),
+                low.cast("string").alias("lowest"),
+                high.cast("string").alias("highest"),
+            )
+        )
+    return table.agg(F.array(*checks).alias("checks")).select(
+        F.lit(name).alias("table_name"), F.explode("checks").alias("check")
+    ).select("table_name", "check.*")
+
+
+def _round_trip(spark: SparkSession, directory: str, fmt: str) -> DataFrame:
+    """Write all four tables, read them back typed, and sum up every column."""
+    path = scratch_path(spark, fmt)
     orders = orders_of(spark, directory, city=True, delivery=True)
-    outcomes = outcomes_of(spark, directory).withColumnRenamed(OUTCOME, "repeat_within_14d")
     sources = {
         "users": users_of(spark, directory).withColumnRenamed("is_member", "is_gold"),
-        "orders": orders.drop("discount"),
+        "orders": orders.withColumn("discount", F.round("discount", 2).cast("decimal(18,2)")),
         "app_events": events_of(spark, directory).withColumn(
             "event_ts", F.date_trunc("second", "event_ts").cast("timestamp_ntz")
         ),
-        "ab_test_assignments": outcomes,
-    }
-    paths = write_results(sources, path, "csv")
-    totals = {
-        "users": F.sum("is_member"),
-        "orders": F.sum("gmv"),
-        "app_events": F.sum("step_no"),
-        "ab_test_assignments": F.sum("coupon_cost"),
+        "ab_test_assignments": outcomes_of(spark, directory).withColumnRenamed(
+            OUTCOME, "repeat_within_14d"
+        ),
     }
-    times = {"orders": "order_ts", "app_events": "event_ts", "ab_test_assignments": "assigned_ts"}
-    summed = None
-    for name, total in totals.items():
-        table = read_table(spark, name, paths[name], "csv", view=False)
-        latest = F.max(times[name]) if name in times else F.lit(None).cast("timestamp_ntz")
-        part = table.agg(
-            F.lit(name).alias("table_name"),
-            F.count("*").alias("n_rows"),
-            F.sum("user_id").alias("user_id_sum"),
-            total.cast("double").alias("total"),
-            latest.alias("latest"),
-        )
-        summed = part if summed is None else summed.unionByName(part)
-    return summed
+    paths = write_results(sources, path, fmt)
+    checks = [
+        _column_checks(name, read_table(spark, name, paths[name], fmt, view=False))
+        for name in sources
+    ]
+    return reduce(DataFrame.unionByName, checks)
+
+
+@query
+def read_tables(spark, directory):
+    return _round_trip(spark, directory, "csv")
+
+
+@query
+def read_tables_parquet(spark, directory):
+    return _round_trip(spark, directory, "parquet")
 
 
 @query
