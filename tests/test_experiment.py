@@ -8,6 +8,7 @@ from tidemark.functions.statistics import chi_square_tail, erfc
 from tidemark.operators import experiment
 
 
+# Published figures, here and below.
 @pytest.fixture(scope="module")
 def published(spark):
     return spark.createDataFrame(

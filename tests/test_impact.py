@@ -2,6 +2,7 @@ from conftest import one
 from tidemark.operators.impact import impact_model
 
 
+# Published figures, here and below.
 def inputs(spark, aov=447.0, extra=2.72):
     def row(schema, *values):
         return spark.createDataFrame([values], schema)

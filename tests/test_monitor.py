@@ -91,6 +91,7 @@ def test_status_follows_the_good_direction(spark, metric, value, base, status):
 
 
 def test_published_week(spark):
+    # A published week.
     published = [
         ("Orders", 3212.0, 3291.5, -2.4),
         ("Active users", 3077.0, 3113.0, -1.2),
