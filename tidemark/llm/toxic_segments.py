@@ -1,6 +1,6 @@
 """Toxic passages as maximum-scoring segments of a text's words.
 
-Each word carries a log-odds score: toxic against clean counts, smoothed by a Dirichlet prior
+Each word carries a log-odds score: toxic against clean documents that have it, smoothed by a Dirichlet prior
 whose mean is the share among words with the same beginning. A drift makes clean text score
 below zero on average, so that a linear scan finds all maximal segments. Scores of the best
 segment of clean texts follow an extreme-value law; its tail turns a segment's score and the
@@ -10,6 +10,7 @@ text's length into an expected count, and these are calibrated into a probabilit
 from __future__ import annotations
 
 import math
+import operator
 import re
 from dataclasses import dataclass
 from functools import partial
@@ -53,6 +54,16 @@ class _Scores(dict):
         return found
 
 
+def word_scores(text: str | None, scores: _Scores) -> np.ndarray:
+    """The score of every word; a word said again at once only costs the drift, so that mere
+    repetition makes no passage."""
+    words = WORD.findall((text or "").lower())
+    found = np.fromiter(map(scores.__getitem__, words), float)
+    again = np.fromiter(map(operator.eq, words[1:], words), bool)
+    found[1:][again] = np.minimum(found[1:][again], -DRIFT)
+    return found
+
+
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, behind last, score), by one linear scan.
 
@@ -106,7 +117,7 @@ def _count(batches):
     counts: dict[str, list[int]] = {}
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for word in WORD.findall((text or "").lower()):
+            for word in set(WORD.findall((text or "").lower())):
                 counts.setdefault(word, [0, 0])[toxic] += 1
         if len(counts) > 1_000_000:
             yield _counted(counts)
@@ -127,7 +138,7 @@ def _measure(batches, model):
     for batch in batches:
         rows = []
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            s = np.fromiter(map(scores.__getitem__, WORD.findall((text or "").lower())), float)
+            s = word_scores(text, scores)
             best, strong, _ = evidence(model, s)
             top = max((x[2] for x in segments(s)), default=0.0)
             rows.append((toxic, best, strong, top, len(s)))
@@ -245,7 +256,7 @@ def _score(batches, model):
         found, passages = [], []
         for text in batch.column("text").to_pylist():
             text = text or ""
-            s = np.fromiter(map(scores.__getitem__, WORD.findall(text.lower())), float)
+            s = word_scores(text, scores)
             best, strong, spans = evidence(model, s)
             found.append(_probability(model, best, strong))
             if spans and len(text) == len(text.lower()):
@@ -278,7 +289,7 @@ def _keep(batches, model, threshold: float, at: int):
     for batch in slices(batches, 1024):
         kept = []
         for text in batch.column(at).to_pylist():
-            s = np.fromiter(map(scores.__getitem__, WORD.findall((text or "").lower())), float)
+            s = word_scores(text, scores)
             best, strong, _ = evidence(model, s)
             kept.append(_probability(model, best, strong) < threshold)
         yield batch.filter(pa.array(kept, pa.bool_()))
