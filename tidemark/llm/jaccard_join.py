@@ -10,7 +10,8 @@ linked sets meet in a region. The order puts shingles that many texts have last,
 counts over all texts.
 
 Within a region sizes are a second, one-dimensional window (linked sizes differ by a factor of
-0.8 at most). Then texts are compared with a pivot text. What is linked with it becomes one
+0.8 at most). Shingles whose regions turn out crowded are put last as well, and the prefixes made
+anew: any order is exact, so this only thins the regions. Then texts are compared with a pivot text. What is linked with it becomes one
 component; regions in which several components are left are joined again: small ones pair by
 pair, larger ones after a split into the Voronoi regions of several pivot texts, a text being
 replicated to each pivot that is no more than twice the link distance farther than its nearest.
@@ -41,6 +42,7 @@ BLOCKS = 64
 MAX_FILTER = 1 << 27  # bits of a filter of nodes: 16 MB at most
 SMALL = 64  # a region up to this size is joined pair by pair
 PIVOTS = 4
+PASSES = 2  # in which crowded regions may still change the order
 SALTS = 64
 
 
@@ -249,15 +251,38 @@ def _undecided(rows: DataFrame) -> DataFrame:
     return rows.join(spread.select("region", "k"), "region")
 
 
-def link_components(texts: DataFrame, width: int, share: int) -> DataFrame:
-    """vertex, component of all nodes that have a link; texts: text."""
-    spark = texts.sparkSession
-    standing = spark.sparkContext.broadcast(levels(texts, width))
+def _prefixes_of(texts: DataFrame, width: int, share: int, standing: np.ndarray) -> DataFrame:
+    """node, n, pivots (the prefix), cold (how many of them are ordinary) of every set."""
+    table = texts.sparkSession.sparkContext.broadcast(standing)
     found = texts.select("text").mapInArrow(
-        partial(_prefixes, width=width, share=share, standing=standing), "node long, n long, pivots array<long>, cold int"
+        partial(_prefixes, width=width, share=share, standing=table), "node long, n long, pivots array<long>, cold int"
     )
     # copies are one node: dropped in the map tasks first
-    prefixes = park(found.groupBy("node").agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"), F.first("cold").alias("cold")), "prefixes")
+    firsts = [F.first(c).alias(c) for c in ("n", "pivots", "cold")]
+    return park(found.groupBy("node").agg(*firsts), "prefixes")
+
+
+def _crowded_cells(prefixes: DataFrame) -> np.ndarray:
+    """Cells of ordinary shingles whose regions hold more than SMALL texts, at most CELLS of them. Put
+    last in the order, such a shingle leaves the prefixes of texts that have rarer ones."""
+    ordinary = prefixes.select(F.explode(F.slice("pivots", F.lit(1), F.col("cold"))).alias("s"))
+    many = ordinary.groupBy("s").agg(F.count("*").alias("k")).filter(F.col("k") > SMALL)
+    cells = many.select(F.shiftrightunsigned("s", 44).cast("int").alias("cell")).distinct()
+    return cells.toArrow().column(0).to_numpy().astype(np.int64)
+
+
+def link_components(texts: DataFrame, width: int, share: int) -> DataFrame:
+    """vertex, component of all nodes that have a link; texts: text."""
+    spark = texts.sparkSession
+    standing = levels(texts, width)
+    for _ in range(PASSES):
+        prefixes = _prefixes_of(texts, width, share, standing)
+        crowded = _crowded_cells(prefixes)
+        if not len(crowded):
+            break
+        standing[crowded] = np.maximum(standing[crowded], 1)
+    else:
+        prefixes = _prefixes_of(texts, width, share, standing)
     regions = park(_region_rows(prefixes, share), "regions")
 
     def links_among(pairs: DataFrame) -> DataFrame:
@@ -296,11 +321,18 @@ def link_components(texts: DataFrame, width: int, share: int) -> DataFrame:
         window = 2 * (1 - share / 100) + 1e-9
         inner = reach.join(near, ["region", "node"]).filter(F.col("distance") <= F.col("nearest") + window)
         inner = inner.join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
-        split = inner.select(F.xxhash64("region", "pivot").alias("region"), "node", "n", F.col("k").alias("parent"))
-        again = _undecided(_labelled(split, labels))
-        # a part as large as what it is a part of (but for the pivots) will not get smaller
-        stuck = F.col("k") + PIVOTS >= F.col("parent")
-        left = park(again.select("region", "node", "n", "component", F.when(stuck, F.lit(0)).otherwise(F.col("k")).alias("k")), "undecided")
+        split = inner.select("region", F.xxhash64("region", "pivot").alias("part"), "node", "n", F.col("k").alias("parent"))
+        # a region of which some part is nearly as large as it was does not get smaller: it stays whole
+        size = split.groupBy("region", "part").agg(F.count("*").alias("k"), F.first("parent").alias("parent"))
+        stuck = park(
+            size.groupBy("region").agg(F.max(F.col("k") + PIVOTS >= F.col("parent")).alias("stuck")), "stuck"
+        )
+        marked = split.join(stuck, "region")
+        whole = marked.filter("stuck").select("region", "node", "n").distinct()
+        parts = marked.filter("not stuck").select(F.col("part").alias("region"), "node", "n")
+        apart = _undecided(_labelled(parts, labels)).select("region", "node", "n", "component", "k")
+        kept = _undecided(_labelled(whole, labels)).select("region", "node", "n", "component", F.lit(0).cast("long").alias("k"))
+        left = park(apart.unionAll(kept), "undecided")
     return components(links)
 
 
