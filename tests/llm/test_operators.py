@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import (
     arc_convert,
     benchmark_filter,
@@ -190,6 +191,25 @@ def test_few_documents_or_tokens_do_not_make_a_template(spark):
     assert line_templates.drop_lines(frame.limit(0)).count() == 0
 
 
+def said(*seeds):
+    """60 words that no other seeds share."""
+    return " ".join(f"{a}{b}" for seed in seeds for a in "bcdfgh" for b in (f"{seed}{x}" for x in "aeiouyklmn"))
+
+
+def line_dedup(spark, rows):
+    frame = spark.createDataFrame(rows, DOCS).withColumn("n_chars", F.length("text"))
+    found = corpus_pipeline.line_dedup(spark, frame, "").collect()
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in found)
+    return {r["doc_id"]: r["text"] for r in found}
+
+
+def test_long_lines_of_two_documents_go(spark):
+    long, brief = said("p"), "the same brief line in two documents"
+    rows = [(i, f"{said('own' + 'xyz'[i])}\n{long}\n{brief}") for i in range(2)] + [(2, said("q"))]
+    left = line_dedup(spark, rows)
+    assert left == {0: rows[0][1], 1: f"{said('owny')}\n{brief}", 2: rows[2][1]}
+
+
 # 4: top k
 
 

@@ -26,48 +26,56 @@ def tokens(line: str) -> Column:
     return F.array_remove(F.split(F.translate(line, *SAME), " "), "")
 
 
-def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """row_key, doc_id, at (from 0), leaf, fields of every line of at least ``min_tokens`` tokens."""
+def _least(min_docs: int, long_tokens: int | None, long_docs: int) -> Column:
+    """In how many documents the template of a line (tokens ``t``) has to occur."""
+    return F.lit(min_docs) if long_tokens is None else F.when(F.size("t") >= long_tokens, long_docs).otherwise(min_docs)
+
+
+def _lines(docs: DataFrame, depth: int, min_tokens: int, least: Column) -> DataFrame:
+    """row_key, doc_id, at (from 0), leaf, least, fields of every line of at least ``min_tokens`` tokens."""
     split = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     parsed = split.select("row_key", "doc_id", "at", tokens("line").alias("t")).filter(F.size("t") >= min_tokens)
     lead = F.transform(F.slice("t", 1, depth), lambda t: F.when(F.contains(t, F.lit("0")), "<*>").otherwise(t))
     rest = F.greatest(F.size("t") - depth, F.lit(0))
     width = F.greatest(F.lit(1), F.ceil(rest / FIELDS).cast("int"))
     fields = F.array(*[F.when(j * width < rest, F.hash(F.slice("t", depth + 1 + j * width, width))) for j in range(FIELDS)])
-    return parsed.select("row_key", "doc_id", "at", F.xxhash64(F.size("t"), lead).alias("leaf"), fields.alias("fields"))
+    return parsed.select("row_key", "doc_id", "at", F.xxhash64(F.size("t"), lead).alias("leaf"), least.alias("least"), fields.alias("fields"))
 
 
-def templated(docs: DataFrame, depth: int = 4, min_tokens: int = 5, min_docs: int = 3, constant: float = 0.5) -> DataFrame:
-    """row_key, doc_id, at, template of the lines that may recur: those of whose fields at least the share
+def templated(
+    docs: DataFrame, depth: int = 4, min_tokens: int = 5, min_docs: int = 3, constant: float = 0.5, long_tokens: int | None = None, long_docs: int = 2
+) -> DataFrame:
+    """row_key, doc_id, at, template, least of the lines that may recur: those of whose fields at least the share
     ``constant`` belongs to the template."""
-    lines = park(_lines(docs, depth, min_tokens), "lines")
+    lines = park(_lines(docs, depth, min_tokens, _least(min_docs, long_tokens, long_docs)), "lines")
     # parked, so that the join below deals out both sides and may split a leaf of very many lines
-    leaves = park(lines.groupBy("leaf").agg(F.count("*").alias("k")).filter(F.col("k") >= min_docs).select("leaf"), "leaves")
+    leaves = park(lines.groupBy("leaf", "least").agg(F.count("*").alias("k")).filter("k >= least").select("leaf"), "leaves")
     shared = park(lines.join(leaves, "leaf"), "shared-lines")
-    each = shared.select("row_key", "doc_id", "at", "leaf", F.posexplode("fields").alias("j", "field")).filter("field is not null or j = 0")
-    counted = each.filter("field is not null").groupBy("leaf", "j", "field").agg(F.count("*").alias("k"))
-    common = park(counted.filter(F.col("k") >= min_docs).drop("k"), "fields")
+    each = shared.select("row_key", "doc_id", "at", "leaf", "least", F.posexplode("fields").alias("j", "field")).filter("field is not null or j = 0")
+    counted = each.filter("field is not null").groupBy("leaf", "least", "j", "field").agg(F.count("*").alias("k"))
+    common = park(counted.filter("k >= least").drop("k", "least"), "fields")
     marked = each.join(common.withColumn("common", F.lit(True)), ["leaf", "j", "field"], "left")
     # sets, as rows with equal doc_id and text are one document
     parts = F.array_sort(F.collect_set(F.when(F.col("common"), F.struct("j", "field"))))
     present = F.size(F.collect_set(F.when(F.col("field").isNotNull(), F.col("j"))))
-    grouped = marked.groupBy("row_key", "doc_id", "at", "leaf").agg(parts.alias("parts"), present.alias("present"))
+    grouped = marked.groupBy("row_key", "doc_id", "at", "leaf", "least").agg(parts.alias("parts"), present.alias("present"))
     return grouped.filter(F.size("parts") >= constant * F.col("present")).select(
-        "row_key", "doc_id", "at", F.xxhash64("leaf", "parts").alias("template")
+        "row_key", "doc_id", "at", F.xxhash64("leaf", "parts").alias("template"), "least"
     )
 
 
-def recurring_lines(docs: DataFrame, depth: int = 4, min_tokens: int = 5, min_docs: int = 3, constant: float = 0.5) -> DataFrame:
+def recurring_lines(docs: DataFrame, **parameters) -> DataFrame:
     """row_key and the positions (``dropped``) of the lines of each document that go.
 
-    Lines end at a line feed. Lines of fewer than ``min_tokens`` tokens stay. The document with the
+    Lines end at a line feed. Lines of fewer than ``min_tokens`` tokens stay. A template has to occur in
+    ``min_docs`` documents, one of ``long_tokens`` tokens and more, if given, only in ``long_docs``. The document with the
     smallest doc_id (null first) keeps its lines of a template. Rows with equal doc_id and text
     are one document. Null texts have no lines.
     """
-    lines = park(templated(docs, depth, min_tokens, min_docs, constant), "templates")
-    per_doc = lines.groupBy("template", "row_key").agg(F.min("doc_id").alias("doc_id"))
-    templates = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "row_key")).alias("first"))
-    recurring = park(templates.filter(F.col("docs") >= min_docs).select("template", "first"), "recurring")
+    lines = park(templated(docs, **parameters), "templates")
+    per_doc = lines.groupBy("template", "least", "row_key").agg(F.min("doc_id").alias("doc_id"))
+    templates = per_doc.groupBy("template", "least").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "row_key")).alias("first"))
+    recurring = park(templates.filter("docs >= least").select("template", "first"), "recurring")
     again = lines.join(recurring, "template").filter("row_key <> first.row_key")
     return again.groupBy("row_key").agg(F.collect_set("at").alias("dropped"))
 
