@@ -22,8 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that recur in three documents or more, lines of 20 tokens and more in two, but
-    for the first; a document of which nothing is left goes. ``n_chars`` follows the text."""
-    left = line_templates.drop_lines(docs, long_tokens=20)
+    for the first, also where their words differ in up to half of the places; a document of which nothing is left goes. ``n_chars`` follows the text."""
+    left = line_templates.drop_lines(docs, long_tokens=20, by_token=True)
     cut = F.col("n_dropped") > 0
     left = left.filter(~cut | (F.trim("text") != ""))
     kind = docs.schema["n_chars"].dataType

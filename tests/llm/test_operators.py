@@ -210,6 +210,20 @@ def test_long_lines_of_two_documents_go(spark):
     assert left == {0: rows[0][1], 1: f"{said('owny')}\n{brief}", 2: rows[2][1]}
 
 
+def test_templates_with_variable_words_all_over_the_line_go(spark):
+    words = said("p").split()
+
+    def line(i, places):  # one variable word in each sixth of the line and more
+        return " ".join(f"var{'uvwxyz'[i]}" if at in places else word for at, word in enumerate(words))
+
+    slots = {i: line(i, {8, 18, 27, 36, 45, 55}) for i in range(2)}
+    noise = {i: line(i, {5 + i, 16 + i, 26 + 2 * i, 37 + i, 44 + i, 58 - i}) for i in range(2, 6)}
+    apart = " ".join(words[:4] + [w[::-1] if k % 3 else w for k, w in enumerate(words[4:])])  # a third of the tokens
+    texts = {**slots, **noise, 6: apart}
+    left = line_dedup(spark, [(i, f"{said('own' + 'abcdefg'[i])}\n{texts[i]}") for i in texts])
+    assert [i for i in texts if "\n" in left[i]] == [0, 6]
+
+
 # 4: top k
 
 

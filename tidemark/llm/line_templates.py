@@ -6,6 +6,9 @@ A field that ``min_docs`` lines of the leaf share is part of a template, any oth
 digits are equal to one another. Lines with the same leaf and the same shared fields have one
 template. A template that recurs in ``min_docs`` documents is dropped, but for the first of them.
 
+Six fields lose templates whose variable tokens are spread over the line. ``by_token`` therefore also
+compares the single tokens below the leaf, and applies the share of constant ones to tokens.
+
 Only hashes of lines are shuffled to find templates. Counts are partial sums, and the joins on a
 leaf, field or template that very many lines have may be split.
 """
@@ -26,31 +29,31 @@ def tokens(line: str) -> Column:
     return F.array_remove(F.split(F.translate(line, *SAME), " "), "")
 
 
-def _least(min_docs: int, long_tokens: int | None, long_docs: int) -> Column:
-    """In how many documents the template of a line (tokens ``t``) has to occur."""
-    return F.lit(min_docs) if long_tokens is None else F.when(F.size("t") >= long_tokens, long_docs).otherwise(min_docs)
+def _tokens(docs: DataFrame, min_tokens: int, *more: str) -> DataFrame:
+    """row_key, doc_id, at (from 0), tokens ``t`` of every line of at least ``min_tokens`` tokens."""
+    split = docs.select("row_key", F.col("doc_id").cast("long").alias("doc_id"), *more, F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return split.select("row_key", "doc_id", "at", *more, tokens("line").alias("t")).filter(F.size("t") >= min_tokens)
 
 
-def _lines(docs: DataFrame, depth: int, min_tokens: int, least: Column) -> DataFrame:
-    """row_key, doc_id, at (from 0), leaf, least, fields of every line of at least ``min_tokens`` tokens."""
-    split = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    parsed = split.select("row_key", "doc_id", "at", tokens("line").alias("t")).filter(F.size("t") >= min_tokens)
+def shared_lines(docs: DataFrame, depth: int, min_tokens: int, least: Column) -> DataFrame:
+    """row_key, doc_id, at, leaf, least, fields of the lines whose leaf has at least ``least`` lines."""
+    keyed = docs.select(row_key().alias("row_key"), "doc_id", "text")
     lead = F.transform(F.slice("t", 1, depth), lambda t: F.when(F.contains(t, F.lit("0")), "<*>").otherwise(t))
     rest = F.greatest(F.size("t") - depth, F.lit(0))
     width = F.greatest(F.lit(1), F.ceil(rest / FIELDS).cast("int"))
     fields = F.array(*[F.when(j * width < rest, F.hash(F.slice("t", depth + 1 + j * width, width))) for j in range(FIELDS)])
-    return parsed.select("row_key", "doc_id", "at", F.xxhash64(F.size("t"), lead).alias("leaf"), least.alias("least"), fields.alias("fields"))
+    parsed = _tokens(keyed, min_tokens).select(
+        "row_key", "doc_id", "at", F.xxhash64(F.size("t"), lead).alias("leaf"), least.alias("least"), fields.alias("fields")
+    )
+    lines = park(parsed, "lines")
+    # parked, so that the join below deals out both sides and may split a leaf of very many lines
+    leaves = park(lines.groupBy("leaf", "least").agg(F.count("*").alias("k")).filter("k >= least").select("leaf"), "leaves")
+    return park(lines.join(leaves, "leaf"), "shared-lines")
 
 
-def templated(
-    docs: DataFrame, depth: int = 4, min_tokens: int = 5, min_docs: int = 3, constant: float = 0.5, long_tokens: int | None = None, long_docs: int = 2
-) -> DataFrame:
+def templated(shared: DataFrame, constant: float) -> DataFrame:
     """row_key, doc_id, at, template, least of the lines that may recur: those of whose fields at least the share
     ``constant`` belongs to the template."""
-    lines = park(_lines(docs, depth, min_tokens, _least(min_docs, long_tokens, long_docs)), "lines")
-    # parked, so that the join below deals out both sides and may split a leaf of very many lines
-    leaves = park(lines.groupBy("leaf", "least").agg(F.count("*").alias("k")).filter("k >= least").select("leaf"), "leaves")
-    shared = park(lines.join(leaves, "leaf"), "shared-lines")
     each = shared.select("row_key", "doc_id", "at", "leaf", "least", F.posexplode("fields").alias("j", "field")).filter("field is not null or j = 0")
     counted = each.filter("field is not null").groupBy("leaf", "least", "j", "field").agg(F.count("*").alias("k"))
     common = park(counted.filter("k >= least").drop("k", "least"), "fields")
@@ -64,15 +67,48 @@ def templated(
     )
 
 
-def recurring_lines(docs: DataFrame, **parameters) -> DataFrame:
+def followers(docs: DataFrame, shared: DataFrame, depth: int, min_tokens: int, constant: float) -> DataFrame:
+    """row_key, doc_id, at, template, least of the lines that follow a line of their leaf, token by token.
+
+    Of each token in its place the first line of the leaf that has it is looked up. A line follows the line
+    that is the first for most of its tokens, if for at least the share ``constant`` of those below the leaf.
+    Lines that follow the same line have one template, however their variable tokens differ.
+    """
+    # texts are read again, so that tokens are written only of lines that share a leaf
+    leaf = F.map_from_entries(F.collect_set(F.struct("at", F.struct("leaf", "least")))).alias("__leaf")
+    copies = (F.count("*") / F.count_distinct("at")).alias("copies")
+    wanted = park(shared.groupBy("row_key").agg(leaf, copies), "wanted-lines")
+    keyed = docs.select(row_key().alias("row_key"), "doc_id", "text").join(wanted, "row_key")
+    rest = F.when(F.size("t") > depth, F.slice("t", depth + 1, F.size("t"))).otherwise(F.array(F.lit("")))
+    lines = _tokens(keyed, min_tokens, "__leaf", "copies").withColumn("of", F.col("__leaf")[F.col("at")]).filter("of is not null")
+    each = park(
+        lines.select("row_key", "doc_id", "at", "of.leaf", "of.least", (F.size(rest) * F.col("copies")).alias("n"), F.posexplode(F.transform(rest, lambda t: F.xxhash64(t))).alias("j", "token")),
+        "tokens",
+    )
+    first = park(each.groupBy("leaf", "j", "token").agg(F.min(F.struct("doc_id", "row_key", "at")).alias("first")), "first-lines")
+    line = ["row_key", "doc_id", "at", "leaf", "least", "n"]
+    votes = each.join(first, ["leaf", "j", "token"]).groupBy(*line, "first").agg(F.count("*").alias("votes"))
+    most = votes.groupBy(*line).agg(F.max(F.struct("votes", F.xxhash64("leaf", "first").alias("template"))).alias("most"))
+    return most.filter(F.col("most.votes") >= constant * F.col("n")).select("row_key", "doc_id", "at", "most.template", "least")
+
+
+def recurring_lines(
+    docs: DataFrame, depth: int = 4, min_tokens: int = 5, min_docs: int = 3, constant: float = 0.5, long_tokens: int | None = None, long_docs: int = 2, by_token: bool = False
+) -> DataFrame:
     """row_key and the positions (``dropped``) of the lines of each document that go.
 
     Lines end at a line feed. Lines of fewer than ``min_tokens`` tokens stay. A template has to occur in
-    ``min_docs`` documents, one of ``long_tokens`` tokens and more, if given, only in ``long_docs``. The document with the
+    ``min_docs`` documents, one of ``long_tokens`` tokens and more, if given, only in ``long_docs``. With
+    ``by_token`` templates are looked for token by token as well. The document with the
     smallest doc_id (null first) keeps its lines of a template. Rows with equal doc_id and text
     are one document. Null texts have no lines.
     """
-    lines = park(templated(docs, **parameters), "templates")
+    least = F.lit(min_docs) if long_tokens is None else F.when(F.size("t") >= long_tokens, long_docs).otherwise(min_docs)
+    shared = shared_lines(docs, depth, min_tokens, least)
+    found = templated(shared, constant)
+    if by_token:
+        found = found.unionByName(followers(docs, shared, depth, min_tokens, constant))
+    lines = park(found, "templates")
     per_doc = lines.groupBy("template", "least", "row_key").agg(F.min("doc_id").alias("doc_id"))
     templates = per_doc.groupBy("template", "least").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "row_key")).alias("first"))
     recurring = park(templates.filter("docs >= least").select("template", "first"), "recurring")
