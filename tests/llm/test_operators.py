@@ -22,6 +22,7 @@ from tidemark.llm import (
     jaccard_join,
     line_templates,
     separator_scan,
+    shared_passages,
     shingles,
     storage,
     toxic_segments,
@@ -224,6 +225,48 @@ def test_templates_with_variable_words_all_over_the_line_go(spark):
     assert [i for i in texts if "\n" in left[i]] == [0, 6]
 
 
+def brute_cut(rows, n):
+    """Which words of each text lie in windows that a text before has too."""
+    listed = {i: [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w] for i, text in rows}
+    gone, seen = {i: set() for i in listed}, {}
+    for i in sorted(listed):
+        for at in range(len(listed[i]) - n + 1):
+            if seen.setdefault(tuple(listed[i][at : at + n]), i) != i:
+                gone[i] |= set(range(at, at + n))
+    return {i: [w for k, w in enumerate(listed[i]) if k not in gone[i]] for i in listed}
+
+
+@pytest.mark.parametrize("segment", [7, 4096])
+def test_passages_match_brute_force(spark, monkeypatch, segment):
+    monkeypatch.setattr(shared_passages, "SEGMENT", segment)
+    rng = np.random.default_rng(5)
+    pool = ["".join(rng.choice(list("abc"), 2)) for _ in range(400)]
+    rows = []
+    for i in range(40):
+        text = []
+        for _ in range(rng.integers(1, 4)):
+            text += [f"{rng.choice(list('abcde'))}{rng.choice(list('abcde'))}" for _ in range(rng.integers(0, 30))]
+            at = rng.integers(0, 350)
+            text += pool[at : at + rng.integers(5, 50)]
+        rows.append((i, "(" + " ".join(w.upper() if rng.random() < 0.1 else w + rng.choice(["", ",", ".\n"]) for w in text)))
+    want = brute_cut(rows, 12)
+    frame = spark.createDataFrame(rows + rows[:2] + [(99, None), (98, "")], DOCS)
+    found = shared_passages.drop_passages(frame, n=12).collect()
+    assert len(found) == len(rows) + 4 and sum(r["n_passages"] > 0 for r in found) > 10
+    for r in found:
+        if r["doc_id"] < 90:
+            assert [w for w in re.split(r"[^a-z0-9]+", r["text"].lower()) if w] == want[r["doc_id"]]
+        else:
+            assert r["text"] == {99: None, 98: ""}[r["doc_id"]] and r["n_passages"] == 0
+
+
+def test_passages_inside_paragraphs_go(spark):
+    rows = [(i, f"{said('own' + 'xyz'[i])} {'word' + 'xyz'[i]} {said('p')}. {said('end' + 'xyz'[i])}") for i in range(3)] + [(3, f"({said('p')}")]
+    left = line_dedup(spark, rows)
+    assert left[0] == rows[0][1] and set(left) == {0, 1, 2}
+    assert left[2] == f"{said('ownz')} wordz {said('endz')}"
+
+
 # 4: top k
 
 
