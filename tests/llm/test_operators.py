@@ -225,6 +225,12 @@ def test_templates_with_variable_words_all_over_the_line_go(spark):
     assert [i for i in texts if "\n" in left[i]] == [0, 6]
 
 
+def test_words_of_one_32_bit_hash_do_not_make_a_template(spark):
+    frame = spark.createDataFrame([(i, f"they all begin alike {w}") for i, w in enumerate(["hgija", "hgija", "cfefif"])], DOCS)
+    assert frame.select(F.hash(F.array(F.element_at(F.split("text", " "), -1)))).distinct().count() == 1
+    assert all(r["n_dropped"] == 0 for r in line_templates.drop_lines(frame).collect())
+
+
 def brute_cut(rows, n):
     """Which words of each text lie in windows that a text before has too."""
     listed = {i: [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w] for i, text in rows}

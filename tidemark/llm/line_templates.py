@@ -41,7 +41,7 @@ def shared_lines(docs: DataFrame, depth: int, min_tokens: int, least: Column) ->
     lead = F.transform(F.slice("t", 1, depth), lambda t: F.when(F.contains(t, F.lit("0")), "<*>").otherwise(t))
     rest = F.greatest(F.size("t") - depth, F.lit(0))
     width = F.greatest(F.lit(1), F.ceil(rest / FIELDS).cast("int"))
-    fields = F.array(*[F.when(j * width < rest, F.hash(F.slice("t", depth + 1 + j * width, width))) for j in range(FIELDS)])
+    fields = F.array(*[F.when(j * width < rest, F.xxhash64(F.slice("t", depth + 1 + j * width, width))) for j in range(FIELDS)])
     parsed = _tokens(keyed, min_tokens).select(
         "row_key", "doc_id", "at", F.xxhash64(F.size("t"), lead).alias("leaf"), least.alias("least"), fields.alias("fields")
     )
