@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import arc_convert, benchmark_filter, bitplane_store, grouped_packing, histogram_topk, host_reputation, jaccard_join, line_templates, oracles, separator_scan, toxic_segments
+from tidemark.llm import arc_convert, benchmark_filter, bitplane_store, bloom_language_model, grouped_packing, histogram_topk, host_reputation, jaccard_join, line_templates, oracles, separator_scan, spectral_whitening, token_alignment, toxic_segments
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 END_OF_TEXT = 49407  # <|endoftext|> of that file
 
 
@@ -109,6 +111,22 @@ def op10_benchmark_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a trigram model, and under exact word shares."""
+    return bloom_language_model.score_documents(table(spark, sf_dir, "documents"), order=3)
+
+
+def op12_spectral_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors whitened on the first four components of the distinct ones."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", spectral_whitening.quantized("embedding").alias("vector"))
+    return spectral_whitening.whiten(rows, components=4)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers line up in every document."""
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_arc_to_warc": op2_arc_to_warc,
@@ -120,6 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_reputation": op8_host_reputation,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_benchmark_filter": op10_benchmark_filter,
+    "op11_bloom_language_model": op11_bloom_language_model,
+    "op12_spectral_whitening": op12_spectral_whitening,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
