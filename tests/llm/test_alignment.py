@@ -143,3 +143,15 @@ def test_numbers_are_unpacked_as_they_were(top):
     keys = np.unique(numbers)
     assert routed_counts.unpack_sorted(routed_counts.pack_sorted(keys)).tolist() == keys.tolist()
     assert routed_counts.unpack(routed_counts.pack(np.zeros(0, dtype=np.uint64))).tolist() == []
+
+
+def test_both_encoders_of_a_byte_level_file_agree():
+    known = token_alignment.TokenBytes(tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_TOKENIZER))
+    assert known._ranked is not None
+    rng = random.Random(2)
+    points = [*range(1, 0x3000), *range(0xA000, 0xA800), *range(0xFE00, 0xFFFE), *range(0x1F300, 0x1F700)]
+    texts = ["".join(rng.choice([chr(rng.choice(points)), "a", " ", "\n", "'s", "12"]) for _ in range(60)) for _ in range(3000)]
+    texts += ["<|endoftext|>", "a" * 50_000, " " * 50_000, "-" * 50_000 + "\n" * 50_000, "'LL 'll  x"]
+    fast = known.a_ids(texts)
+    known._ranked = None
+    assert known.a_ids(texts) == fast
