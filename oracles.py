@@ -716,6 +716,34 @@ ORACLES: dict[str, str] = {
         FROM orders_v"""),
     "read_tables": column_checks(),
 }
+
+
+def units(value: str) -> str:
+    return f"CAST(SUM(CAST(ROUND({value} * 10000) AS BIGINT)) AS BIGINT)"
+
+
+ORACLES["order_cells"] = sql(f"""
+    SELECT CAST(DATE_TRUNC('month', order_ts) AS DATE) AS month, EXTRACT(HOUR FROM order_ts) AS hour, city, platform, status,
+           COUNT(*) AS n, {dbl("SUM(gmv)")} AS gmv, COUNT(gmv) AS gmv_n, {dbl("SUM(discount)")} AS discount,
+           COUNT(discount) AS discount_n, {dbl("SUM(gmv - discount)")} AS net, COUNT(gmv - discount) AS net_n,
+           SUM(is_late) AS is_late, COUNT(is_late) AS is_late_n, {units("delivery_minutes")} AS delivery_minutes,
+           COUNT(delivery_minutes) AS delivery_minutes_n, {units("rating")} AS rating, COUNT(rating) AS rating_n
+    FROM orders_v GROUP BY 1, 2, 3, 4, 5""")
+ORACLES["first_order_cells"] = sql(f"""
+    SELECT city, acquisition_channel, is_member, platform, is_late,
+           CASE WHEN minutes_late <= 0 THEN '1. Early / on time' WHEN minutes_late <= 10 THEN '2. 0-10 min late'
+                WHEN minutes_late <= 20 THEN '3. 10-20 min late' WHEN minutes_late <= 30 THEN '4. 20-30 min late'
+                ELSE '5. 30+ min late' END AS lateness_bucket,
+           CASE WHEN rating >= 4.5 THEN '4.5-5.0' WHEN rating >= 3.5 THEN '3.5-4.0' ELSE '<3.5' END AS rating_band,
+           COUNT(*) AS n, SUM(repeated) AS x, {units("rating")} AS rating, COUNT(rating) AS rating_n
+    FROM feat GROUP BY 1, 2, 3, 4, 5, 6, 7""", FEATURES)
+ORACLES["experiment_cells"] = sql(f"""
+    SELECT a.variant, o.order_id IS NOT NULL AS found, o.is_late, COUNT(*) AS n, SUM(a.repeat_within_90d) AS conversions,
+           SUM(a.coupon_cost) AS coupon_cost, {dbl("SUM(o.gmv)")} AS gmv, COUNT(o.gmv) AS gmv_n,
+           SUM(a.second_order_cancelled) AS second_order_cancelled, COUNT(a.second_order_cancelled) AS second_order_cancelled_n,
+           {units("o.rating")} AS rating, COUNT(o.rating) AS rating_n, {units("a.second_order_aov")} AS second_order_aov,
+           COUNT(a.second_order_aov) AS second_order_aov_n
+    FROM arms_v a LEFT JOIN orders_v o ON o.order_id = a.first_order_id GROUP BY 1, 2, 3""")
 ORACLES["read_tables_parquet"] = ORACLES["read_tables"]
 ORACLES["write_results_json"] = ORACLES["guardrails"]
 

@@ -60,7 +60,10 @@ def month_number_label(number: Column | str) -> Column:
 
 
 def daypart(ts: Column | str) -> Column:
-    hour = F.hour(ts)
+    return daypart_of(F.hour(ts))
+
+
+def daypart_of(hour: Column) -> Column:
     return (
         F.when(hour.between(*LUNCH_HOURS), "Lunch peak")
         .when(hour.between(*DINNER_HOURS), "Dinner peak")

@@ -48,6 +48,9 @@ def measured_mean(value: Column | str, places: int = 4) -> Column:
     give the same mean whatever the partitioning or the number of retries. A sum
     that outgrows a long fails under ANSI mode instead of wrapping around.
     """
-    scale = 10**places
-    scaled = F.rint(_column(value) * F.lit(float(scale))).cast("long")
-    return ratio(F.sum(scaled), F.count(_column(value)) * F.lit(scale))
+    return ratio(F.sum(scaled(value, places)), F.count(_column(value)) * F.lit(10**places))
+
+
+def scaled(value: Column | str, places: int = 4) -> Column:
+    """A measured double as a whole number of units of its last decimal place."""
+    return F.rint(_column(value) * F.lit(float(10**places))).cast("long")

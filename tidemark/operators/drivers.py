@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import DAYPARTS, daypart
@@ -28,6 +28,7 @@ LATENESS_LABELS = (
 )
 RATING_BANDS = ((4.5, "4.5-5.0"), (3.5, "3.5-4.0"))
 LOWEST_BAND = "<3.5"
+STRATA = ("city", "acquisition_channel", "is_member", "platform")
 
 
 def first_order_features(
@@ -107,12 +108,18 @@ def late_gap_test(features: DataFrame, days: int = 30) -> DataFrame:
     def total(value, condition):
         return F.sum(F.when(condition, value)).cast("double")
 
-    counts = features.agg(
-        total(F.lit(1), late).alias("n_late"),
-        total(F.col(_repeated(days)), late).alias("x_late"),
-        total(F.lit(1), ~late).alias("n_on_time"),
-        total(F.col(_repeated(days)), ~late).alias("x_on_time"),
+    return gap_test(
+        features.agg(
+            total(F.lit(1), late).alias("n_late"),
+            total(F.col(_repeated(days)), late).alias("x_late"),
+            total(F.lit(1), ~late).alias("n_on_time"),
+            total(F.col(_repeated(days)), ~late).alias("x_on_time"),
+        )
     )
+
+
+def gap_test(counts: DataFrame) -> DataFrame:
+    """The test on one row of counts: users and returned users, late and on time."""
     gap = ratio("x_on_time", "n_on_time") - ratio("x_late", "n_late")
     z = pooled_z(F.col("x_late"), F.col("n_late"), F.col("x_on_time"), F.col("n_on_time"))
     return counts.select(
@@ -129,20 +136,23 @@ def repeat_by_late_stratified(
     are weighted by their size.
     """
     late, on_time = F.col("is_late") == 1, F.col("is_late") == 0
-    cells = (
-        features.groupBy("city", "acquisition_channel", "is_member", "platform")
-        .agg(
-            F.sum(F.when(late, 1).otherwise(0)).alias("n_late"),
-            F.sum(F.when(on_time, 1).otherwise(0)).alias("n_on_time"),
-            F.sum(F.when(late, F.col(_repeated(days)))).alias("x_late"),
-            F.sum(F.when(on_time, F.col(_repeated(days)))).alias("x_on_time"),
-        )
-        .filter((F.col("n_late") >= min_cell) & (F.col("n_on_time") >= min_cell))
-        .select(
-            (F.col("n_late") + F.col("n_on_time")).alias("weight"),
-            ratio("x_late", "n_late").alias("late_rate"),
-            ratio("x_on_time", "n_on_time").alias("on_time_rate"),
-        )
+    strata = features.groupBy(*STRATA).agg(
+        F.sum(F.when(late, 1).otherwise(0)).alias("n_late"),
+        F.sum(F.when(on_time, 1).otherwise(0)).alias("n_on_time"),
+        F.sum(F.when(late, F.col(_repeated(days)))).alias("x_late"),
+        F.sum(F.when(on_time, F.col(_repeated(days)))).alias("x_on_time"),
+    )
+    return weighted_gap(strata, min_cell, rounded)
+
+
+def weighted_gap(strata: DataFrame, min_cell: int = 20, rounded: bool = True) -> DataFrame:
+    """The gap over strata of users and returned users, late and on time."""
+    cells = strata.filter(
+        (F.col("n_late") >= min_cell) & (F.col("n_on_time") >= min_cell)
+    ).select(
+        (F.col("n_late") + F.col("n_on_time")).alias("weight"),
+        ratio("x_late", "n_late").alias("late_rate"),
+        ratio("x_on_time", "n_on_time").alias("on_time_rate"),
     )
 
     def weighted(rate):
@@ -160,6 +170,28 @@ def repeat_by_late_stratified(
     )
 
 
+def lateness_bucket(
+    edges: Sequence[float] = (0, 10, 20, 30), labels: Sequence[str] = LATENESS_LABELS
+) -> Column:
+    if len(labels) != len(edges) + 1:
+        raise ValueError("there must be one label more than edges")
+    bucket = F.lit(labels[-1])
+    for edge, label in reversed(list(zip(edges, labels))):
+        bucket = F.when(F.col("minutes_late") <= edge, label).otherwise(bucket)
+    return bucket
+
+
+def rating_band() -> Column:
+    band = F.lit(LOWEST_BAND)
+    for floor, label in reversed(RATING_BANDS):
+        band = F.when(F.col("rating") >= floor, label).otherwise(band)
+    return band
+
+
+def membership() -> Column:
+    return F.when(F.col("is_member") == 1, "Member").otherwise("Non-member")
+
+
 def dose_response(
     features: DataFrame,
     edges: Sequence[float] = (0, 10, 20, 30),
@@ -168,11 +200,7 @@ def dose_response(
 ) -> DataFrame:
     """Repeat rate by bucket of minutes late. Buckets include their upper edge;
     unknown minutes fall into the last one."""
-    if len(labels) != len(edges) + 1:
-        raise ValueError("there must be one label more than edges")
-    bucket = F.lit(labels[-1])
-    for edge, label in reversed(list(zip(edges, labels))):
-        bucket = F.when(F.col("minutes_late") <= edge, label).otherwise(bucket)
+    bucket = lateness_bucket(edges, labels)
     return features.groupBy(bucket.alias("lateness_bucket")).agg(
         F.count("*").alias("users"),
         F.round(measured_mean("rating"), 2).alias("avg_first_rating"),
@@ -186,19 +214,21 @@ def repeat_by_segment(features: DataFrame, days: int = 30) -> DataFrame:
     Users are counted once, into cells over all five dimensions; the breakdowns
     then unpivot the cells, not the users.
     """
-    band = F.lit(LOWEST_BAND)
-    for floor, label in reversed(RATING_BANDS):
-        band = F.when(F.col("rating") >= floor, label).otherwise(band)
     dimensions = {
         "city": F.col("city"),
         "channel": F.col("acquisition_channel"),
         "platform": F.col("platform"),
-        "member": F.when(F.col("is_member") == 1, "Member").otherwise("Non-member"),
-        "first_rating": band,
+        "member": membership(),
+        "first_rating": rating_band(),
     }
     cells = features.groupBy(*[value.alias(name) for name, value in dimensions.items()]).agg(
         F.count("*").alias("n"), F.sum(_repeated(days)).alias("x")
     )
+    return one_way(cells, list(dimensions))
+
+
+def one_way(cells: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    """Each dimension's breakdown of cells with n users, x of whom came back."""
     return (
         cells.unpivot(["n", "x"], list(dimensions), "dimension", "value")
         .groupBy("dimension", "value")

@@ -52,25 +52,46 @@ def repeat_flags(orders: DataFrame, as_of, window_days: int = 30) -> DataFrame:
     exactly. In the slot of the first order, every later time is near enough, so
     the latest tells; in the next slot every time is later, so the earliest tells.
     """
+    slots = _slots(with_user(delivered(orders)), window_days)
+    matured = F.col("first_ts") <= instant(as_of) - days(int(window_days))
+    return slots.filter(matured).groupBy("user_id", "first_ts").agg(_came_back(window_days))
+
+
+def user_summary(orders: DataFrame, as_of, window_days: int = 30) -> DataFrame:
+    """user_id, first_ts, n_orders, matured, repeated: one row per user with a delivered order, from the same
+    slots as :func:`repeat_flags`, so that one pass serves the repeat rate and the number of orders. Orders
+    without a user_id make one row, which has not matured."""
+    slots = _slots(delivered(orders), window_days)
+    matured = F.col("first_ts") <= instant(as_of) - days(int(window_days))
+    return (
+        slots.groupBy("user_id", "first_ts")
+        .agg(F.sum("n").alias("n_orders"), _came_back(window_days))
+        .withColumn("matured", matured & F.col("user_id").isNotNull())
+    )
+
+
+def _slots(orders: DataFrame, window_days: int) -> DataFrame:
+    """Each user's earliest and latest time and number of orders per slot of the window's length, and
+    the time of the first order."""
     if window_days != int(window_days) or window_days < 1:
         raise ValueError("window_days must be a whole number of days, 1 or more")
-    window_days = int(window_days)
-    window = days(window_days)
     day = F.unix_date(day_of("order_ts"))
-    slots = (
-        with_user(delivered(orders))
-        .groupBy("user_id", F.floor(day / window_days).alias("slot"))
-        .agg(F.min("order_ts").alias("earliest"), F.max("order_ts").alias("latest"))
+    return (
+        orders.groupBy("user_id", F.floor(day / int(window_days)).alias("slot"))
+        .agg(
+            F.min("order_ts").alias("earliest"),
+            F.max("order_ts").alias("latest"),
+            F.count("*").alias("n"),
+        )
+        .withColumn("first_ts", F.min("earliest").over(by_user()))
     )
+
+
+def _came_back(window_days: int) -> Column:
     inside = (F.col("latest") > F.col("first_ts")) & (
-        F.col("earliest") <= F.col("first_ts") + window
-    )
-    return (
-        slots.withColumn("first_ts", F.min("earliest").over(by_user()))
-        .filter(F.col("first_ts") <= instant(as_of) - window)
-        .groupBy("user_id", "first_ts")
-        .agg(F.max(F.when(inside, 1).otherwise(0)).alias("repeated"))
+        F.col("earliest") <= F.col("first_ts") + days(int(window_days))
     )
+    return F.max(F.when(inside, 1).otherwise(0)).alias("repeated")
 
 
 def first_n_orders(orders: DataFrame, n: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.experiment import CONTROL, TREATMENT
@@ -17,6 +17,19 @@ def one_row(*frames: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])
 
 
+def second_order_values(guardrails: DataFrame) -> DataFrame:
+    def aov_of(arm: str):
+        return F.max(F.when(F.col("variant") == arm, F.col("second_order_aov")))
+
+    return guardrails.agg(aov_of(CONTROL).alias("aov_c"), aov_of(TREATMENT).alias("aov_t"))
+
+
+def worst_first() -> Column:
+    """All city and daypart cells of a group as an array, the highest late rate first."""
+    cell = F.struct((-F.col("late_rate_pct")).alias("order"), "city", "daypart", "late_rate_pct")
+    return F.array_sort(F.collect_list(cell))
+
+
 def impact_model(
     headline: DataFrame,
     repeat: DataFrame,
@@ -45,22 +58,40 @@ def impact_model(
     coupon and trades down on the second order.
     """
 
-    def aov_of(arm: str):
-        return F.max(F.when(F.col("variant") == arm, F.col("second_order_aov")))
-
-    frames = [
+    inputs = [
         headline.select("aov"),
         repeat.select("matured_new_users"),
         extra_orders.select("extra_orders"),
         leak.select("recoverable_orders_6mo"),
         stratified.select("adjusted_gap_pp"),
         readout.filter(F.col("variant") == TREATMENT).select("abs_lift_pp", "treatment_rate_pct"),
-        guardrails.agg(aov_of(CONTROL).alias("aov_c"), aov_of(TREATMENT).alias("aov_t")),
+        second_order_values(guardrails),
     ]
     if worst is not None:
-        cell = F.struct((-F.col("late_rate_pct")).alias("order"), "city", "daypart", "late_rate_pct")
-        frames.append(worst.agg(F.array_sort(F.collect_list(cell)).alias("lateness_worst_cells")))
+        inputs.append(worst.agg(worst_first().alias("lateness_worst_cells")))
+    return yearly_effects(
+        *inputs,
+        months=months,
+        share_recovered=share_recovered,
+        late_rate_cut=late_rate_cut,
+        coupon=coupon,
+        rounded_inputs=rounded_inputs,
+    )
+
+
+def yearly_effects(
+    *frames: DataFrame,
+    months: float = 6.0,
+    share_recovered: float = 0.5,
+    late_rate_cut: float = 0.06,
+    coupon: float = 75.0,
+    rounded_inputs: bool = False,
+) -> DataFrame:
+    """The model over one-row frames that hold its inputs between them: aov, matured_new_users, extra_orders,
+    recoverable_orders_6mo, adjusted_gap_pp, abs_lift_pp, treatment_rate_pct, aov_c, aov_t, and
+    lateness_worst_cells if wanted."""
     inputs = one_row(*frames)
+    worst = "lateness_worst_cells" in inputs.columns
     if rounded_inputs:
         displayed = {
             "aov": 0,
@@ -120,5 +151,5 @@ def impact_model(
         F.round("aov_delta", 1).alias("nudge_aov_delta_rupees"),
         lakhs(F.col("net")).alias("nudge_net_gmv_lakh_yr"),
         lakhs(F.col("android") + F.col("lateness") + F.col("net")).alias("total_gmv_lakh_yr"),
-        *([without_order.alias("lateness_worst_cells")] if worst is not None else []),
+        *([without_order.alias("lateness_worst_cells")] if worst else []),
     )

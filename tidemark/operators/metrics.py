@@ -126,6 +126,17 @@ def extra_orders_per_retained_user(orders: DataFrame, rounded: bool = True) -> D
     )
 
 
+def returning_users(summary: DataFrame) -> DataFrame:
+    """One row over ``user_summary``: matured new users, how many of them came back, and the mean number of orders
+    beyond the first over users with more than one."""
+    back = F.when(F.col("matured"), F.col("repeated"))
+    return summary.agg(
+        F.count_if("matured").alias("matured_new_users"),
+        F.sum(back).alias("repeated_users"),
+        F.avg(F.when(F.col("n_orders") > 1, F.col("n_orders") - 1)).alias("extra_orders"),
+    )
+
+
 def hour_of_day(orders: DataFrame) -> DataFrame:
     """Delivered orders per hour of day."""
     return delivered(orders).groupBy(F.hour("order_ts").alias("hour")).agg(

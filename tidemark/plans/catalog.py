@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import (
+    cells,
     drivers,
     experiment,
     first_orders,
@@ -21,7 +22,7 @@ from tidemark.operators import (
     segments,
 )
 from tidemark.sources.results import write_results
-from tidemark.sources.scratch import scratch_path
+from tidemark.sources.scratch import park, scratch_path
 from tidemark.sources.star import (
     events_of,
     first_two_orders_of,
@@ -419,19 +420,26 @@ def late_drilldown(spark, directory):
 
 
 def _impact(spark, directory, rounded: bool):
-    orders = orders_of(spark, directory)
-    primary = primary_of(spark, directory)
-    return impact.impact_model(
-        metrics.headline(
-            users_of(spark, directory), orders_of(spark, directory, delivery=True), rounded=False
-        ),
-        metrics.repeat_rate(orders, AS_OF),
-        metrics.extra_orders_per_retained_user(orders, rounded=False),
-        funnel.leak_size(events_of(spark, directory), 3, 4, rounded=False),
-        drivers.repeat_by_late_stratified(features_of(spark, directory), MIN_CELL, rounded=False),
-        experiment.ab_readout(primary, rounded=False),
-        experiment.ab_guardrails(outcomes_of(spark, directory), rounded=False),
-        drivers.worst_cells(city_hour_of(spark, directory)),
+    """From three cubes and a summary per user, all of one parked copy of the bound orders."""
+    users = park(users_of(spark, directory), "users")
+    orders = park(orders_of(spark, directory, city=True, delivery=True, users=users), "orders")
+    summary = park(first_orders.user_summary(orders, AS_OF), "user-summary")
+    firsts = summary.filter("matured").select("user_id", "first_ts", "repeated")
+    features = drivers.first_order_features(users, orders, AS_OF, firsts=firsts)
+    outcomes = experiment.experiment_outcomes(
+        first_orders.first_n_orders(orders, 2), variants_of(spark, directory), OUTCOME_DAYS
+    )
+    first_cells = park(cells.first_order_cells(features), "first-order-cells")
+    arms = park(cells.experiment_cells(outcomes, orders, OUTCOME_DAYS), "experiment-cells")
+    order_cells = park(cells.order_cells(orders), "order-cells")
+    readout = experiment.ab_readout(cells.ab_primary(arms, OUTCOME_DAYS), rounded=False)
+    return impact.yearly_effects(
+        cells.value_and_worst_cells(order_cells),
+        metrics.returning_users(summary).select("matured_new_users", "extra_orders"),
+        funnel.leak_size(events_of(spark, directory), 3, 4, rounded=False).select("recoverable_orders_6mo"),
+        cells.repeat_by_late_stratified(first_cells, MIN_CELL, rounded=False).select("adjusted_gap_pp"),
+        readout.filter(F.col("variant") == experiment.TREATMENT).select("abs_lift_pp", "treatment_rate_pct"),
+        impact.second_order_values(cells.ab_guardrails(arms, rounded=False)),
         rounded_inputs=rounded,
     ).withColumns(
         {
@@ -457,6 +465,32 @@ def impact_model_rounded_inputs(spark, directory):
     return _impact(spark, directory, rounded=True)
 
 
+# Cubes
+
+
+def _in_doubles(cube: DataFrame) -> DataFrame:
+    """Sums of money as doubles, for comparison."""
+    kinds = dict(cube.dtypes)
+    return cube.select(*[F.col(c).cast("double") if kinds[c].startswith("decimal") else F.col(c) for c in cube.columns])
+
+
+@query
+def order_cells(spark, directory):
+    return _in_doubles(cells.order_cells(orders_of(spark, directory, city=True, delivery=True)))
+
+
+@query
+def first_order_cells(spark, directory):
+    return cells.first_order_cells(features_of(spark, directory))
+
+
+@query
+def experiment_cells(spark, directory):
+    outcomes = outcomes_of(spark, directory)
+    firsts = first_deliveries_of(spark, directory, outcomes)
+    return _in_doubles(cells.experiment_cells(outcomes, firsts, OUTCOME_DAYS))
+
+
 # Tables in and out
 
 

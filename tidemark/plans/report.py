@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.operators import (
+    cells,
     drivers,
     experiment,
     funnel,
@@ -16,7 +18,7 @@ from tidemark.operators import (
     retention,
     segments,
 )
-from tidemark.operators.first_orders import repeat_flags
+from tidemark.operators.first_orders import user_summary
 from tidemark.sources.scratch import park
 
 
@@ -29,34 +31,37 @@ def full_report(
 ) -> dict[str, DataFrame]:
     """All tables of the analysis by name, ready for ``write_results``.
 
-    What several tables are made from is parked once: the first-order features, and every
-    small result that another table or the impact model reads again. The impact model multiplies
-    exact inputs.
+    What several tables are made from is parked once: a row per user, cubes of orders, of first orders
+    and of the experiment, and every small result that another table reads again. The impact
+    model multiplies exact inputs.
     """
     users, orders = tables["users"], tables["orders"]
     events, assignments = tables["app_events"], tables["ab_test_assignments"]
 
-    firsts = park(repeat_flags(orders, as_of), "firsts")
-    features = park(
-        drivers.first_order_features(users, orders, as_of, firsts=firsts), "features"
-    )
+    summary = park(user_summary(orders, as_of), "user-summary")
+    firsts = summary.filter("matured").select("user_id", "first_ts", "repeated")
+    features = drivers.first_order_features(users, orders, as_of, firsts=firsts)
+    first_cells = park(cells.first_order_cells(features), "first-order-cells")
+    order_cells = park(cells.order_cells(orders), "order-cells")
+    arm_cells = park(cells.experiment_cells(assignments, orders), "experiment-cells")
     headline = metrics.headline(users, orders)
     north_star = park(metrics.repeat_rate(orders, as_of, firsts=firsts), "north-star")
     matrix = park(retention.cohort_matrix(orders), "cohorts")
     late_curve = park(retention.cohort_by_late(orders), "late-curve")
     by_platform = park(funnel.funnel_by(events, "platform"), "platforms")
     scores = segments.rfm_scores(orders, as_of)
-    by_segment = park(drivers.repeat_by_segment(features), "by-segment")
-    city_hour = park(drivers.late_by_city_hour(orders), "city-hour")
-    arms = park(experiment.srm_check(assignments), "arms")
-    primary = park(experiment.ab_primary(assignments), "primary")
-    split = park(experiment.ab_by_segment(assignments, orders), "split")
+    by_segment = park(cells.repeat_by_segment(first_cells), "by-segment")
+    city_hour = park(cells.late_by_city_hour(order_cells), "city-hour")
+    arms = park(cells.srm_check(arm_cells), "arms")
+    primary = park(cells.ab_primary(arm_cells), "primary")
+    split = park(cells.ab_by_segment(arm_cells), "split")
+    exact_readout = experiment.ab_readout(primary, rounded=False)
     return {
         "headline": headline,
         "north_star": north_star,
         "monthly_trend": metrics.monthly_trend(orders),
-        "guardrails": metrics.guardrails(orders),
-        "hour_of_day": metrics.hour_of_day(orders),
+        "guardrails": cells.guardrails(order_cells),
+        "hour_of_day": cells.hour_of_day(order_cells),
         "cohort_matrix": matrix,
         "cohort_pivot": retention.cohort_pivot(matrix),
         "cohort_by_late": late_curve,
@@ -67,33 +72,31 @@ def full_report(
         "payment_leak": funnel.leak_size(events),
         "rfm_summary": segments.rfm_summary(scores),
         "behaviour_by_channel": segments.behaviour_by_channel(users, orders),
-        "repeat_by_late": drivers.repeat_by_late(features),
-        "late_gap_test": drivers.late_gap_test(features),
-        "stratified": drivers.repeat_by_late_stratified(features, min_cell),
-        "dose_response": drivers.dose_response(features),
+        "repeat_by_late": cells.repeat_by_late(first_cells),
+        "late_gap_test": cells.late_gap_test(first_cells),
+        "stratified": cells.repeat_by_late_stratified(first_cells, min_cell),
+        "dose_response": cells.dose_response(first_cells),
         "repeat_by_segment": by_segment,
         "segment_deviation": drivers.segment_deviation(by_segment, north_star),
         "late_by_city_hour": city_hour,
         "late_heatmap": drivers.late_heatmap(city_hour),
         "ab_srm": arms,
         "ab_srm_test": experiment.srm_test(arms),
-        "ab_balance": experiment.ab_balance(assignments, orders),
+        "ab_balance": cells.ab_balance(arm_cells),
         "ab_primary": primary,
         "ab_readout": experiment.ab_readout(primary),
         "ab_power": experiment.ab_power(primary),
-        "ab_guardrails": experiment.ab_guardrails(assignments),
+        "ab_guardrails": cells.ab_guardrails(arm_cells),
         "ab_by_segment": split,
         "ab_segment_lift": experiment.ab_segment_lift(split),
         "ab_lift": experiment.ab_lift(primary),
-        "impact": impact.impact_model(
-            metrics.headline(users, orders, rounded=False),
-            north_star,
-            metrics.extra_orders_per_retained_user(orders, rounded=False),
-            funnel.leak_size(events, rounded=False),
-            drivers.repeat_by_late_stratified(features, min_cell, rounded=False),
-            experiment.ab_readout(primary, rounded=False),
-            experiment.ab_guardrails(assignments, rounded=False),
-            drivers.worst_cells(city_hour),
+        "impact": impact.yearly_effects(
+            cells.value_and_worst_cells(order_cells),
+            metrics.returning_users(summary).select("matured_new_users", "extra_orders"),
+            funnel.leak_size(events, rounded=False).select("recoverable_orders_6mo"),
+            cells.repeat_by_late_stratified(first_cells, min_cell, rounded=False).select("adjusted_gap_pp"),
+            exact_readout.filter(F.col("variant") == experiment.TREATMENT).select("abs_lift_pp", "treatment_rate_pct"),
+            impact.second_order_values(cells.ab_guardrails(arm_cells, rounded=False)),
             months=months,
         ),
     }

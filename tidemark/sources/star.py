@@ -64,8 +64,9 @@ def orders_of(
     city: bool = False,
     delivery: bool = False,
     only: DataFrame | None = None,
+    users: DataFrame | None = None,
 ) -> DataFrame:
-    """Orders; ``city`` adds the user's city, ``delivery`` the columns that come
+    """Orders; ``city`` adds the user's city (from ``users`` where they are at hand), ``delivery`` the columns that come
     from line items: discount, delivery_minutes and is_late. ``only`` holds the
     user_id and order_ts of the orders wanted, and thins out orders and line items
     before those joins."""
@@ -101,7 +102,8 @@ def orders_of(
             f"int(datediff(last_ship, placed_on) > {LATE_AFTER_DAYS}) AS is_late",
         ]
     if city:
-        cities = users_of(spark, directory).select("user_id", "city")
+        users = users_of(spark, directory) if users is None else users
+        cities = users.select("user_id", "city")
         orders = orders.join(cities, "user_id", "left")
         columns.append("city")
     return orders.selectExpr(*columns)
