@@ -750,3 +750,5 @@ ORACLES["write_results_json"] = ORACLES["guardrails"]
 # The same queries over a window of 14 days.
 for _name in ("repeat_by_late", "late_gap_test", "repeat_by_late_stratified", "dose_response", "repeat_by_segment"):
     ORACLES[f"{_name}_14d"] = ORACLES[_name].replace(FEATURES, features(14)).replace("repeat_30d_pct", "repeat_14d_pct")
+ORACLES["weekly_metrics_incremental"] = ORACLES["weekly_metrics"]
+ORACLES["late_drilldown_by_week"] = ORACLES["late_drilldown"]

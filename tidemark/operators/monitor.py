@@ -160,17 +160,25 @@ def weekly_report(classified: DataFrame, week=None) -> DataFrame:
     )
 
 
-def late_drilldown(orders: DataFrame, week=None, report: DataFrame | None = None) -> DataFrame:
+def late_drilldown(
+    orders: DataFrame,
+    week=None,
+    report: DataFrame | None = None,
+    week_column: str | None = None,
+) -> DataFrame:
     """Late deliveries by city in one week.
 
     With ``report``, the week is the reported one, and the result is empty unless
     some metric breached there. The week is a range of order times, which goes to
     the source as a filter: as literals if it is given, else once the report is
-    known.
+    known. ``week_column`` names the column of Mondays by which the table is
+    partitioned; then no other week's files are read.
     """
     rows = delivered(orders)
     if week is not None:
         rows = rows.filter(within_week("order_ts", week))
+        if week_column:
+            rows = rows.filter(F.col(week_column) == F.lit(str(week)).cast("date"))
     if report is not None:
         breached = report.filter(F.col("status").isin(AMBER, RED))
         monday = breached.agg(F.max("week_start").cast("timestamp_ntz")).scalar()
@@ -178,6 +186,8 @@ def late_drilldown(orders: DataFrame, week=None, report: DataFrame | None = None
         rows = rows.filter(
             (F.col("order_ts") >= monday) & (F.col("order_ts") - days(7) < monday)
         )
+        if week_column:
+            rows = rows.filter(F.col(week_column) == breached.agg(F.max("week_start")).scalar())
     elif week is None:
         raise ValueError("give a week, a report, or both")
     return rows.groupBy("city").agg(

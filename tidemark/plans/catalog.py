@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.calendar import instant
 from tidemark.operators import (
     cells,
     drivers,
@@ -20,7 +21,10 @@ from tidemark.operators import (
     monitor,
     retention,
     segments,
+    weekly_state,
 )
+from tidemark.plans.report import weekly_run
+from tidemark.sources.by_week import WEEK, read_by_week, write_by_week
 from tidemark.sources.results import write_results
 from tidemark.sources.scratch import park, scratch_path
 from tidemark.sources.star import (
@@ -143,7 +147,7 @@ def cohort_matrix(spark, directory):
 
 @query
 def cohort_pivot(spark, directory):
-    matrix = retention.cohort_matrix(orders_of(spark, directory))
+    matrix = park(retention.cohort_matrix(orders_of(spark, directory)), "cohorts")
     return retention.cohort_pivot(matrix)
 
 
@@ -416,6 +420,38 @@ def late_drilldown(spark, directory):
     )
 
 
+def _state_of_two_batches(spark, directory):
+    """A state fed twice: most rows first, then the latest quarter and some late rows of two earlier months."""
+    orders = orders_of(spark, directory, delivery=True)
+    events = events_of(spark, directory)
+    earlier = F.col("order_ts").between(instant("2000-03-01"), instant("2000-05-01"))
+    late = (F.col("order_ts") >= instant("2001-05-01")) | earlier & (F.col("order_id") % 7 == 0)
+    late_event = (F.col("user_id") % 5 == 0) & (F.col("step_no") > 1)
+    state = scratch_path(spark, "weekly-state")
+    for batch, keep in (("first", F.lit(False)), ("second", F.lit(True))):
+        weekly_state.advance(
+            spark, state, batch, orders.filter(late == keep), events.filter(late_event == keep), last_step=4
+        )
+    return state
+
+
+@query
+def weekly_metrics_incremental(spark, directory):
+    kept = weekly_state.weekly_metrics(spark, _state_of_two_batches(spark, directory))
+    return kept.withColumn("value", F.round("value", 6))
+
+
+@query
+def late_drilldown_by_week(spark, directory):
+    """Over a copy of the orders partitioned by week, of which it reads the reported one."""
+    path = scratch_path(spark, "orders-by-week")
+    orders = orders_of(spark, directory, city=True, delivery=True)
+    write_by_week(orders, path)
+    by_week = read_by_week(spark, path, orders.schema)
+    weekly = monitor.weekly_metrics(by_week, events_of(spark, directory), last_step=4)
+    return weekly_run(by_week, week=REPORT_WEEK, weekly=weekly, week_column=WEEK)["drilldown"]
+
+
 # Impact sizing
 
 
@@ -431,10 +467,9 @@ def _impact(spark, directory, rounded: bool):
     )
     first_cells = park(cells.first_order_cells(features), "first-order-cells")
     arms = park(cells.experiment_cells(outcomes, orders, OUTCOME_DAYS), "experiment-cells")
-    order_cells = park(cells.order_cells(orders), "order-cells")
     readout = experiment.ab_readout(cells.ab_primary(arms, OUTCOME_DAYS), rounded=False)
     return impact.yearly_effects(
-        cells.value_and_worst_cells(order_cells),
+        cells.value_and_worst_cells(cells.order_cells(orders)),
         metrics.returning_users(summary).select("matured_new_users", "extra_orders"),
         funnel.leak_size(events_of(spark, directory), 3, 4, rounded=False).select("recoverable_orders_6mo"),
         cells.repeat_by_late_stratified(first_cells, MIN_CELL, rounded=False).select("adjusted_gap_pp"),

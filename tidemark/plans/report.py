@@ -103,11 +103,21 @@ def full_report(
 
 
 def weekly_run(
-    orders: DataFrame, events: DataFrame | None = None, week=None
+    orders: DataFrame,
+    events: DataFrame | None = None,
+    week=None,
+    *,
+    weekly: DataFrame | None = None,
+    week_column: str | None = None,
 ) -> dict[str, DataFrame]:
     """The monitor for one week: status table, and the drill-down that fills only
-    if something breached. The status table is parked, since both read it."""
-    weekly = monitor.weekly_metrics(orders, events)
+    if something breached. The status table is parked, since both read it.
+
+    ``weekly`` hands in the metrics where they are kept, see
+    :mod:`tidemark.operators.weekly_state`; with ``week_column`` the drill-down reads only the reported week of
+    a table partitioned by it."""
+    if weekly is None:
+        weekly = monitor.weekly_metrics(orders, events)
     classified = monitor.classify(monitor.trailing_baseline(weekly))
     report = park(monitor.weekly_report(classified, week), "weekly-report")
-    return {"report": report, "drilldown": monitor.late_drilldown(orders, week, report)}
+    return {"report": report, "drilldown": monitor.late_drilldown(orders, week, report, week_column)}

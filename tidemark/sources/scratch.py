@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``; without that
-    setting the session's warehouse, which executors share as well."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The shared folder that the session names in ``spark.checkpoint.dir``; without that setting the session's
+    warehouse, unless executors on other machines would not see it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        on_disk = "://" not in root or root.startswith("file:")
+        if on_disk and not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
