@@ -750,5 +750,18 @@ ORACLES["write_results_json"] = ORACLES["guardrails"]
 # The same queries over a window of 14 days.
 for _name in ("repeat_by_late", "late_gap_test", "repeat_by_late_stratified", "dose_response", "repeat_by_segment"):
     ORACLES[f"{_name}_14d"] = ORACLES[_name].replace(FEATURES, features(14)).replace("repeat_30d_pct", "repeat_14d_pct")
+
+ACTIVE = "active AS (" + " UNION ALL ".join(
+    f"SELECT '{grain}' AS grain, {period} AS period, COUNT(DISTINCT user_id) AS active_users FROM good_v GROUP BY 1, 2"
+    for grain, period in (
+        *((g, f"CAST(DATE_TRUNC('{g}', order_ts) AS DATE)") for g in ("week", "month", "quarter")),
+        ("all", "CAST(NULL AS DATE)"),
+    )
+) + ")"
+ORACLES["active_users_by_bitmaps"] = sql("SELECT * FROM active", ACTIVE)
+ORACLES["active_users_by_sketches"] = sql("SELECT *, TRUE AS within FROM active", ACTIVE)
+ORACLES["funnel_by_bitmaps"] = sql("""
+    SELECT step_no, event_name, CAST(DATE_TRUNC('month', event_ts) AS DATE) AS month, COUNT(DISTINCT session_id) AS sessions
+    FROM events_v GROUP BY 1, 2, 3""")
 ORACLES["weekly_metrics_incremental"] = ORACLES["weekly_metrics"]
 ORACLES["late_drilldown_by_week"] = ORACLES["late_drilldown"]

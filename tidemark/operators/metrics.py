@@ -69,9 +69,9 @@ def repeat_rate(
     )
 
 
-def monthly_trend(orders: DataFrame) -> DataFrame:
-    """Delivered orders by calendar month."""
-    users = active_users(delivered(orders), month_start("order_ts"), "month")
+def monthly_trend(orders: DataFrame, approximate: bool = False) -> DataFrame:
+    """Delivered orders by calendar month; ``approximate`` counts active users by sketches."""
+    users = active_users(delivered(orders), month_start("order_ts"), "month", approximate)
     return (
         delivered(orders)
         .groupBy(month_start("order_ts").alias("month"))

@@ -62,8 +62,9 @@ def weekly_metrics(
     metrics: Sequence[Metric] | None = None,
     first_step: int = 1,
     last_step: int = 6,
+    approximate: bool = False,
 ) -> DataFrame:
-    """metric, week_start, value. All aggregates over orders come from one pass
+    """metric, week_start, value. ``approximate`` counts active users by sketches. All aggregates over orders come from one pass
     that keeps one row per week; active users are counted beside it. The funnel
     takes part if ``events`` are given; a registry of one's own that names it
     needs them."""
@@ -87,7 +88,9 @@ def weekly_metrics(
         if isinstance(metric.value, Column):
             continue
         if metric.value == ACTIVE_USERS:
-            users = active_users(delivered(orders), week_start("order_ts"), "week_start")
+            users = active_users(
+                delivered(orders), week_start("order_ts"), "week_start", approximate
+            )
             one = users.withColumnRenamed("active_users", "value")
         elif events is not None:
             one = funnel_weekly(events, first_step, last_step)

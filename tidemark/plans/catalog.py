@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tidemark.functions.calendar import instant
 from tidemark.operators import (
     cells,
+    distinct,
     drivers,
     experiment,
     first_orders,
@@ -500,6 +501,56 @@ def impact_model_rounded_inputs(spark, directory):
     return _impact(spark, directory, rounded=True)
 
 
+# Distinct counts that merge
+
+
+GRAINS = ("week", "month", "quarter", "all")
+
+
+@query
+def active_users_by_bitmaps(spark, directory):
+    """Users with a delivered order by week, month, quarter and in all, from bitmaps kept per day. Numbers are given in
+    two goes, as by two runs."""
+    orders = first_orders.delivered(orders_of(spark, directory))
+    early = orders.filter(F.col("order_ts") < instant("1996-01-01"))
+    numbers = distinct.number_members(orders, "user_id", distinct.number_members(early, "user_id"))
+    days = park(distinct.daily_bitmaps(orders, "user_id", "order_ts", numbers), "user-bitmaps")
+    counts = [
+        distinct.bitmap_counts(days, grain).select(F.lit(grain).alias("grain"), "period", F.col("members").alias("active_users"))
+        for grain in GRAINS
+    ]
+    return reduce(DataFrame.unionAll, counts)
+
+
+@query
+def funnel_by_bitmaps(spark, directory):
+    """Sessions per step and month, from bitmaps per day and step."""
+    events = events_of(spark, directory)
+    numbers = distinct.number_members(events, "session_id")
+    days = distinct.daily_bitmaps(events, "session_id", "event_ts", numbers, "step_no", "event_name")
+    return distinct.bitmap_counts(days, "month", "step_no", "event_name").select(
+        "step_no", "event_name", F.col("period").alias("month"), F.col("members").alias("sessions")
+    )
+
+
+@query
+def active_users_by_sketches(spark, directory):
+    """Exact active users, and whether the estimate from daily sketches is within its error, by grain. Estimates
+    of a handful of users are off by less than one."""
+    orders = first_orders.delivered(orders_of(spark, directory))
+    days = park(distinct.daily_sketches(orders, "user_id", "order_ts"), "user-sketches")
+    exact = park(distinct.daily_bitmaps(orders, "user_id", "order_ts", distinct.number_members(orders, "user_id")), "user-bitmaps")
+    bound = F.greatest(F.lit(1.0), F.lit(distinct.relative_error()) * F.col("active_users"))
+    parts = []
+    for grain in GRAINS:
+        true = distinct.bitmap_counts(exact, grain).select("period", F.col("members").alias("active_users"), F.lit(None).cast("long").alias("estimate"))
+        sketched = distinct.sketched_counts(days, grain).select("period", F.lit(None).cast("long").alias("active_users"), F.col("members").alias("estimate"))
+        beside = true.unionAll(sketched).groupBy("period").agg(F.max("active_users").alias("active_users"), F.max("estimate").alias("estimate"))
+        near = F.abs(F.col("estimate") - F.col("active_users")) <= bound
+        parts.append(beside.select(F.lit(grain).alias("grain"), "period", "active_users", near.alias("within")))
+    return reduce(DataFrame.unionAll, parts)
+
+
 # Cubes
 
 
