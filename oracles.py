@@ -765,3 +765,22 @@ ORACLES["funnel_by_bitmaps"] = sql("""
     FROM events_v GROUP BY 1, 2, 3""")
 ORACLES["weekly_metrics_incremental"] = ORACLES["weekly_metrics"]
 ORACLES["late_drilldown_by_week"] = ORACLES["late_drilldown"]
+ORACLES["repeat_rate_by_user_days"] = ORACLES["repeat_rate"]
+ORACLES["cohort_matrix_by_user_days"] = ORACLES["cohort_matrix"]
+ORACLES["rfm_scores_by_user_days"] = ORACLES["rfm_scores"]
+FAULTS = (
+    ("unreadable", "3"),
+    ("negative gmv", "4, 7"),
+    ("no order_ts", "5"),
+    ("rating is not within 1 and 5", "6"),
+    ("unknown status", "7"),
+)
+ORACLES["quarantine_on_load"] = sql(
+    "SELECT 'good' AS reason, COUNT(*) AS n, CAST(SUM(order_id) AS BIGINT) AS ids FROM orders_v WHERE order_id % 50 NOT IN (3, 4, 5, 6, 7)"
+    " AND COALESCE(delivery_minutes >= 0, TRUE) UNION ALL SELECT 'negative delivery_minutes', COUNT(*), CAST(NULL AS BIGINT)"
+    " FROM orders_v WHERE order_id % 50 <> 3 AND delivery_minutes < 0 HAVING COUNT(*) > 0"
+    + "".join(
+        f" UNION ALL SELECT '{reason}', COUNT(*), CAST(NULL AS BIGINT) FROM orders_v WHERE order_id % 50 IN ({rest}) HAVING COUNT(*) > 0"
+        for reason, rest in FAULTS
+    )
+)

@@ -63,7 +63,11 @@ def repeat_flags(orders: DataFrame, as_of, window_days: int = 30) -> DataFrame:
     exactly. In the slot of the first order, every later time is near enough, so
     the latest tells; in the next slot every time is later, so the earliest tells.
     """
-    slots = _slots(with_user(delivered(orders)), window_days)
+    slots = slots_of(with_user(delivered(orders)), "order_ts", "order_ts", F.count("*"), window_days)
+    return flags_of_slots(slots, as_of, window_days)
+
+
+def flags_of_slots(slots: DataFrame, as_of, window_days: int = 30) -> DataFrame:
     matured = F.col("first_ts") <= instant(as_of) - days(int(window_days))
     return slots.filter(matured).groupBy("user_id", "first_ts").agg(_came_back(window_days))
 
@@ -72,7 +76,7 @@ def user_summary(orders: DataFrame, as_of, window_days: int = 30) -> DataFrame:
     """user_id, first_ts, n_orders, matured, repeated: one row per user with a delivered order, from the same
     slots as :func:`repeat_flags`, so that one pass serves the repeat rate and the number of orders. Orders
     without a user_id make one row, which has not matured."""
-    slots = _slots(delivered(orders), window_days)
+    slots = slots_of(delivered(orders), "order_ts", "order_ts", F.count("*"), window_days)
     matured = F.col("first_ts") <= instant(as_of) - days(int(window_days))
     return (
         slots.groupBy("user_id", "first_ts")
@@ -81,19 +85,17 @@ def user_summary(orders: DataFrame, as_of, window_days: int = 30) -> DataFrame:
     )
 
 
-def _slots(orders: DataFrame, window_days: int) -> DataFrame:
+def slots_of(
+    rows: DataFrame, earliest: str, latest: str, n: Column, window_days: int
+) -> DataFrame:
     """Each user's earliest and latest time and number of orders per slot of the window's length, and
-    the time of the first order."""
+    the time of the first order. ``rows`` are orders, or orders summed up by user and day."""
     if window_days != int(window_days) or window_days < 1:
         raise ValueError("window_days must be a whole number of days, 1 or more")
-    day = F.unix_date(day_of("order_ts"))
+    day = F.unix_date(day_of(earliest))
     return (
-        orders.groupBy("user_id", F.floor(day / int(window_days)).alias("slot"))
-        .agg(
-            F.min("order_ts").alias("earliest"),
-            F.max("order_ts").alias("latest"),
-            F.count("*").alias("n"),
-        )
+        rows.groupBy("user_id", F.floor(day / int(window_days)).alias("slot"))
+        .agg(F.min(earliest).alias("earliest"), F.max(latest).alias("latest"), n.alias("n"))
         .withColumn("first_ts", F.min("earliest").over(by_user()))
     )
 

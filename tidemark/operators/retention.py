@@ -39,6 +39,11 @@ def cohort_matrix(orders: DataFrame) -> DataFrame:
         .select("user_id", month_number("order_ts").alias("month"))
         .distinct()
     )
+    return matrix_of_months(months)
+
+
+def matrix_of_months(months: DataFrame) -> DataFrame:
+    """The matrix from user_id and month, one row for each month in which a user ordered."""
     active = months.withColumn("cohort", F.min("month").over(by_user())).withColumn(
         "period_index", F.col("month") - F.col("cohort")
     )

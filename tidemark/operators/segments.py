@@ -47,17 +47,22 @@ def rfm_scores(orders: DataFrame, as_of) -> DataFrame:
     The per-user table is parked once, since both scores and the result read it;
     this is the one operator that runs jobs while it is being built.
     """
-    since_last = F.timestamp_diff("SECOND", F.col("last_ts"), instant(as_of))
-    users = park(
+    users = (
         delivered(orders)
         .groupBy("user_id")
         .agg(
             F.max("order_ts").alias("last_ts"),
             F.count("*").alias("frequency"),
             F.sum("gmv").alias("monetary"),
-        ),
-        "rfm-users",
+        )
     )
+    return scores_of_users(users, as_of)
+
+
+def scores_of_users(users: DataFrame, as_of) -> DataFrame:
+    """Scores and segment from user_id, last_ts, frequency and monetary."""
+    since_last = F.timestamp_diff("SECOND", F.col("last_ts"), instant(as_of))
+    users = park(users, "rfm-users")
     # The longest gap since the last order comes first, so tile 1 is most lapsed.
     scored = with_ntile(users, ["last_ts", "user_id"], TILES, "r_score")
     scored = with_ntile(scored, ["frequency", "user_id"], TILES, "f_score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -22,10 +23,12 @@ from tidemark.operators import (
     monitor,
     retention,
     segments,
+    user_days,
     weekly_state,
 )
 from tidemark.plans.report import weekly_run
 from tidemark.sources.by_week import WEEK, read_by_week, write_by_week
+from tidemark.sources.quarantine import load_table
 from tidemark.sources.results import write_results
 from tidemark.sources.scratch import park, scratch_path
 from tidemark.sources.star import (
@@ -551,6 +554,35 @@ def active_users_by_sketches(spark, directory):
     return reduce(DataFrame.unionAll, parts)
 
 
+# Per-user operators over a bucketed table
+
+BUCKETS = 8
+
+
+def user_days_of(spark, directory):
+    """Saved in two goes: the days of most orders, merged with those of the others."""
+    orders = orders_of(spark, directory)
+    late = F.col("order_id") % 5 == 0
+    days = user_days.merged_days(user_days.user_days(orders.filter(~late)), user_days.user_days(orders.filter(late)))
+    name = f"user_days_{uuid.uuid4().hex}"
+    return user_days.write_by_user(days, name, scratch_path(spark, "user-days"), BUCKETS)
+
+
+@query
+def repeat_rate_by_user_days(spark, directory):
+    return metrics.repeat_rate(None, AS_OF, firsts=user_days.repeat_flags(user_days_of(spark, directory), AS_OF))
+
+
+@query
+def cohort_matrix_by_user_days(spark, directory):
+    return user_days.cohort_matrix(user_days_of(spark, directory))
+
+
+@query
+def rfm_scores_by_user_days(spark, directory):
+    return user_days.rfm_scores(user_days_of(spark, directory), AS_OF)
+
+
 # Cubes
 
 
@@ -645,6 +677,39 @@ def read_tables_parquet(spark, directory):
     return _round_trip(spark, directory, "parquet")
 
 
+@query
+def quarantine_on_load(spark, directory):
+    """Orders written as text with faults in some lines, loaded with these set aside: how many good ones, how many
+    with each reason, and the sum of the good ones' ids."""
+    orders = orders_of(spark, directory, delivery=True).withColumn("discount", F.round("discount", 2))
+    fault = F.col("order_id") % 50
+    faults = {
+        "delivery_minutes": (fault == 3, F.lit("soon")),
+        "gmv": ((fault == 4) | (fault == 7), F.lit("-5.00")),
+        "order_ts": (fault == 5, F.lit(None)),
+        "rating": (fault == 6, F.lit("9")),
+        "status": (fault == 7, F.lit("lost")),
+    }
+    texts = {
+        name: F.date_format("order_ts", "yyyy-MM-dd HH:mm:ss") if name == "order_ts" else F.col(name).cast("string")
+        for name in orders.columns
+    }
+    broken = orders.select(
+        *[
+            (F.when(~faults[name][0], text).otherwise(faults[name][1]) if name in faults else text).alias(name)
+            for name, text in texts.items()
+        ]
+    )
+    path = scratch_path(spark, "orders-with-faults")
+    broken.write.option("header", True).csv(path)
+    found = load_table(spark, "orders", path, "csv")
+    good = found.good.agg(F.lit("good").alias("reason"), F.count("*").alias("n"), F.sum("order_id").alias("ids"))
+    why = found.rejected.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(
+        F.count("*").alias("n"), F.lit(None).cast("long").alias("ids")
+    )
+    return good.unionAll(why)
+
+
 @query
 def write_results_json(spark, directory):
     """Persist a result as JSON and read it back with its own schema."""

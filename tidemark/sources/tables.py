@@ -82,6 +82,19 @@ TABLES = {
 ALIASES = {"is_gold": "is_member"}
 
 
+def csv_schema(spark: SparkSession, name: str, path: str) -> StructType:
+    """The declared types in the order of the first file's header."""
+    declared = {field.name: field for field in TABLES[name].fields}
+    header = spark.read.option("header", True).csv(path).columns
+    return StructType(
+        [
+            StructField(column, declared[known].dataType if known in declared else StringType())
+            for column in header
+            for known in [ALIASES.get(column, column)]
+        ]
+    )
+
+
 def read_table(
     spark: SparkSession, name: str, path: str, fmt: str = "parquet", view: bool = True
 ) -> DataFrame:
@@ -92,18 +105,9 @@ def read_table(
     file's header has to agree with the first one's; a self-describing source is
     cast where its types differ. Columns that the source lacks are left out.
     """
-    declared = {field.name: field for field in TABLES[name].fields}
     if fmt == "csv":
-        header = spark.read.option("header", True).csv(path).columns
-        in_file_order = StructType(
-            [
-                StructField(column, declared[known].dataType if known in declared else StringType())
-                for column in header
-                for known in [ALIASES.get(column, column)]
-            ]
-        )
         source = (
-            spark.read.schema(in_file_order)
+            spark.read.schema(csv_schema(spark, name, path))
             .option("header", True)
             .option("enforceSchema", False)
             .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
