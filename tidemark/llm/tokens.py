@@ -3,12 +3,74 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 
 import numpy as np
 
 _BLANKS = "\n\t\r\x0b\x0c"
 _PROBES = ("a b", "it's  The end.", "x\n\ty , z", "é ́a b", "1 2", "'s 't <|endoftext|> q")
+LAST_LETTER = "\xff"  # of Latin-1
+_LETTERS = "".join(chr(c) for c in range(256) if chr(c).isalpha())
+
+
+class _PlainWords:
+    """Ids of words of Latin-1 letters, many in one go.
+
+    For a byte-level file whose tokens carry the end of a word, such words can skip the file's own cutting and
+    normalising: they are spelled as the model spells them, joined by blanks, and the ids cut where a
+    word ends.
+    """
+
+    def __init__(self, file: dict, dtype: np.dtype):
+        from tokenizers import Tokenizer
+
+        suffix = file["model"]["end_of_word_suffix"]
+        vocabulary = file["model"]["vocab"]
+        self._lower = any(n["type"] == "Lowercase" for n in _parts(file.get("normalizer"), "normalizers"))
+        bare = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+        self._tokenizer = Tokenizer.from_str(json.dumps(file | bare))
+        self._dtype = dtype
+        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._ends[[i for entry, i in vocabulary.items() if entry.endswith(suffix)]] = True
+        # bytes that are visible in Latin-1 are spelled as themselves, the others from U+0100 on
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        spelled = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self._spelled = {ord(c): "".join(spelled[b] for b in c.encode()) for c in _LETTERS}
+
+    def ids(self, words: list[str]) -> list[bytes] | None:
+        """None if the ids can't be cut into as many words."""
+        parts = [words[at : at + 512] for at in range(0, len(words), 512)]
+        joined = [" ".join(part) for part in parts]
+        texts = [(text.lower() if self._lower else text).translate(self._spelled) for text in joined]
+        found, width = [], self._dtype.itemsize
+        for part, encoded in zip(parts, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.asarray(encoded.ids, dtype=np.int64)
+            ends = ((np.flatnonzero(self._ends[ids]) + 1) * width).tolist()
+            if len(ends) != len(part):
+                return None
+            raw = ids.astype(self._dtype).tobytes()
+            found += [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return found
+
+
+def _parts(step: dict | None, inner: str) -> list[dict]:
+    return [] if step is None else step[inner] if step["type"] == "Sequence" else [step]
+
+
+def _plain_words(path: str, dtype: np.dtype) -> _PlainWords | None:
+    """For files that are known to keep such words whole: lower-casing, NFC, byte-level, ends of words marked."""
+    with open(path, encoding="utf-8") as source:
+        file = json.load(source)
+    model = file["model"]
+    normal = {n["type"] for n in _parts(file.get("normalizer"), "normalizers")}
+    cut = {n["type"] for n in _parts(file.get("pre_tokenizer"), "pretokenizers")}
+    if model.get("type", "BPE") != "BPE" or not model.get("end_of_word_suffix") or model.get("dropout"):
+        return None
+    if not normal <= {"NFC", "Replace", "Lowercase"} or "ByteLevel" not in cut or not cut <= {"ByteLevel", "Split"}:
+        return None
+    return _PlainWords(file, dtype)
 
 
 class TextEncoder:
@@ -34,11 +96,45 @@ class TextEncoder:
         self._wordwise = all(
             self._whole([probe])[0] == b"".join(self._whole(probe.split(" "))) for probe in _PROBES
         ) and all(self._whole([f"a{c}b"])[0] == b"".join(self._whole(["a", "b"])) for c in _BLANKS)
+        self._plain = _plain_words(path, self.dtype) if self._wordwise else None
+        if self._plain is not None:
+            probes = [*_LETTERS, *(f"th{c}ing" for c in _LETTERS), "The", "ENDE", "a" * 300, _LETTERS]
+            marks = {mark: self._whole([mark])[0] for mark in ".,;:!?"}
+            marked = all(self._whole([f"Ab{m}"])[0] == self._whole(["Ab"])[0] + ids for m, ids in marks.items())
+            self._marks = marks
+            if not marked or self._plain.ids(probes) != self._whole(probes):
+                self._plain = None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype=self.dtype).tobytes() for x in found]
 
+    def _words_of(self, words: list[str]) -> dict[str, bytes]:
+        """Words that have not been met, with their ids."""
+        if self._plain is None:
+            return dict(zip(words, self._whole(words)))
+        marks, young, old = self._marks, self._young, self._old
+        plain, stems, rest, new = [], [], [], {}
+        for word in words:
+            stem = word[:-1] if word[-1] in marks else word
+            if stem.isalpha() and (stem.isascii() or max(stem) <= LAST_LETTER):
+                plain.append(word)
+                stems.append(stem)
+                if stem not in young and stem not in old:
+                    new[stem] = b""
+            else:
+                rest.append(word)
+        unmet = list(new)
+        ids = self._plain.ids(unmet)
+        new.update(zip(unmet, self._whole(unmet) if ids is None else ids))
+        found = dict(zip(rest, self._whole(rest)))
+        for word, stem in zip(plain, stems):
+            raw = new.get(stem)
+            if raw is None:
+                raw = young[stem] if stem in young else old[stem]
+            found[word] = raw if word is stem else raw + marks[word[-1]]
+        return found
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``; null encodes like an empty text."""
         if not self._wordwise:
@@ -61,9 +157,10 @@ class TextEncoder:
             known = new & old.keys()
             for word in known:
                 young[word] = old[word]
-            unknown = list(new - known)
-            for word, ids in zip(unknown, self._whole(unknown)):
-                (young if len(word) <= self._longest else once)[word] = ids
+            found = self._words_of(list(new - known))
+            for word in [word for word in found if len(word) > self._longest]:
+                once[word] = found.pop(word)
+            young.update(found)
         if once:
             return [b"".join([young[w] if w in young else once[w] for w in words]) for words in split]
         look = young.__getitem__
