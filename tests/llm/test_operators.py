@@ -605,9 +605,10 @@ def brute_hits(text, items, n=13):
     return len(words), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("segment", [4096, 16])
-def test_hits_match_brute_force(spark, monkeypatch, segment):
+@pytest.mark.parametrize("segment,broadcast", [(4096, 250_000), (16, 250_000), (4096, 0), (16, 0)])
+def test_hits_match_brute_force(spark, monkeypatch, segment, broadcast):
     monkeypatch.setattr(benchmark_filter, "SEGMENT", segment)
+    monkeypatch.setattr(benchmark_filter, "BROADCAST_WINDOWS", broadcast)
     rng = np.random.default_rng(7)
     vocabulary = ["Ab", "cd", "é", "x1", "q"]
     items = [(i, ", ".join(rng.choice(vocabulary, int(rng.integers(0, 22))))) for i in range(25)]

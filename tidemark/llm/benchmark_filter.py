@@ -1,8 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, joined with all
 word windows of the training texts. DataFrame functions only.
 
-The windows themselves are the join keys, so a hit is equal words, not an equal hash. Texts
-are read once, where they lie; only windows that hit, and one row per document, are shuffled.
+Every word is hashed once, and a window's 64-bit hash is made of its words' hashes. Windows whose hash an item's
+window has are then compared word by word, so a hit is equal words. Texts are read once, where they lie; only
+windows that hit, and one row per document, are shuffled.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.rows import row_key, without
+from tidemark.llm.storage import park
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # between words of lower-cased text
 OUTSIDE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # of words, before lower-casing
 PIECES = OUTSIDE.replace("[", "[^") + "+" + OUTSIDE + "*"
 SEGMENT = 4096  # words that are cut into windows at a time
-BROADCAST_WINDOWS = 250_000  # of about 100 bytes; a larger set is joined by shuffling
+BROADCAST_WINDOWS = 250_000  # of about 100 bytes; a larger set is joined by shuffling hashes
 
 
 def words(text: str = "text") -> Column:
@@ -28,13 +30,14 @@ def words(text: str = "text") -> Column:
     return F.array_remove(F.split(lowered, BREAKS), "")
 
 
-def _windows(listed: Column, length: int, last: Column) -> Column:
-    """Windows of ``length`` words that start at 1..last, with their start."""
+def _hashes(listed: Column) -> Column:
+    return F.transform(listed, lambda w: F.xxhash64(w))
+
+
+def _windows(hashes: Column, length: int, last: Column) -> Column:
+    """Hashes of the windows of ``length`` words that start at 1..last, in order."""
     starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts,
-        lambda i: F.struct(i.alias("at"), F.array_join(F.slice(listed, i, length), " ").alias("gram")),
-    )
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, length)))
 
 
 def item_windows(benchmark: DataFrame, n: int) -> DataFrame:
@@ -60,10 +63,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     text has no words. Items without words take no part; hits of an item whose id is null count,
     but it is not listed. Repeated rows stay repeated. With an empty benchmark nothing is hit.
     """
-    grams = item_windows(benchmark, n)
+    grams = item_windows(benchmark, n).withColumn("hash", F.xxhash64(_hashes(F.split("gram", " "))))
     sizes = grams.groupBy("length").count().collect()  # n rows at most
-    if sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS:
-        grams = F.broadcast(grams)
+    small = sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS
     lengths = sorted(r["length"] for r in sizes)
     listed = docs.select(
         F.monotonically_increasing_id().alias("rid"), row_key().alias("row_key"), "doc_id", words().alias("w")
@@ -77,19 +79,32 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
                 lambda s: F.struct(s.alias("before"), F.slice("w", s + 1, SEGMENT + n - 1).alias("w")),
             )
         ).alias("s"),
+    ).select("rid", "row_key", "doc_id", "n_words", "s.before", "s.w", _hashes(F.col("s.w")).alias("h"))
+    last = [F.least(F.lit(SEGMENT), F.size("w") - k + 1) for k in lengths]
+    last_of = [F.least(F.lit(SEGMENT), F.col("size") - k + 1) for k in lengths]
+    # for each length all windows' hashes one after the other; the first of them all stands for the row
+    hashed = reduce(F.concat, [_windows(F.col("h"), k, at) for k, at in zip(lengths, last)], F.array(F.lit(None).cast("long")))
+    own = ["rid", "row_key", "doc_id", "n_words", "before"]
+    entries = segments.select(*own, F.size("w").alias("size"), *(["w"] if small else []), F.posexplode(hashed).alias("place", "hash"))
+    alone = F.col("place") == 0
+    hits = entries.join(F.broadcast(grams) if small else grams, "hash", "left").filter("gram is not null or place = 0 and before = 0")
+    if not small:  # hashes alone are shuffled to so many windows; the words come back to what they hit
+        hits = park(hits, "window-hits")
+        texts = segments.select("row_key", "before", "w").dropDuplicates(["row_key", "before"])
+        hits = hits.join(texts, ["row_key", "before"])
+    # where in its own length's windows a place lies
+    passed, at = F.lit(0), F.lit(None).cast("int")
+    for k, count in zip(lengths, last_of):
+        at = F.when(F.col("length") == k, F.col("place") - passed).otherwise(at)
+        passed = passed + F.greatest(count, F.lit(0))
+    same = F.array_join(F.slice("w", F.col("start"), F.col("length")), " ") == F.col("gram")
+    found = (
+        hits.withColumn("start", at)
+        .filter(alone | F.when((F.col("start") >= 1) & (F.col("start") + F.col("length") - 1 <= F.col("size")), same))
+        .select(
+            "rid", "row_key", "doc_id", "n_words", "length", "item_ids", (F.col("before") + F.col("start")).alias("at")
+        )
     )
-    before, part = F.col("s.before"), F.col("s.w")
-    # one entry without a window stands for the document, so that those without a hit stay
-    alone = F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("gram")))
-    entries = reduce(
-        F.concat,
-        [_windows(part, k, F.least(F.lit(SEGMENT), F.size(part) - k + 1)) for k in lengths],
-        F.when(before == 0, alone).otherwise(F.array().cast("array<struct<at:int,gram:string>>")),
-    )
-    windows = segments.select("rid", "row_key", "doc_id", "n_words", before.alias("before"), F.explode(entries).alias("e")).select(
-        "rid", "row_key", "doc_id", "n_words", (F.col("before") + F.col("e.at")).alias("at"), F.col("e.gram").alias("gram")
-    )
-    found = windows.join(grams, "gram", "left").filter("item_ids is not null or gram is null")
     per_row = found.groupBy("rid").agg(
         F.first("row_key").alias("row_key"),
         F.first("doc_id").alias("doc_id"),
