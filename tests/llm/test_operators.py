@@ -225,6 +225,20 @@ def test_templates_with_variable_words_all_over_the_line_go(spark):
     assert [i for i in texts if "\n" in left[i]] == [0, 6]
 
 
+def test_unrelated_lines_before_do_not_split_a_template(spark):
+    """Ten documents with one line of 30 tokens, six of them variable, behind three lines that share 9, 9 and 8 of the
+    constant ones in their places."""
+    words = said("p").split()[:30]
+    own = lambda i, k: f"{'abcdefghijklm'[i]}{'nopqrstuvwxyzabcdefghijklmnopqr'[k]}only"
+    earlier = [set(range(4, 13)), set(range(13, 22)), set(range(22, 30))]
+    lines = [" ".join(w if k < 4 or k in earlier[i] else own(i, k) for k, w in enumerate(words)) for i in range(3)]
+    for i in range(3, 13):
+        places = {4 + (7 * i + 4 * k) % 26 for k in range(6)}
+        lines.append(" ".join(own(i, k) if k in places else w for k, w in enumerate(words)))
+    left = line_dedup(spark, [(i, f"{said('own' + 'abcdefghijklm'[i])}\n{line}") for i, line in enumerate(lines)])
+    assert [i for i in range(13) if "\n" in left[i]] == [0, 1, 2, 3]
+
+
 def test_words_of_one_32_bit_hash_do_not_make_a_template(spark):
     frame = spark.createDataFrame([(i, f"they all begin alike {w}") for i, w in enumerate(["hgija", "hgija", "cfefif"])], DOCS)
     assert frame.select(F.hash(F.array(F.element_at(F.split("text", " "), -1)))).distinct().count() == 1

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import components
 from tidemark.llm.rows import row_key
 from tidemark.llm.shingles import mix, shingle_sets
-from tidemark.llm.storage import park, slices, tasks_import
+from tidemark.llm.storage import park, release, slices, tasks_import
 
 CELLS = 1 << 20  # of the table of counts: 4 MB from a task, 1 MB to a task, at any size of input
 BLOCKS = 64
@@ -281,21 +281,29 @@ def link_components(texts: DataFrame, width: int, share: int) -> DataFrame:
         if not len(crowded):
             break
         standing[crowded] = np.maximum(standing[crowded], 1)
+        release(spark, prefixes)
     else:
         prefixes = _prefixes_of(texts, width, share, standing)
+    release(spark)
     regions = park(_region_rows(prefixes, share), "regions")
+    release(spark)
 
     def links_among(pairs: DataFrame) -> DataFrame:
         likely = park(_plausible(pairs, prefixes, share), "likely")
         if likely.isEmpty():
             return likely
+        release(spark)
         sets = _sets_of(texts, _ends(likely), width)
-        return park(_measured(likely, sets, share).filter("linked").select("u", "v"), "links")
+        release(spark)
+        found = park(_measured(likely, sets, share).filter("linked").select("u", "v"), "links")
+        release(spark, likely, sets)
+        return found
 
     links = links_among(regions.filter("node <> pivot").select(*_pairs(F.col("node"), F.col("pivot"))).distinct())
     labels = park(components(links), "labels")
     rows = _labelled(regions.filter("node <> pivot").select("region", "node", "n"), labels)
     left = park(_undecided(rows), "undecided")
+    release(spark, regions)
     while True:
         small = left.filter(F.col("k") <= SMALL)
         a, b = small.alias("a"), small.alias("b")
@@ -313,7 +321,9 @@ def link_components(texts: DataFrame, width: int, share: int) -> DataFrame:
         pivots = park(heads.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= PIVOTS).select("region", "pivot"), "pivots")
         beside = large.join(pivots, "region").filter("node <> pivot")
         tried = park(beside.select(*_pairs(F.col("node"), F.col("pivot"))).distinct(), "tried")
-        distances = park(_measured(tried, _sets_of(texts, _ends(tried), width), share), "distances")
+        sets = _sets_of(texts, _ends(tried), width)
+        distances = park(_measured(tried, sets, share), "distances")
+        release(spark, sets)
         links = links.unionAll(distances.filter("linked").select("u", "v"))
         labels = park(components(links), "labels")
         reach = beside.select("region", "node", "n", "k", "pivot", *_pairs(F.col("node"), F.col("pivot"))).join(distances, ["u", "v"])

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.rows import row_key
-from tidemark.llm.storage import park
+from tidemark.llm.storage import park, release
 
 FIELDS = 6
 SAME = ("123456789\t\r\f\v", "000000000    ")
@@ -70,10 +70,15 @@ def templated(shared: DataFrame, constant: float) -> DataFrame:
 def followers(docs: DataFrame, shared: DataFrame, depth: int, min_tokens: int, constant: float) -> DataFrame:
     """row_key, doc_id, at, template, least of the lines that follow a line of their leaf, token by token.
 
-    Of each token in its place the first line of the leaf that has it is looked up. A line follows the line
-    that is the first for most of its tokens, if for at least the share ``constant`` of those below the leaf.
-    Lines that follow the same line have one template, however their variable tokens differ.
+    A token in its place that several lines of the leaf have is a common one. Lines of whose tokens below the leaf
+    at least the share ``constant`` is common take part, the others neither lead nor follow. Of each
+    common token the first line that has it is looked up. A line follows the line that is the first for
+    most of its tokens, if for at least the share ``constant`` of them. Lines that follow the same line
+    have one template, however their variable tokens differ.
+
+    Tokens are stored as one array of hashes per line; rows per token only pass through shuffles.
     """
+    spark, line = docs.sparkSession, F.xxhash64("row_key", "at").alias("line")
     # texts are read again, so that tokens are written only of lines that share a leaf
     leaf = F.map_from_entries(F.collect_set(F.struct("at", F.struct("leaf", "least")))).alias("__leaf")
     copies = (F.count("*") / F.count_distinct("at")).alias("copies")
@@ -81,15 +86,32 @@ def followers(docs: DataFrame, shared: DataFrame, depth: int, min_tokens: int, c
     keyed = docs.select(row_key().alias("row_key"), "doc_id", "text").join(wanted, "row_key")
     rest = F.when(F.size("t") > depth, F.slice("t", depth + 1, F.size("t"))).otherwise(F.array(F.lit("")))
     lines = _tokens(keyed, min_tokens, "__leaf", "copies").withColumn("of", F.col("__leaf")[F.col("at")]).filter("of is not null")
-    each = park(
-        lines.select("row_key", "doc_id", "at", "of.leaf", "of.least", (F.size(rest) * F.col("copies")).alias("n"), F.posexplode(F.transform(rest, lambda t: F.xxhash64(t))).alias("j", "token")),
-        "tokens",
+    marks = F.transform(rest, lambda t, j: F.xxhash64(F.col("of.leaf"), j, t))
+    listed = park(
+        # rows with equal doc_id and text are one line
+        lines.select("row_key", "doc_id", "at", "of.least", marks.alias("marks")).dropDuplicates(["row_key", "at"]),
+        "line-tokens",
+    )
+    release(spark, wanted)
+    each = listed.select(line, F.explode("marks").alias("mark"))
+    common = park(each.groupBy("mark").agg(F.count("*").alias("k")).filter("k > 1").select("mark"), "common-tokens")
+    release(spark)
+    held = each.join(common, "mark", "left_semi").groupBy("line").agg(F.count("*").alias("common"))
+    taking = listed.withColumn("line", line).join(held, "line").filter(F.col("common") >= constant * F.size("marks"))
+    taking = park(taking.select("line", "row_key", "doc_id", "at", "least", "marks"), "lines-taking-part")
+    release(spark, common, listed)
+    place = F.struct("doc_id", "row_key", "at")
+    again = taking.select("line", place.alias("place"), F.explode("marks").alias("mark"))
+    first = again.groupBy("mark").agg(F.min("place").alias("first"), F.count("*").alias("k")).filter("k > 1")
+    first = park(first.select("mark", F.xxhash64("first").alias("template")), "first-lines")
+    release(spark)
+    votes = taking.select("line", F.explode("marks").alias("mark")).join(first, "mark").groupBy("line", "template").agg(F.count("*").alias("votes"))
+    most = park(votes.groupBy("line").agg(F.max(F.struct("votes", "template")).alias("most")), "most-votes")
+    release(spark, first)
+    return (
+        taking.join(most, "line").filter(F.col("most.votes") >= constant * F.size("marks"))
+        .select("row_key", "doc_id", "at", "most.template", "least")
     )
-    first = park(each.groupBy("leaf", "j", "token").agg(F.min(F.struct("doc_id", "row_key", "at")).alias("first")), "first-lines")
-    line = ["row_key", "doc_id", "at", "leaf", "least", "n"]
-    votes = each.join(first, ["leaf", "j", "token"]).groupBy(*line, "first").agg(F.count("*").alias("votes"))
-    most = votes.groupBy(*line).agg(F.max(F.struct("votes", F.xxhash64("leaf", "first").alias("template"))).alias("most"))
-    return most.filter(F.col("most.votes") >= constant * F.col("n")).select("row_key", "doc_id", "at", "most.template", "least")
 
 
 def recurring_lines(
@@ -107,7 +129,7 @@ def recurring_lines(
     shared = shared_lines(docs, depth, min_tokens, least)
     found = templated(shared, constant)
     if by_token:
-        found = found.unionByName(followers(docs, shared, depth, min_tokens, constant))
+        found = park(found, "by-fields").unionByName(followers(docs, shared, depth, min_tokens, constant))
     lines = park(found, "templates")
     per_doc = lines.groupBy("template", "least", "row_key").agg(F.min("doc_id").alias("doc_id"))
     templates = per_doc.groupBy("template", "least").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "row_key")).alias("first"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.benchmark_filter import OUTSIDE, PIECES, words
 from tidemark.llm.rows import row_key
-from tidemark.llm.storage import park
+from tidemark.llm.storage import park, release
 
 SEGMENT = 4096  # windows that are made at a time
 PLACE = (1 << 16) - 1  # bits of an anchor that hold its place in the segment
@@ -56,7 +56,9 @@ def recurring_passages(docs: DataFrame, n: int = 50) -> DataFrame:
     doc_id (null first) keeps a window. Rows with equal doc_id and text are one document.
     """
     keyed = docs.select(row_key().alias("row_key"), "doc_id", "text")
+    spark = docs.sparkSession
     prints = park(_prints(keyed, n), "prints")
+    release(spark)
     several = F.min("row_key") != F.max("row_key")
     # parked, so that the joins below deal out both sides and may split a passage of very many documents
     again = park(prints.groupBy("print").agg(several.alias("several")).filter("several").select("print"), "recurring-prints")
@@ -68,9 +70,12 @@ def recurring_passages(docs: DataFrame, n: int = 50) -> DataFrame:
     at = parts.select("row_key", "doc_id", "before", "h", F.explode(F.array_distinct(starts)).alias("i"))
     window = F.xxhash64(F.slice("h", F.col("i"), n)).alias("window")
     windows = park(at.select("row_key", "doc_id", (F.col("before") + F.col("i")).alias("at"), window), "windows")
+    release(spark, prints, again, places)
     first = F.min(F.struct("doc_id", "row_key"))["row_key"].alias("first")
     firsts = park(windows.groupBy("window").agg(first, several.alias("several")).filter("several").drop("several"), "recurring-windows")
     cut = windows.join(firsts, "window").filter("row_key <> first").groupBy("row_key").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    cut = park(cut, "passage-starts")
+    release(spark, windows, firsts)
     return cut.select("row_key", _spans(F.col("starts"), n).alias("spans"))
 
 

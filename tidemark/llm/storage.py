@@ -7,6 +7,7 @@ file, so a lost executor or a second attempt leaves no wrong file in use.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -16,9 +17,30 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.sources.scratch import park, scratch_path
+from tidemark.sources.scratch import scratch_path
 
-__all__ = ["park", "scratch_path", "output_file", "input_file", "crc_words", "tasks_import", "slices"]
+__all__ = ["park", "release", "scratch_path", "output_file", "input_file", "crc_words", "tasks_import", "slices"]
+
+
+def park(frame: DataFrame, label: str) -> DataFrame:
+    """``frame`` written once as a table of the shared folder, and a scan of it that :func:`release` can void."""
+    spark = frame.sparkSession
+    path = scratch_path(spark, label)
+    frame.write.parquet(path)
+    parked = spark.read.schema(frame.schema).parquet(path)
+    parked._folder = path
+    return parked
+
+
+def release(spark: SparkSession, *parked: DataFrame) -> None:
+    """Delete parked tables whose successors are written, and let Spark drop the shuffle files of jobs that
+    nothing refers to any more; it does so when the driver collects its garbage. Frames that read
+    these tables are void then."""
+    for frame in parked:
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame._folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def tasks_import(spark: SparkSession) -> None:
