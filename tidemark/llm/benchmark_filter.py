@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.rows import row_key, without
+from tidemark.llm.rows import replaced, row_key, spare, without
 from tidemark.llm.storage import park
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -139,10 +139,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, remove: st
         return without(docs, hits.filter(contaminated()))
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
-    cuts = hits.filter("n_hit > 0").groupBy("row_key").agg(F.first("hits").alias("__hits"))
-    joined = docs.withColumn("__key", row_key()).join(cuts.withColumnRenamed("row_key", "__key"), "__key", "left")
+    key, gone = spare("key", docs), spare("gone", docs)
+    cuts = hits.filter("n_hit > 0").groupBy("row_key").agg(F.first("hits").alias(gone)).withColumnRenamed("row_key", key)
+    joined = docs.withColumn(key, row_key()).join(cuts, key, "left")
     first = F.regexp_extract("text", "^" + OUTSIDE + "*", 0)
-    hit = F.flatten(F.transform("__hits", lambda h: F.sequence(h["at"], h["at"] + h["length"] - 1)))
+    hit = F.flatten(F.transform(gone, lambda h: F.sequence(h["at"], h["at"] + h["length"] - 1)))
     kept = F.filter(F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)), lambda _, i: ~F.array_contains(hit, i + 1))
-    text = F.when(F.col("__hits").isNull(), F.col("text")).otherwise(F.concat(first, F.array_join(kept, "")))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.concat(first, F.array_join(kept, "")))
+    return joined.select(*replaced(docs, text=text))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.rows import row_key
+from tidemark.llm.rows import replaced, row_key, spare
 from tidemark.llm.shingles import mix, shingle_sets
 from tidemark.llm.storage import park, release, slices, tasks_import
 
@@ -374,8 +374,8 @@ def one_of_each(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     were. Texts without words all stay. Rows with equal doc_id and text are one document."""
     found = join_documents(docs, width, share)
     first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
-    kept = first.select(F.col("first.row_key").alias("__key")).unionAll(
-        found.filter("component is null").select(F.col("row_key").alias("__key"))
+    key = spare("key", docs)
+    kept = first.select(F.col("first.row_key").alias(key)).unionAll(
+        found.filter("component is null").select(F.col("row_key").alias(key))
     ).distinct()
-    rows = docs.withColumn("__key", row_key()).join(kept, "__key", "left_semi").dropDuplicates(["__key"])
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumn(key, row_key()).join(kept, key, "left_semi").dropDuplicates([key]).select(*replaced(docs))

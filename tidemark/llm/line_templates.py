@@ -1,16 +1,19 @@
 r"""Line dedup by a tree of log templates. DataFrame functions only.
 
 A line goes down a tree of fixed depth: by its number of tokens, then by its leading tokens,
-those with a digit being variable. Below the leaf its other tokens form a few fields in order.
-A field that ``min_docs`` lines of the leaf share is part of a template, any other is variable;
-digits are equal to one another. Lines with the same leaf and the same shared fields have one
-template. A template that recurs in ``min_docs`` documents is dropped, but for the first of them.
+those with a digit being variable. Below the leaf tokens are compared place by place; digits are equal
+to one another. A token in its place that ``least`` lines of the leaf have is constant, any other is variable; a
+line of whose tokens enough are constant has two kinds of templates:
 
-Six fields lose templates whose variable tokens are spread over the line. ``by_token`` therefore also
-compares the single tokens below the leaf, and applies the share of constant ones to tokens.
+* that of its constant tokens: lines with the same ones have one template, so equal lines always do;
+* each line that it follows: the first line is looked up of every token, and a line follows those that are the
+  first for enough of its tokens. So lines have one template although different tokens of theirs vary.
+
+A template that recurs in ``least`` documents is dropped, but for the first of them.
 
 Only hashes of lines are shuffled to find templates. Counts are partial sums, and the joins on a
-leaf, field or template that very many lines have may be split.
+leaf, token or template that very many lines have may be split. Tokens are stored as one array of hashes per
+line; rows per token only pass through shuffles.
 """
 
 from __future__ import annotations
@@ -18,10 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.rows import row_key
+from tidemark.llm.rows import replaced, row_key, spare
 from tidemark.llm.storage import park, release
 
-FIELDS = 6
 SAME = ("123456789\t\r\f\v", "000000000    ")
 
 
@@ -35,102 +37,64 @@ def _tokens(docs: DataFrame, min_tokens: int, *more: str) -> DataFrame:
     return split.select("row_key", "doc_id", "at", *more, tokens("line").alias("t")).filter(F.size("t") >= min_tokens)
 
 
-def shared_lines(docs: DataFrame, depth: int, min_tokens: int, least: Column) -> DataFrame:
-    """row_key, doc_id, at, leaf, least, fields of the lines whose leaf has at least ``least`` lines."""
+def marked_lines(docs: DataFrame, depth: int, min_tokens: int, least: Column) -> DataFrame:
+    """row_key, doc_id, at, leaf, least, marks (hashes of the tokens below the leaf in their places) of the lines
+    whose leaf has at least ``least`` lines. Rows with equal doc_id and text are one line each."""
+    spark = docs.sparkSession
     keyed = docs.select(row_key().alias("row_key"), "doc_id", "text")
     lead = F.transform(F.slice("t", 1, depth), lambda t: F.when(F.contains(t, F.lit("0")), "<*>").otherwise(t))
-    rest = F.greatest(F.size("t") - depth, F.lit(0))
-    width = F.greatest(F.lit(1), F.ceil(rest / FIELDS).cast("int"))
-    fields = F.array(*[F.when(j * width < rest, F.xxhash64(F.slice("t", depth + 1 + j * width, width))) for j in range(FIELDS)])
-    parsed = _tokens(keyed, min_tokens).select(
-        "row_key", "doc_id", "at", F.xxhash64(F.size("t"), lead).alias("leaf"), least.alias("least"), fields.alias("fields")
-    )
-    lines = park(parsed, "lines")
+    lines = park(_tokens(keyed, min_tokens).select("row_key", "at", F.xxhash64(F.size("t"), lead).alias("leaf"), least.alias("least")), "lines")
     # parked, so that the join below deals out both sides and may split a leaf of very many lines
     leaves = park(lines.groupBy("leaf", "least").agg(F.count("*").alias("k")).filter("k >= least").select("leaf"), "leaves")
-    return park(lines.join(leaves, "leaf"), "shared-lines")
-
-
-def templated(shared: DataFrame, constant: float) -> DataFrame:
-    """row_key, doc_id, at, template, least of the lines that may recur: those of whose fields at least the share
-    ``constant`` belongs to the template."""
-    each = shared.select("row_key", "doc_id", "at", "leaf", "least", F.posexplode("fields").alias("j", "field")).filter("field is not null or j = 0")
-    counted = each.filter("field is not null").groupBy("leaf", "least", "j", "field").agg(F.count("*").alias("k"))
-    common = park(counted.filter("k >= least").drop("k", "least"), "fields")
-    marked = each.join(common.withColumn("common", F.lit(True)), ["leaf", "j", "field"], "left")
-    # sets, as rows with equal doc_id and text are one document
-    parts = F.array_sort(F.collect_set(F.when(F.col("common"), F.struct("j", "field"))))
-    present = F.size(F.collect_set(F.when(F.col("field").isNotNull(), F.col("j"))))
-    grouped = marked.groupBy("row_key", "doc_id", "at", "leaf", "least").agg(parts.alias("parts"), present.alias("present"))
-    return grouped.filter(F.size("parts") >= constant * F.col("present")).select(
-        "row_key", "doc_id", "at", F.xxhash64("leaf", "parts").alias("template"), "least"
-    )
-
-
-def followers(docs: DataFrame, shared: DataFrame, depth: int, min_tokens: int, constant: float) -> DataFrame:
-    """row_key, doc_id, at, template, least of the lines that follow a line of their leaf, token by token.
-
-    A token in its place that several lines of the leaf have is a common one. Lines of whose tokens below the leaf
-    at least the share ``constant`` is common take part, the others neither lead nor follow. Of each
-    common token the first line that has it is looked up. A line follows the line that is the first for
-    most of its tokens, if for at least the share ``constant`` of them. Lines that follow the same line
-    have one template, however their variable tokens differ.
-
-    Tokens are stored as one array of hashes per line; rows per token only pass through shuffles.
-    """
-    spark, line = docs.sparkSession, F.xxhash64("row_key", "at").alias("line")
+    of = F.map_from_entries(F.collect_set(F.struct("at", F.struct("leaf", "least")))).alias("of")
+    wanted = park(lines.join(leaves, "leaf").groupBy("row_key").agg(of), "wanted-lines")
+    release(spark, lines, leaves)
     # texts are read again, so that tokens are written only of lines that share a leaf
-    leaf = F.map_from_entries(F.collect_set(F.struct("at", F.struct("leaf", "least")))).alias("__leaf")
-    copies = (F.count("*") / F.count_distinct("at")).alias("copies")
-    wanted = park(shared.groupBy("row_key").agg(leaf, copies), "wanted-lines")
-    keyed = docs.select(row_key().alias("row_key"), "doc_id", "text").join(wanted, "row_key")
+    again = _tokens(keyed.join(wanted, "row_key"), min_tokens, "of").withColumn("of", F.col("of")[F.col("at")]).filter("of is not null")
     rest = F.when(F.size("t") > depth, F.slice("t", depth + 1, F.size("t"))).otherwise(F.array(F.lit("")))
-    lines = _tokens(keyed, min_tokens, "__leaf", "copies").withColumn("of", F.col("__leaf")[F.col("at")]).filter("of is not null")
-    marks = F.transform(rest, lambda t, j: F.xxhash64(F.col("of.leaf"), j, t))
-    listed = park(
-        # rows with equal doc_id and text are one line
-        lines.select("row_key", "doc_id", "at", "of.least", marks.alias("marks")).dropDuplicates(["row_key", "at"]),
-        "line-tokens",
-    )
+    marks = F.transform(rest, lambda t, j: F.xxhash64(F.col("of.leaf"), j, t)).alias("marks")
+    found = park(again.select("row_key", "doc_id", "at", "of.leaf", "of.least", marks).dropDuplicates(["row_key", "at"]), "line-tokens")
     release(spark, wanted)
-    each = listed.select(line, F.explode("marks").alias("mark"))
-    common = park(each.groupBy("mark").agg(F.count("*").alias("k")).filter("k > 1").select("mark"), "common-tokens")
+    return found
+
+
+def templates_of(marked: DataFrame, constant: float) -> DataFrame:
+    """row_key, doc_id, at, template, least: the templates of the lines of whose marks at least the share ``constant``
+    is constant. ``marked`` is void then."""
+    spark, each = marked.sparkSession, F.explode("marks").alias("mark")
+    lines = marked.withColumn("line", F.xxhash64("row_key", "at"))
+    tokens_in = lines.select("line", "least", each)
+    common = park(tokens_in.groupBy("mark", "least").agg(F.count("*").alias("k")).filter("k >= least").select("mark"), "constant-tokens")
     release(spark)
-    held = each.join(common, "mark", "left_semi").groupBy("line").agg(F.count("*").alias("common"))
-    taking = listed.withColumn("line", line).join(held, "line").filter(F.col("common") >= constant * F.size("marks"))
-    taking = park(taking.select("line", "row_key", "doc_id", "at", "least", "marks"), "lines-taking-part")
-    release(spark, common, listed)
-    place = F.struct("doc_id", "row_key", "at")
-    again = taking.select("line", place.alias("place"), F.explode("marks").alias("mark"))
-    first = again.groupBy("mark").agg(F.min("place").alias("first"), F.count("*").alias("k")).filter("k > 1")
+    # marks of a line differ in their places, so the sum without carry tells sets of them apart
+    held = tokens_in.join(common, "mark", "left_semi").groupBy("line").agg(F.count("*").alias("k"), F.bit_xor("mark").alias("set"))
+    taking = lines.join(held, "line").filter(F.col("k") >= constant * F.size("marks"))
+    taking = park(taking.select("line", "row_key", "doc_id", "at", "least", "marks", F.xxhash64("leaf", "set").alias("template")), "lines-taking-part")
+    release(spark, common, marked)
+    place = F.struct("doc_id", "row_key", "at").alias("place")
+    first = taking.select("least", place, each).groupBy("mark", "least").agg(F.min("place").alias("first"), F.count("*").alias("k")).filter("k >= least")
     first = park(first.select("mark", F.xxhash64("first").alias("template")), "first-lines")
     release(spark)
-    votes = taking.select("line", F.explode("marks").alias("mark")).join(first, "mark").groupBy("line", "template").agg(F.count("*").alias("votes"))
-    most = park(votes.groupBy("line").agg(F.max(F.struct("votes", "template")).alias("most")), "most-votes")
-    release(spark, first)
-    return (
-        taking.join(most, "line").filter(F.col("most.votes") >= constant * F.size("marks"))
-        .select("row_key", "doc_id", "at", "most.template", "least")
-    )
+    votes = taking.select("line", each).join(first, "mark").groupBy("line", "template").agg(F.count("*").alias("votes"))
+    of_first = taking.drop("template").join(votes, "line").filter(F.col("votes") >= constant * F.size("marks"))
+    columns = ["row_key", "doc_id", "at", "template", "least"]
+    found = park(taking.select(*columns).unionAll(of_first.select(*columns)), "templates")
+    release(spark, taking, first)
+    return found
 
 
 def recurring_lines(
-    docs: DataFrame, depth: int = 4, min_tokens: int = 5, min_docs: int = 3, constant: float = 0.5, long_tokens: int | None = None, long_docs: int = 2, by_token: bool = False
+    docs: DataFrame, depth: int = 4, min_tokens: int = 5, min_docs: int = 3, constant: float = 0.5, long_tokens: int | None = None, long_docs: int = 2
 ) -> DataFrame:
     """row_key and the positions (``dropped``) of the lines of each document that go.
 
     Lines end at a line feed. Lines of fewer than ``min_tokens`` tokens stay. A template has to occur in
-    ``min_docs`` documents, one of ``long_tokens`` tokens and more, if given, only in ``long_docs``. With
-    ``by_token`` templates are looked for token by token as well. The document with the
+    ``min_docs`` documents, one of ``long_tokens`` tokens and more, if given, only in ``long_docs``. The document with the
     smallest doc_id (null first) keeps its lines of a template. Rows with equal doc_id and text
     are one document. Null texts have no lines.
     """
     least = F.lit(min_docs) if long_tokens is None else F.when(F.size("t") >= long_tokens, long_docs).otherwise(min_docs)
-    shared = shared_lines(docs, depth, min_tokens, least)
-    found = templated(shared, constant)
-    if by_token:
-        found = park(found, "by-fields").unionByName(followers(docs, shared, depth, min_tokens, constant))
-    lines = park(found, "templates")
+    lines = templates_of(marked_lines(docs, depth, min_tokens, least), constant)
     per_doc = lines.groupBy("template", "least", "row_key").agg(F.min("doc_id").alias("doc_id"))
     templates = per_doc.groupBy("template", "least").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "row_key")).alias("first"))
     recurring = park(templates.filter("docs >= least").select("template", "first"), "recurring")
@@ -145,13 +109,14 @@ def without_lines(text: str, dropped: str) -> Column:
     return F.when(F.col(dropped).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
 
 
-def drop_lines(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with recurring lines cut out of their texts, and the number of them as ``n_dropped``.
+def drop_lines(docs: DataFrame, count_as: str = "n_dropped", **parameters) -> DataFrame:
+    """``docs`` with recurring lines cut out of their texts, and the number of them as ``count_as``.
 
-    No row is dropped: a text all of whose lines go is empty. Other columns stay as they were.
+    No row is dropped: a text all of whose lines go is empty. Other columns stay as they were, whatever their
+    names; only one that is called ``count_as`` gives way to the number.
     """
-    dropped = recurring_lines(docs, **parameters).withColumnRenamed("dropped", "__dropped")
-    joined = docs.withColumn("__key", row_key()).join(dropped.withColumnRenamed("row_key", "__key"), "__key", "left")
-    text = without_lines("text", "__dropped")
-    n = F.coalesce(F.size("__dropped"), F.lit(0))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.when(n < 0, 0).otherwise(n).alias("n_dropped"))
+    key, gone = spare("key", docs), spare("gone", docs)
+    found = recurring_lines(docs, **parameters).select(F.col("row_key").alias(key), F.col("dropped").alias(gone))
+    joined = docs.withColumn(key, row_key()).join(found, key, "left")
+    n = F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0))
+    return joined.select(*replaced(docs, count_as, text=without_lines("text", gone)), n.alias(count_as))

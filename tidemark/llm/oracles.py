@@ -120,32 +120,37 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
 """
 
+# A place's number stands for (doc_id, position), the order in which lines are first.
 OP3 = """
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+  SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents
 ), l AS (
-  SELECT rid, doc_id, pos, list_filter(string_split(translate(ls[pos], '123456789' || chr(9) || chr(13) || chr(12) || chr(11), '000000000    '), ' '), lambda x: x <> '') AS t
+  SELECT rid, pos, list_filter(string_split(translate(ls[pos], '123456789' || chr(9) || chr(13) || chr(12) || chr(11), '000000000    '), ' '), lambda x: x <> '') AS t
   FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS pos FROM d)
 ), leaved AS (
-  SELECT rid, doc_id, pos, t, list_transform(t[1:4], lambda x: CASE WHEN contains(x, '0') THEN '<*>' ELSE x END) AS head, len(t) AS n,
-    greatest(1, CAST(ceil((len(t) - 4) / 6) AS BIGINT)) AS w
+  SELECT row_number() OVER (ORDER BY rid, pos) AS line, rid, pos, t, len(t) AS n, CASE WHEN len(t) >= 20 THEN 2 ELSE 3 END AS least,
+    list_transform(t[1:4], lambda x: CASE WHEN contains(x, '0') THEN '<*>' ELSE x END) AS head
   FROM l WHERE len(t) >= 5
-), shared AS (
-  SELECT * FROM leaved QUALIFY count(*) OVER (PARTITION BY n, head) >= 3
 ), each AS (
-  SELECT rid, doc_id, pos, n, head, j, t[5 + j * w : 4 + (j + 1) * w] AS field
-  FROM (SELECT *, unnest(range(0, 6)) AS j FROM shared) WHERE j * w < n - 4
-), marked AS (
-  SELECT *, count(*) OVER (PARTITION BY n, head, j, field) >= 3 AS common FROM each
-), grouped AS (
-  SELECT rid, doc_id, pos, n, head, coalesce(list({'j': j, 'field': field} ORDER BY j) FILTER (WHERE common), []) AS parts, count(*) AS present
-  FROM marked GROUP BY ALL
+  SELECT line, n, head, least, j, t[j] AS token FROM (SELECT *, unnest(range(5, n + 1)) AS j FROM leaved)
+), constant AS (
+  SELECT * FROM each QUALIFY count(*) OVER (PARTITION BY n, head, j, token) >= least
+), taking AS (
+  SELECT line, n, head, list({'j': j, 'token': token} ORDER BY j) AS parts FROM constant GROUP BY line, n, head HAVING count(*) >= 0.5 * (n - 4)
+), firsts AS (
+  SELECT n, head, j, token, min(line) AS leader FROM each SEMI JOIN taking USING (line) GROUP BY ALL HAVING count(*) >= first(least)
+), following AS (
+  SELECT line, leader FROM each SEMI JOIN taking USING (line) JOIN firsts USING (n, head, j, token) GROUP BY line, leader, n HAVING count(*) >= 0.5 * (n - 4)
 ), lines AS (
-  SELECT * FROM grouped WHERE len(parts) >= 0.5 * present
+  SELECT line, NULL AS leader, n, head, parts FROM taking UNION ALL SELECT line, leader, NULL, NULL, NULL FROM following
+), placed AS (
+  SELECT lines.*, rid, pos, least FROM lines JOIN (SELECT line, rid, pos, least FROM leaved) USING (line)
+), marked AS (
+  SELECT rid, pos, least, dense_rank() OVER (ORDER BY leader, n, head, parts) AS template FROM placed
 ), templates AS (
-  SELECT n, head, parts, min(doc_id) AS kept FROM lines GROUP BY ALL HAVING count(DISTINCT rid) >= 3
+  SELECT template, min(rid) AS kept FROM marked GROUP BY template HAVING count(DISTINCT rid) >= first(least)
 ), dropped AS (
-  SELECT rid, list(pos) AS gone FROM lines JOIN templates USING (n, head, parts) WHERE doc_id <> kept GROUP BY rid
+  SELECT rid, list(DISTINCT pos) AS gone FROM marked JOIN templates USING (template) WHERE rid <> kept GROUP BY rid
 ), rest AS (
   SELECT doc_id, coalesce(len(gone), 0) AS n_dropped,
     CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ls[i]), chr(10)) END AS text

@@ -11,8 +11,22 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("text").isNull())
 
 
+def spare(name: str, *frames: DataFrame) -> str:
+    """``name``, behind as many underscores as it takes to be the name of no column of the frames."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def replaced(docs: DataFrame, dropped: str | None = None, **columns: Column) -> list[Column]:
+    """All columns of ``docs`` but ``dropped``, those named with their new values."""
+    kept = [c for c in docs.columns if dropped is None or c.lower() != dropped.lower()]
+    return [columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in kept]
+
+
 def without(docs: DataFrame, keys: DataFrame, key: str = "row_key") -> DataFrame:
-    """The rows of ``docs`` whose key is not in ``keys``; columns as they were."""
-    return docs.withColumn("__key", row_key()).join(
-        keys.select(F.col(key).alias("__key")).distinct(), "__key", "left_anti"
-    ).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` whose key is not in ``keys``; columns as they were, whatever their names."""
+    own = spare("key", docs)
+    gone = keys.select(F.col(key).alias(own)).distinct()
+    return docs.withColumn(own, row_key()).join(gone, own, "left_anti").select(*replaced(docs))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.benchmark_filter import OUTSIDE, PIECES, words
-from tidemark.llm.rows import row_key
+from tidemark.llm.rows import replaced, row_key, spare
 from tidemark.llm.storage import park, release
 
 SEGMENT = 4096  # windows that are made at a time
@@ -79,18 +79,18 @@ def recurring_passages(docs: DataFrame, n: int = 50) -> DataFrame:
     return cut.select("row_key", _spans(F.col("starts"), n).alias("spans"))
 
 
-def drop_passages(docs: DataFrame, n: int = 50) -> DataFrame:
-    """``docs`` with recurring passages cut out of their texts, and the number of passages as ``n_passages``.
+def drop_passages(docs: DataFrame, n: int = 50, count_as: str = "n_passages") -> DataFrame:
+    """``docs`` with recurring passages cut out of their texts, and the number of passages as ``count_as``.
 
-    No row is dropped: a text without any other word keeps what stands before its first. Other columns stay as they were.
+    No row is dropped: a text without any other word keeps what stands before its first. Other columns stay as they
+    were, whatever their names; only one that is called ``count_as`` gives way to the number.
     """
-    spans = recurring_passages(docs, n).select(F.col("row_key").alias("__key"), F.col("spans").alias("__spans"))
-    joined = docs.withColumn("__key", row_key()).join(spans, "__key", "left")
+    key, gone = spare("key", docs), spare("gone", docs)
+    spans = recurring_passages(docs, n).select(F.col("row_key").alias(key), F.col("spans").alias(gone))
+    joined = docs.withColumn(key, row_key()).join(spans, key, "left")
     pieces = F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))
-    kept = F.filter(pieces, lambda _, i: ~F.exists("__spans", lambda s: (s["first"] <= i + 1) & (i + 1 <= s["last"])))
+    kept = F.filter(pieces, lambda _, i: ~F.exists(gone, lambda s: (s["first"] <= i + 1) & (i + 1 <= s["last"])))
     cut = F.concat(F.regexp_extract("text", "^" + OUTSIDE + "*", 0), F.array_join(kept, ""))
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut).alias("text")
-    n_passages = F.coalesce(F.size("__spans"), F.lit(0))
-    return joined.select(
-        *[text if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.when(n_passages < 0, 0).otherwise(n_passages).alias("n_passages")
-    )
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(cut)
+    n_passages = F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0))
+    return joined.select(*replaced(docs, count_as, text=text), n_passages.alias(count_as))
