@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import benchmark_filter, grouped_packing, jaccard_join, line_templates, shared_passages, toxic_segments
 from tidemark.llm.benchmark_filter import words
 from tidemark.llm.queries import table, tokenizer_path
+from tidemark.llm.rows import spare
 from tidemark.llm.storage import park
 
 
@@ -24,10 +25,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that recur in three documents or more, lines of 20 tokens and more in two, but
     for the first, also where their words differ in up to half of the places; a document of which nothing is left goes. ``n_chars`` follows the text."""
-    left = park(line_templates.drop_lines(docs, long_tokens=20, by_token=True), "lines-dropped")
-    left = shared_passages.drop_passages(left, n=50)
-    cut = (F.col("n_dropped") > 0) | (F.col("n_passages") > 0)
-    empty = (F.trim("text") == "") | (F.col("n_passages") > 0) & (F.size(words()) == 0)
+    lines, passages = spare("n_lines_cut", docs), spare("n_passages_cut", docs)
+    left = park(line_templates.drop_lines(docs, count_as=lines, long_tokens=20), "lines-dropped")
+    left = shared_passages.drop_passages(left, n=50, count_as=passages)
+    cut = (F.col(lines) > 0) | (F.col(passages) > 0)
+    empty = (F.trim("text") == "") | (F.col(passages) > 0) & (F.size(words()) == 0)
     left = left.filter(~cut | ~empty)
     kind = docs.schema["n_chars"].dataType
     n_chars = F.when(cut, F.length("text").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
