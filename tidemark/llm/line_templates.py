@@ -12,8 +12,8 @@ line of whose tokens enough are constant has two kinds of templates:
 A template that recurs in ``least`` documents is dropped, but for the first of them.
 
 Only hashes of lines are shuffled to find templates. Counts are partial sums, and the joins on a
-leaf, token or template that very many lines have may be split. Tokens are stored as one array of hashes per
-line; rows per token only pass through shuffles.
+leaf, kind, token or template that very many lines have may be split. Equal lines count as one with a
+weight, so copies cost no tokens; tokens are stored as one array of hashes, rows per token only pass through shuffles.
 """
 
 from __future__ import annotations
@@ -37,48 +37,56 @@ def _tokens(docs: DataFrame, min_tokens: int, *more: str) -> DataFrame:
     return split.select("row_key", "doc_id", "at", *more, tokens("line").alias("t")).filter(F.size("t") >= min_tokens)
 
 
-def marked_lines(docs: DataFrame, depth: int, min_tokens: int, least: Column) -> DataFrame:
-    """row_key, doc_id, at, leaf, least, marks (hashes of the tokens below the leaf in their places) of the lines
-    whose leaf has at least ``least`` lines. Rows with equal doc_id and text are one line each."""
+def line_kinds(docs: DataFrame, depth: int, min_tokens: int, least: Column) -> tuple[DataFrame, DataFrame]:
+    """The lines whose leaf has at least ``least`` lines: row_key, doc_id, at, least, kind; and their kinds (equal lines
+    are one): kind, no (in the order of their first lines), n (lines), leaf, least, marks (hashes of the tokens
+    below the leaf in their places). Rows with equal doc_id and text are one line each."""
     spark = docs.sparkSession
     keyed = docs.select(row_key().alias("row_key"), "doc_id", "text")
     lead = F.transform(F.slice("t", 1, depth), lambda t: F.when(F.contains(t, F.lit("0")), "<*>").otherwise(t))
-    lines = park(_tokens(keyed, min_tokens).select("row_key", "at", F.xxhash64(F.size("t"), lead).alias("leaf"), least.alias("least")), "lines")
+    rest = F.when(F.size("t") > depth, F.slice("t", depth + 1, F.size("t"))).otherwise(F.array(F.lit("")))
+    leaf = F.xxhash64(F.size("t"), lead)
+    parsed = _tokens(keyed, min_tokens).select("row_key", "doc_id", "at", leaf.alias("leaf"), least.alias("least"), F.xxhash64(leaf, rest).alias("kind"))
+    lines = park(parsed, "lines")
     # parked, so that the join below deals out both sides and may split a leaf of very many lines
     leaves = park(lines.groupBy("leaf", "least").agg(F.count("*").alias("k")).filter("k >= least").select("leaf"), "leaves")
-    of = F.map_from_entries(F.collect_set(F.struct("at", F.struct("leaf", "least")))).alias("of")
-    wanted = park(lines.join(leaves, "leaf").groupBy("row_key").agg(of), "wanted-lines")
+    shared = park(lines.join(leaves, "leaf").distinct(), "shared-lines")
     release(spark, lines, leaves)
-    # texts are read again, so that tokens are written only of lines that share a leaf
-    again = _tokens(keyed.join(wanted, "row_key"), min_tokens, "of").withColumn("of", F.col("of")[F.col("at")]).filter("of is not null")
-    rest = F.when(F.size("t") > depth, F.slice("t", depth + 1, F.size("t"))).otherwise(F.array(F.lit("")))
-    marks = F.transform(rest, lambda t, j: F.xxhash64(F.col("of.leaf"), j, t)).alias("marks")
-    found = park(again.select("row_key", "doc_id", "at", "of.leaf", "of.least", marks).dropDuplicates(["row_key", "at"]), "line-tokens")
-    release(spark, wanted)
-    return found
-
-
-def templates_of(marked: DataFrame, constant: float) -> DataFrame:
-    """row_key, doc_id, at, template, least: the templates of the lines of whose marks at least the share ``constant``
-    is constant. ``marked`` is void then."""
-    spark, each = marked.sparkSession, F.explode("marks").alias("mark")
-    lines = marked.withColumn("line", F.xxhash64("row_key", "at"))
-    tokens_in = lines.select("line", "least", each)
-    common = park(tokens_in.groupBy("mark", "least").agg(F.count("*").alias("k")).filter("k >= least").select("mark"), "constant-tokens")
+    first = F.min(F.struct("doc_id", "row_key", "at")).alias("first")
+    kinds = shared.groupBy("kind", "leaf", "least").agg(F.count("*").alias("n"), first)
+    # ranges of places in order, so that the numbers follow it
+    ordered = kinds.repartitionByRange("first").sortWithinPartitions("first")
+    kinds = park(ordered.withColumn("no", F.monotonically_increasing_id()), "line-kinds")
+    # the texts that have a kind's first line are read again, so that tokens are written once a kind
+    own = F.struct("kind", "no", "n", "leaf", "least")
+    wanted = park(kinds.groupBy("first.row_key").agg(F.map_from_entries(F.collect_list(F.struct("first.at", own))).alias("of")), "wanted-lines")
+    texts = keyed.join(wanted, "row_key").dropDuplicates(["row_key"])
+    again = _tokens(texts, min_tokens, "of").withColumn("of", F.col("of")[F.col("at")]).filter("of is not null")
+    marked = park(again.select("of.*", F.transform(rest, lambda t, j: F.xxhash64(F.col("of.leaf"), j, t)).alias("marks")), "kind-tokens")
+    release(spark, kinds, wanted)
+    return shared, marked
+
+
+def templates_of(kinds: DataFrame, constant: float) -> DataFrame:
+    """kind, template: the templates of the kinds of lines of whose marks at least the share ``constant`` is constant.
+    ``kinds`` is void then."""
+    spark, each = kinds.sparkSession, F.explode("marks").alias("mark")
+    enough = F.sum("n") >= F.first("least")
+    tokens_in = kinds.select("no", "n", "least", each)
+    common = park(tokens_in.groupBy("mark").agg(enough.alias("enough")).filter("enough").select("mark"), "constant-tokens")
     release(spark)
     # marks of a line differ in their places, so the sum without carry tells sets of them apart
-    held = tokens_in.join(common, "mark", "left_semi").groupBy("line").agg(F.count("*").alias("k"), F.bit_xor("mark").alias("set"))
-    taking = lines.join(held, "line").filter(F.col("k") >= constant * F.size("marks"))
-    taking = park(taking.select("line", "row_key", "doc_id", "at", "least", "marks", F.xxhash64("leaf", "set").alias("template")), "lines-taking-part")
-    release(spark, common, marked)
-    place = F.struct("doc_id", "row_key", "at").alias("place")
-    first = taking.select("least", place, each).groupBy("mark", "least").agg(F.min("place").alias("first"), F.count("*").alias("k")).filter("k >= least")
-    first = park(first.select("mark", F.xxhash64("first").alias("template")), "first-lines")
+    held = tokens_in.select("no", "mark").join(common, "mark", "left_semi").groupBy("no").agg(F.count("*").alias("k"), F.bit_xor("mark").alias("set"))
+    taking = kinds.join(held, "no").filter(F.col("k") >= constant * F.size("marks"))
+    taking = park(taking.select("kind", "no", "n", "least", "marks", F.xxhash64("leaf", "set").alias("template")), "kinds-taking-part")
+    release(spark, common, kinds)
+    first = taking.select("no", "n", "least", each).groupBy("mark").agg(F.min("no").alias("leader"), enough.alias("enough")).filter("enough")
+    first = park(first.select("mark", "leader"), "first-lines")
     release(spark)
-    votes = taking.select("line", each).join(first, "mark").groupBy("line", "template").agg(F.count("*").alias("votes"))
-    of_first = taking.drop("template").join(votes, "line").filter(F.col("votes") >= constant * F.size("marks"))
-    columns = ["row_key", "doc_id", "at", "template", "least"]
-    found = park(taking.select(*columns).unionAll(of_first.select(*columns)), "templates")
+    votes = taking.select("no", each).join(first, "mark").groupBy("no", "leader").agg(F.count("*").alias("votes"))
+    of_leader = taking.drop("template").join(votes, "no").filter(F.col("votes") >= constant * F.size("marks"))
+    by_leader = F.xxhash64(F.lit("leader"), "leader").alias("template")
+    found = park(taking.select("kind", "template").unionAll(of_leader.select("kind", by_leader)), "kind-templates")
     release(spark, taking, first)
     return found
 
@@ -94,7 +102,10 @@ def recurring_lines(
     are one document. Null texts have no lines.
     """
     least = F.lit(min_docs) if long_tokens is None else F.when(F.size("t") >= long_tokens, long_docs).otherwise(min_docs)
-    lines = templates_of(marked_lines(docs, depth, min_tokens, least), constant)
+    shared, kinds = line_kinds(docs, depth, min_tokens, least)
+    templates = templates_of(kinds, constant)
+    lines = park(shared.select("row_key", "doc_id", "at", "least", "kind").join(templates, "kind").drop("kind"), "templates")
+    release(docs.sparkSession, shared, templates)
     per_doc = lines.groupBy("template", "least", "row_key").agg(F.min("doc_id").alias("doc_id"))
     templates = per_doc.groupBy("template", "least").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "row_key")).alias("first"))
     recurring = park(templates.filter("docs >= least").select("template", "first"), "recurring")
