@@ -245,6 +245,30 @@ def test_words_of_one_32_bit_hash_do_not_make_a_template(spark):
     assert all(r["n_dropped"] == 0 for r in line_templates.drop_lines(frame).collect())
 
 
+def test_no_column_name_clashes(spark):
+    """Columns of the names that the operators use themselves stay as they were."""
+    rows = [(i, f"{said('p')}\nown {'abcd'[i]} only") for i in range(4)]
+    own = {c: f"own {c}" for c in ("__key", "key", "_KEY", "gone", "dropped", "row_key", "spans", "hits", "of", "no", "component")}
+    frame = spark.createDataFrame(rows, DOCS)
+    for c, value in own.items():
+        frame = frame.withColumn(c, F.lit(value))
+    frame = frame.withColumn("n_dropped", F.lit("own")).withColumn("n_passages", F.lit("own")).withColumn("n_chars", F.length("text"))
+    benchmark = spark.createDataFrame([("i", said("p"))], "item_id string, text string")
+    for left, number in [
+        (line_templates.drop_lines(frame, min_docs=2), "n_dropped"),
+        (shared_passages.drop_passages(frame, n=20), "n_passages"),
+        (benchmark_filter.decontaminate(frame, benchmark, remove="spans"), None),
+        (benchmark_filter.decontaminate(frame, benchmark.limit(0)), None),
+        (jaccard_join.one_of_each(frame), None),
+        (corpus_pipeline.line_dedup(spark, frame, ""), None),
+    ]:
+        assert sorted(left.columns) == sorted(frame.columns)
+        found = [r.asDict() for r in left.collect()]
+        assert found and all(r[c] == value for r in found for c, value in own.items())
+        assert all(r["n_dropped"] == "own" or number == "n_dropped" and r["n_dropped"] == (r["doc_id"] > 0) for r in found)
+        assert all(r["n_passages"] == "own" or number == "n_passages" and r["n_passages"] == (r["doc_id"] > 0) for r in found)
+
+
 def brute_cut(rows, n):
     """Which words of each text lie in windows that a text before has too."""
     listed = {i: [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w] for i, text in rows}
@@ -312,6 +336,18 @@ def test_top_k_is_exact(spark, scale, block):
     assert {q: sorted(v) for q, v in got.items()} == brute_top(vectors, [i for i in vectors if i % 20 == 0], 6)
 
 
+def test_scores_beyond_a_long_are_the_nearest_one(spark):
+    big, longest = 10**17 * 64, 2**63 - 1
+    vectors = {0: [big, 3], 1: [big, 1], 2: [-big, 5], 3: [1, 10**9], 4: [1, -7], 5: [big, 2], 6: [0, 4]}
+    frame = spark.createDataFrame(list(vectors.items()), "vec_id long, vector array<long>")
+    scores = [(-max(-longest, min(longest, sum(a * b for a, b in zip(vectors[0], v)))), i) for i, v in vectors.items() if i]
+    want = [(rank + 1, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:5])]
+    found = histogram_topk.top_k(frame, F.col("vec_id") == 0, 5).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found) == want and want[0][2] == want[1][2] == longest
+    far = spark.createDataFrame([([1e300, -1e300, 1e17],)], "v array<double>")
+    assert far.select(histogram_topk.quantized("v").alias("w")).first()["w"] == [longest, -longest, big]
+
+
 def test_top_k_of_few(spark):
     frame = spark.createDataFrame([(0, [1, 1]), (1, [2, -5]), (20, [0, 0])], "vec_id long, vector array<long>")
     got = sorted(tuple(r) for r in histogram_topk.top_k(frame, F.col("vec_id") % 20 == 0, 20).collect())

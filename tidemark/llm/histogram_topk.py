@@ -19,15 +19,22 @@ from tidemark.llm.storage import park, tasks_import
 
 BINS = 256
 SCORES = 1 << 21  # held by a task at a time
+LONGEST = (1 << 63) - 1
+
+
+def _floor(x: Column) -> Column:
+    far = F.lit(float(1 << 63))
+    return F.when(x >= far, F.lit(LONGEST)).when(x <= -far, F.lit(-LONGEST)).otherwise(F.floor(x).cast("long"))
 
 
 def quantized(vector: str, scale: int = 64) -> Column:
-    """floor(scale * x) of every component, x as double; null if any component is null or not finite."""
+    """floor(scale * x) of every component, x as double, no farther from 0 than a long and its negative go; null if any
+    component is null or not finite."""
     limit = float("inf")
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == limit))
     return F.when(
         F.col(vector).isNotNull() & ~bad,
-        F.transform(vector, lambda x: F.floor(F.lit(scale).cast("double") * x.cast("double")).cast("long")),
+        F.transform(vector, lambda x: _floor(F.lit(scale).cast("double") * x.cast("double"))),
     )
 
 
@@ -44,14 +51,14 @@ def _scored(batches, block):
     """(ids of some vectors, their scores with all queries of the block); a query's own vector is marked."""
     ids, queries, kind = block
     own = np.argsort(ids, kind="stable")
-    rows = max(1, SCORES // max(1, len(ids)))
+    rows = max(1, (SCORES if kind is not object else SCORES // 16) // max(1, len(ids)))
     transposed = np.ascontiguousarray(queries.T.astype(kind))
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             vec_ids = part.column(0).to_numpy(zero_copy_only=False)
             scores = _matrix(part.column(1), queries.shape[1]).astype(kind) @ transposed
-            scores = scores.astype(np.int64)
+            scores = scores.astype(np.int64) if kind is not object else np.clip(scores, -LONGEST, LONGEST)
             place = np.searchsorted(ids[own], vec_ids)
             mine = np.zeros(scores.shape, dtype=bool)
             stop = np.searchsorted(ids[own], vec_ids, side="right")
@@ -68,7 +75,7 @@ def _count(batches, block, low, width):
     for _, scores, mine in _scored(batches, block.value):
         bins = (scores - low) >> shift
         keep = (bins >= 0) & (bins < BINS) & ~mine
-        counts += np.bincount((bins + base)[keep], minlength=counts.size).reshape(counts.shape)
+        counts += np.bincount((bins + base)[keep].astype(np.int64), minlength=counts.size).reshape(counts.shape)
     query, place = np.nonzero(counts)
     yield pa.record_batch(
         [pa.array(query, pa.int32()), pa.array(place, pa.int32()), pa.array(counts[query, place], pa.int64())], ["q", "bin", "n"]
@@ -83,7 +90,7 @@ def _above(batches, block, kth, k):
     for vec_ids, scores, mine in _scored(batches, block.value):
         row, query = np.nonzero((scores > kth) & ~mine)
         if len(row):
-            yield pa.record_batch([pa.array(ids[query]), pa.array(vec_ids[row]), pa.array(scores[row, query])], schema)
+            yield pa.record_batch([pa.array(ids[query]), pa.array(vec_ids[row]), pa.array(scores[row, query], pa.int64())], schema)
         row, query = np.nonzero((scores == kth) & ~mine)
         order = np.argsort(query, kind="stable")
         row, query = row[order], query[order]
@@ -95,7 +102,7 @@ def _above(batches, block, kth, k):
     if sum(sizes):
         query = np.repeat(np.arange(len(ids)), sizes)
         yield pa.record_batch(
-            [pa.array(ids[query]), pa.array(np.concatenate([np.asarray(e, dtype=np.int64) for e in equal])), pa.array(kth[query])], schema
+            [pa.array(ids[query]), pa.array(np.concatenate([np.asarray(e, dtype=np.int64) for e in equal])), pa.array(kth[query], pa.int64())], schema
         )
 
 
@@ -104,8 +111,10 @@ def _search(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, largest: i
     context = vectors.sparkSession.sparkContext
     dim = queries.shape[1]
     reach = int(np.abs(queries).max(initial=0)) * largest * dim
-    block = context.broadcast((ids, queries, _kind(max(reach, int(np.abs(queries).max(initial=0)), largest))))
-    low = np.full(len(ids), -reach, dtype=np.int64)
+    kind = _kind(max(reach, int(np.abs(queries).max(initial=0)), largest))
+    block = context.broadcast((ids, queries, kind))
+    reach = min(reach, LONGEST)
+    low = np.full(len(ids), -reach, dtype=object if kind is object else np.int64)
     # widths fall by a factor of BINS each pass, to 1
     width = 1
     while width * BINS < 2 * reach + 1:
@@ -133,7 +142,7 @@ def _search(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, largest: i
             .toArrow()
         )
         q, place, before = (chosen.column(c).to_numpy() for c in ("q", "bin", "above"))
-        low[q] += place.astype(np.int64) * width
+        low[q] += place.astype(low.dtype) * width
         wanted[q] -= before
         if width == 1:
             break
@@ -150,6 +159,7 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, block: int = 8192) -> D
     which rows are queries; each is compared with every row of its dimension whose vec_id is
     another. Ties go to the smaller vec_id. Queries are taken ``block`` at a time, in order of
     vec_id, so what is broadcast or gathered is bounded: a block's vectors, and a bin per query.
+    A score beyond a long is the nearest of -(2^63 - 1) and 2^63 - 1, and ties with others there.
     Repeated rows count each; the result lists repeated queries once. An empty table gives no rows.
     """
     spark = rows.sparkSession

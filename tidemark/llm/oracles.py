@@ -57,7 +57,7 @@ WITH placed AS (
 ), hosts AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS two,
     array_to_string(string_split(host, '.')[-3:], '.') AS three, string_split(host, '.')[-1] AS one
-  FROM placed LEFT JOIN known ON doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})', 1) AS BIGINT) GROUP BY host
+  FROM placed LEFT JOIN known ON doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})([^0-9]|$)', 1) AS BIGINT) GROUP BY host
 ), named AS (
   SELECT host, n, bad, CASE WHEN shared THEN two ELSE one END AS suffix, CASE WHEN shared THEN three ELSE two END AS domain
   FROM (SELECT *, two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'example.com', 'example.net', 'example.org') AS shared FROM hosts)

@@ -73,14 +73,16 @@ def op7_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host of every page, and whether the labelled document that its url numbers is toxic or of low quality."""
-    number = F.regexp_extract(host_reputation.path_of(), "/([0-9]{1,18})", 1)
+    """Host of every page, and whether the labelled document that its url numbers is toxic or of low quality. A
+    number of more than 18 digits is none of a document. Pages without a number need no join."""
+    number = F.regexp_extract(host_reputation.path_of(), "/([0-9]{1,18})([^0-9]|$)", 1)
     pages = table(spark, sf_dir, "pages").select(
         host_reputation.host_of().alias("host"), F.when(number != "", number.cast("long")).alias("doc_id")
     )
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)
     known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(bad).alias("bad"))
-    return pages.join(known, "doc_id", "left").select("host", "bad")
+    others = pages.filter("doc_id is null").select("host", F.lit(None).cast("int").alias("bad"))
+    return pages.filter("doc_id is not null").join(known, "doc_id", "left").select("host", "bad").unionAll(others)
 
 
 def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
