@@ -1,12 +1,15 @@
 """Registered queries without SQL against brute force, on the smallest of the given table folders."""
 
 import os
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import queries
 
 pytest.importorskip("public_tokenizers")
@@ -57,7 +60,8 @@ def test_op7(spark, ids):
     assert len(places) <= 1.05 * -(-sum(n for _, n, _ in want.values()) // 2048) + 1
 
 
-def test_op6(spark, texts):
+def linked(texts):
+    """Shingles and smallest linked doc_id of every text."""
     lower, blank = {c: c + 32 for c in range(65, 91)}, "".join(map(chr, [0x20, *range(0x09, 0x0E)]))
     sets = {}
     for i, text in texts.items():
@@ -78,6 +82,31 @@ def test_op6(spark, texts):
             if common and 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
                 a, b = sorted((root(i), root(j)))
                 least[b] = a
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def test_op6(spark, texts):
     found = queries.op6_jaccard_join(spark, FOLDER).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {i: (len(s), root(i)) for i, s in sets.items()}
-    assert len(found) == len(sets)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == linked(texts) and len(found) == len(texts)
+
+
+def test_pipeline(spark):
+    """What is packed: clean documents, one of each component, without contaminated ones."""
+    docs = queries.table(spark, FOLDER, "documents")
+    clean = {r["doc_id"] for r in queries.op9_toxic_segments(spark, FOLDER).filter("score < 0.5").collect()}
+    left = corpus_pipeline.line_dedup(spark, docs.filter(F.col("doc_id").isin(*clean)), FOLDER)
+    texts = {r["doc_id"]: r["text"] or "" for r in left.select("doc_id", "text").collect()}
+    split = lambda text: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)})) if w]
+    items = [split(r["text"] or "") for r in queries.table(spark, FOLDER, "benchmark").collect()]
+    windows = {tuple(w[k : k + 13]) for w in items if w for k in range(max(1, len(w) - 12))}
+    want = set()
+    for i, (_, first) in linked(texts).items():
+        words, hit = split(texts[i]), set()
+        for n in {len(w) for w in windows}:
+            for k in range(len(words) - n + 1):
+                if tuple(words[k : k + n]) in windows:
+                    hit |= set(range(k, k + n))
+        if i == first and not (hit and 20 * len(hit) >= len(words)):
+            want.add(i)
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, FOLDER).select("doc_id").distinct().collect()} == want
+    assert 0 < len(want) < len(texts) < docs.count()
