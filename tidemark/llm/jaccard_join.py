@@ -172,14 +172,23 @@ def _compatible(a: Column, b: Column, share: int) -> Column:
     return 100 * F.least(a, b) >= share * F.greatest(a, b)
 
 
+def _may_start(a: str, b: str, share: int) -> Column:
+    """Whether a link of two texts may have its first common shingle here: all that they share lies from their
+    places of it on, in the ``rest`` of each. A link is looked for where this holds, which it does in one region at least."""
+    rest, n = F.least(F.col(f"{a}rest"), F.col(f"{b}rest")), F.col(f"{a}n") + F.col(f"{b}n")
+    return (100 + share) * rest >= share * n
+
+
 def _region_rows(prefixes: DataFrame, share: int) -> DataFrame:
-    """region, node, n, pivot: the texts of each region of two or more, and its pivot text.
+    """region, node, n, rest, and pivot_node, pivot_n, pivot_rest: the texts of each region of two or more, the number of
+    their shingles from the region's on, and its pivot text.
 
     Regions of ordinary shingles hold no more texts than their cell's bound: each is sorted by
     size, where sizes too far apart part it. Regions of shingles that stand out may be of any
     size: their pivots come from partial minima and a join that can be split.
     """
-    ordinary = prefixes.select("node", "n", F.explode(F.slice("pivots", F.lit(1), F.col("cold"))).alias("s"))
+    placed = prefixes.select("node", "n", "cold", F.posexplode("pivots").alias("i", "s")).withColumn("rest", F.col("n") - F.col("i"))
+    ordinary = placed.filter("i < cold").select("node", "n", "rest", "s")
     by_size = Window.partitionBy("s").orderBy("n", "node")
     before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
     gap = before.isNull() | ~_compatible(before, F.col("n"), share)  # least() passes over nulls
@@ -189,15 +198,22 @@ def _region_rows(prefixes: DataFrame, share: int) -> DataFrame:
         .withColumn("run", F.sum(F.col("gap").cast("int")).over(by_size))
     )
     whole = Window.partitionBy("s", "run")
-    cold = runs.withColumn("pivot", F.min("node").over(whole)).select(F.xxhash64("s", "run").alias("region"), "node", "n", "pivot")
-    outstanding = prefixes.filter("cold < size(pivots)").select(
-        "node", "n", F.explode(F.slice("pivots", F.col("cold") + 1, F.size("pivots") - F.col("cold"))).alias("s")
-    )
-    firsts = outstanding.groupBy("s").agg(F.min("node").alias("pivot"), F.count("*").alias("k")).filter("k > 1")
-    hot = outstanding.join(firsts, "s").select(F.xxhash64("s").alias("region"), "node", "n", "pivot")
+    first = F.min(F.struct("node", "n", "rest"))
+    named = ["node", "n", "rest", *[F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in ("node", "n", "rest")]]
+    cold = runs.withColumn("pivot", first.over(whole)).select(F.xxhash64("s", "run").alias("region"), *named)
+    outstanding = placed.filter("i >= cold").select("node", "n", "rest", "s")
+    firsts = outstanding.groupBy("s").agg(first.alias("pivot"), F.count("*").alias("k")).filter("k > 1")
+    hot = outstanding.join(firsts, "s").select(F.xxhash64("s").alias("region"), *named)
     return cold.unionAll(hot)
 
 
+def _one_of_equal(rows: DataFrame) -> DataFrame:
+    """The rows with regions that hold the same texts made one, of each text the longest rest."""
+    members = rows.groupBy("region").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("of"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("too"))
+    same = members.select("region", F.xxhash64("k", "of", "too").alias("same"))
+    return rows.join(same, "region").groupBy(F.col("same").alias("region"), "node", "n", "component").agg(F.max("rest").alias("rest"))
+
+
 def _plausible(pairs: DataFrame, prefixes: DataFrame, share: int) -> DataFrame:
     """The pairs (u, v) whose prefixes have enough in common for a link.
 
@@ -246,7 +262,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _undecided(rows: DataFrame) -> DataFrame:
-    """The rows (region, node, n, component) of regions that hold several components, with their number."""
+    """The rows (region, node, n, rest, component) of regions that hold several components, with their number."""
     spread = rows.groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("k")).filter("a <> b")
     return rows.join(spread.select("region", "k"), "region")
 
@@ -299,17 +315,19 @@ def link_components(texts: DataFrame, width: int, share: int) -> DataFrame:
         release(spark, likely, sets)
         return found
 
-    links = links_among(regions.filter("node <> pivot").select(*_pairs(F.col("node"), F.col("pivot"))).distinct())
+    beside = regions.filter("node <> pivot_node")
+    links = links_among(beside.filter(_may_start("", "pivot_", share)).select(*_pairs(F.col("node"), F.col("pivot_node"))).distinct())
     labels = park(components(links), "labels")
-    rows = _labelled(regions.filter("node <> pivot").select("region", "node", "n"), labels)
-    left = park(_undecided(rows), "undecided")
+    rows = park(_undecided(_labelled(beside.select("region", "node", "n", "rest"), labels)).drop("k"), "undecided-rows")
     release(spark, regions)
+    left = park(_undecided(_one_of_equal(rows)), "undecided")
+    release(spark, rows)
     while True:
         small = left.filter(F.col("k") <= SMALL)
         a, b = small.alias("a"), small.alias("b")
         met = a.join(b, F.col("a.region") == F.col("b.region")).filter(
             (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-        ).filter(_compatible(F.col("a.n"), F.col("b.n"), share))
+        ).filter(_may_start("a.", "b.", share))
         pairs = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
         links = links.unionAll(links_among(pairs))
         large = left.filter(F.col("k") > SMALL)
@@ -326,22 +344,23 @@ def link_components(texts: DataFrame, width: int, share: int) -> DataFrame:
         release(spark, sets)
         links = links.unionAll(distances.filter("linked").select("u", "v"))
         labels = park(components(links), "labels")
-        reach = beside.select("region", "node", "n", "k", "pivot", *_pairs(F.col("node"), F.col("pivot"))).join(distances, ["u", "v"])
+        reach = beside.select("region", "node", "n", "rest", "k", "pivot", *_pairs(F.col("node"), F.col("pivot"))).join(distances, ["u", "v"])
         near = reach.groupBy("region", "node").agg(F.min("distance").alias("nearest"))
         window = 2 * (1 - share / 100) + 1e-9
         inner = reach.join(near, ["region", "node"]).filter(F.col("distance") <= F.col("nearest") + window)
         inner = inner.join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
-        split = inner.select("region", F.xxhash64("region", "pivot").alias("part"), "node", "n", F.col("k").alias("parent"))
+        split = inner.select("region", F.xxhash64("region", "pivot").alias("part"), "node", "n", "rest", F.col("k").alias("parent"))
         # a region of which some part is nearly as large as it was does not get smaller: it stays whole
         size = split.groupBy("region", "part").agg(F.count("*").alias("k"), F.first("parent").alias("parent"))
         stuck = park(
             size.groupBy("region").agg(F.max(F.col("k") + PIVOTS >= F.col("parent")).alias("stuck")), "stuck"
         )
         marked = split.join(stuck, "region")
-        whole = marked.filter("stuck").select("region", "node", "n").distinct()
-        parts = marked.filter("not stuck").select(F.col("part").alias("region"), "node", "n")
-        apart = _undecided(_labelled(parts, labels)).select("region", "node", "n", "component", "k")
-        kept = _undecided(_labelled(whole, labels)).select("region", "node", "n", "component", F.lit(0).cast("long").alias("k"))
+        whole = marked.filter("stuck").select("region", "node", "n", "rest").distinct()
+        parts = marked.filter("not stuck").select(F.col("part").alias("region"), "node", "n", "rest")
+        columns = ["region", "node", "n", "rest", "component"]
+        apart = _undecided(_labelled(parts, labels)).select(*columns, "k")
+        kept = _undecided(_labelled(whole, labels)).select(*columns, F.lit(0).cast("long").alias("k"))
         left = park(apart.unionAll(kept), "undecided")
     return components(links)
 
