@@ -10,7 +10,7 @@ linked sets meet in a region. The order puts shingles that many texts have last,
 counts over all texts.
 
 Within a region sizes are a second, one-dimensional window (linked sizes differ by a factor of
-0.8 at most). Shingles whose regions turn out crowded are put last as well, and the prefixes made
+0.8 at most), and two texts are compared only where their first common shingle may lie. Shingles whose regions turn out crowded are put last as well, and the prefixes made
 anew: any order is exact, so this only thins the regions. Then texts are compared with a pivot text. What is linked with it becomes one
 component; regions in which several components are left are joined again: small ones pair by
 pair, larger ones after a split into the Voronoi regions of several pivot texts, a text being
