@@ -689,3 +689,13 @@ def test_spans_are_cut_out(spark):
     assert cut == {1: "(Keep this) and the rest.", 2: "nothing"}
     assert benchmark_filter.find_hits(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
     assert benchmark_filter.find_hits(docs.limit(0), bench).count() == 0
+
+
+def test_a_line_is_parsed_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e\n1\tb  c 23 e", [0])], "row_key long, text string, dropped array<int>")
+    parsed = line_templates._tokens(docs.withColumn("doc_id", F.col("row_key")), 5)
+    assert [r["t"] for r in parsed.orderBy("at").collect()] == [list("abcde"), ["0", "b", "c", "00", "e"]]
+    assert parsed._jdf.queryExecution().executedPlan().toString().count("translate(") == 1
+    left = docs.select(line_templates.without_lines("text", "dropped").alias("left"))
+    assert left.first()["left"] == "1\tb  c 23 e"
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1

@@ -27,14 +27,19 @@ from tidemark.llm.storage import park, release
 SAME = ("123456789\t\r\f\v", "000000000    ")
 
 
-def tokens(line: str) -> Column:
-    return F.array_remove(F.split(F.translate(line, *SAME), " "), "")
+def tokens(line: str | Column) -> Column:
+    line = F.col(line) if isinstance(line, str) else line
+    # to translate takes longer than to see that most lines have none of these characters
+    same = F.when(F.rlike(line, F.lit("[1-9\\t\\r\\f\\x0B]")), F.translate(line, *SAME)).otherwise(line)
+    return F.array_remove(F.split(same, " "), "")
 
 
 def _tokens(docs: DataFrame, min_tokens: int, *more: str) -> DataFrame:
     """row_key, doc_id, at (from 0), tokens ``t`` of every line of at least ``min_tokens`` tokens."""
-    split = docs.select("row_key", F.col("doc_id").cast("long").alias("doc_id"), *more, F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return split.select("row_key", "doc_id", "at", *more, tokens("line").alias("t")).filter(F.size("t") >= min_tokens)
+    # the filter stays above what makes its column here; below, lines would be parsed for it once more
+    split = F.posexplode(F.transform(F.split("text", "\n"), tokens)).alias("at", "t")
+    found = docs.select("row_key", F.col("doc_id").cast("long").alias("doc_id"), *more, split)
+    return found.select("row_key", "doc_id", "at", *more, "t").filter(F.size("t") >= min_tokens)
 
 
 def line_kinds(docs: DataFrame, depth: int, min_tokens: int, least: Column) -> tuple[DataFrame, DataFrame]:
@@ -115,9 +120,14 @@ def recurring_lines(
 
 def without_lines(text: str, dropped: str) -> Column:
     """The text without the lines at these positions."""
-    lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
-    return F.when(F.col(dropped).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+
+    def left(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    # as an argument the lines are split once, not once more for each that stays
+    cut = F.get(F.transform(F.array(F.split(text, "\n")), left), F.lit(0))
+    return F.when(F.col(dropped).isNull(), F.col(text)).otherwise(cut)
 
 
 def drop_lines(docs: DataFrame, count_as: str = "n_dropped", **parameters) -> DataFrame:
