@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from tidemark.llm import tokens
+from tidemark.llm import bitplane_store, tokens
 from tidemark.llm.queries import tokenizer_path
 
 pytest.importorskip("public_tokenizers")
@@ -57,3 +58,30 @@ def test_words_that_cannot_be_cut_are_encoded_whole(tokenizer, monkeypatch):
     monkeypatch.setattr(encoder._plain, "ids", lambda words: None)
     text = "Some words, in a row."
     assert list(memoryview(encoder.encode([text])[0]).cast("H")) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_columns_encode_like_lists():
+    encoder = tokens.TextEncoder(tokenizer_path(), words=100)
+    texts = [*made_texts(7), None, "", " \n", *made_texts(8)]
+    column = pa.array(["cut off", *texts], pa.string())[1:]
+    assert encoder.encode(column) == [encoder._whole([text or ""])[0] for text in texts]
+    assert encoder.encode(pa.array([None, " "], pa.string())) == [b"", b""] and encoder.encode(column[:0]) == []
+
+
+def test_only_marks_behind_a_word_are_encoded_whole(monkeypatch):
+    encoder = tokens.TextEncoder(tokenizer_path())
+    text = "Wenn?! (wenn) nicht... nicht!%%% o'clock no<|endoftext|>"
+    want, seen, whole = encoder._whole([text]), [], encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda texts: seen.extend(texts) or whole(texts))
+    assert encoder.encode([text]) == want
+    assert sorted(seen) == ["!%%%", "(wenn)", "...", "?!", "no<|endoftext|>", "o'clock"]
+
+
+def test_words_are_forgotten_with_the_task(spark):
+    def held(batches):
+        for _ in batches:
+            yield pa.record_batch([pa.array([len(tokens.text_encoder(tokenizer_path())._young)], pa.int64())], ["n"])
+
+    docs = spark.createDataFrame([(1, "some words to be met")], "doc_id long, text string").coalesce(1)
+    assert bitplane_store.write_ids(docs, tokenizer_path()).count() == 1
+    assert docs.mapInArrow(held, "n long").first()["n"] == 1

@@ -153,13 +153,14 @@ def _encode(batches, tokenizer: str, end_id: int, bounds: np.ndarray):
     encoder = text_encoder(tokenizer)
     end = np.asarray([end_id], dtype=encoder.dtype).tobytes()
     spread = np.random.default_rng(TaskContext.get().partitionId())
-    for batch in slices(batches, 512):
-        ids = pa.array([x + end for x in encoder.encode(batch.column(1).to_pylist())], pa.large_binary())
+    for batch in slices(batches, 2048):
+        ids = pa.array([x + end for x in encoder.encode(batch.column(1))], pa.large_binary())
         doc_ids = batch.column(0)
         keys = doc_ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
         low, high = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
         shard = low + spread.integers(0, high - low + 1)
         yield pa.record_batch([doc_ids, pa.array(shard, pa.int32()), ids], ["doc_id", "shard", "ids"])
+    encoder.forget()
 
 
 def _write(batches, folder: str, block: int, kind: str, wide: bool):

@@ -29,7 +29,7 @@ def _flatten(batches, tokenizer: str, separator: int, folder: str):
     for batch in slices(batches, 512):
         if target is None:
             path, target = output_file(folder, f"tokens-{part:06d}")
-        for raw in encoder.encode(batch.column(1).to_pylist()):
+        for raw in encoder.encode(batch.column(1)):
             target.write(raw + end)
         rows = batch.num_rows
         yield pa.record_batch(
@@ -37,6 +37,7 @@ def _flatten(batches, tokenizer: str, separator: int, folder: str):
             ["path", "doc_no", "doc_id"],
         )
         n += rows
+    encoder.forget()
     if target is not None:
         target.close()
 

@@ -5,13 +5,17 @@ from __future__ import annotations
 import functools
 import json
 import os
+import string
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BLANKS = "\n\t\r\x0b\x0c"
 _PROBES = ("a b", "it's  The end.", "x\n\ty , z", "é ́a b", "1 2", "'s 't <|endoftext|> q")
 LAST_LETTER = "\xff"  # of Latin-1
 _LETTERS = "".join(chr(c) for c in range(256) if chr(c).isalpha())
+_MARKS = string.punctuation.replace("'", "")  # runs of them behind a word are cut off it
 
 
 class _PlainWords:
@@ -99,10 +103,12 @@ class TextEncoder:
         self._plain = _plain_words(path, self.dtype) if self._wordwise else None
         if self._plain is not None:
             probes = [*_LETTERS, *(f"th{c}ing" for c in _LETTERS), "The", "ENDE", "a" * 300, _LETTERS]
-            marks = {mark: self._whole([mark])[0] for mark in ".,;:!?"}
-            marked = all(self._whole([f"Ab{m}"])[0] == self._whole(["Ab"])[0] + ids for m, ids in marks.items())
-            self._marks = marks
-            if not marked or self._plain.ids(probes) != self._whole(probes):
+            added = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
+            self._marks = "".join(mark for mark in _MARKS if mark not in "".join(added))
+            tails = [*self._marks, *(a + b for a in self._marks for b in self._marks), *(3 * mark for mark in self._marks)]
+            before = self._whole(["Ab"])[0]
+            marked = self._whole([f"Ab{tail}" for tail in tails]) == [before + ids for ids in self._whole(tails)]
+            if not marked or any(token.isalpha() for token in added) or self._plain.ids(probes) != self._whole(probes):
                 self._plain = None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -110,13 +116,13 @@ class TextEncoder:
         return [np.asarray(x.ids, dtype=self.dtype).tobytes() for x in found]
 
     def _words_of(self, words: list[str]) -> dict[str, bytes]:
-        """Words that have not been met, with their ids."""
+        """Words that have not been met, with their ids (and those of the marks behind them)."""
         if self._plain is None:
             return dict(zip(words, self._whole(words)))
         marks, young, old = self._marks, self._young, self._old
         plain, stems, rest, new = [], [], [], {}
         for word in words:
-            stem = word[:-1] if word[-1] in marks else word
+            stem = word.rstrip(marks)
             if stem.isalpha() and (stem.isascii() or max(stem) <= LAST_LETTER):
                 plain.append(word)
                 stems.append(stem)
@@ -127,47 +133,54 @@ class TextEncoder:
         unmet = list(new)
         ids = self._plain.ids(unmet)
         new.update(zip(unmet, self._whole(unmet) if ids is None else ids))
+        tails = {word[len(stem) :] for word, stem in zip(plain, stems)}
+        rest += [tail for tail in tails.difference(rest) if tail not in young and tail not in old]
         found = dict(zip(rest, self._whole(rest)))
+        known = lambda part: young[part] if part in young else old[part]
+        behind = {tail: found[tail] if tail in found else known(tail) for tail in tails}
         for word, stem in zip(plain, stems):
             raw = new.get(stem)
             if raw is None:
-                raw = young[stem] if stem in young else old[stem]
-            found[word] = raw if word is stem else raw + marks[word[-1]]
+                raw = known(stem)
+            found[word] = raw if len(word) == len(stem) else raw + behind[word[len(stem) :]]
         return found
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of each of different words."""
+        if len(self._young) > self._words:
+            self._old, self._young = self._young, {"": b""}
+        young, old, longest = self._young, self._old, self._longest
+        found = list(map(young.get, words))
+        unmet = [word for word, raw in zip(words, found) if raw is None]
+        if not unmet:
+            return found
+        made = self._words_of([word for word in unmet if word not in old])
+        made.update((word, old[word]) for word in unmet if word in old)
+        young.update((word, raw) for word, raw in made.items() if len(word) <= longest)
+        return [made[word] if raw is None else raw for word, raw in zip(words, found)]
+
+    def forget(self) -> None:
+        """Drop the words met so far: workers outlive their tasks, and what stages keep in them adds up."""
+        self._young, self._old = {"": b""}, {}
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``; null encodes like an empty text."""
         if not self._wordwise:
-            return self._whole([text or "" for text in texts])
-        split = []
-        for text in texts:
-            text = text or ""
-            for blank in _BLANKS:
-                if blank in text:
-                    text = text.replace(blank, " ")
-            split.append(text.split(" "))
-        young, old = self._young, self._old
-        new = set().union(*split) - young.keys()
-        once: dict[str, bytes] = {}
-        if new:
-            if len(young) > self._words:
-                self._old, self._young = young, {"": b""}
-                young, old = self._young, self._old
-                new = set().union(*split) - young.keys()
-            known = new & old.keys()
-            for word in known:
-                young[word] = old[word]
-            found = self._words_of(list(new - known))
-            for word in [word for word in found if len(word) > self._longest]:
-                once[word] = found.pop(word)
-            young.update(found)
-        if once:
-            return [b"".join([young[w] if w in young else once[w] for w in words]) for words in split]
-        look = young.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+            return self._whole([text or "" for text in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)])
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        # each different word is looked up once, Arrow puts the ids of all in their places
+        split = pc.ascii_split_whitespace(column.fill_null(""))
+        firsts = split.offsets.to_numpy() - split.offsets[0].as_py()
+        words = split.flatten().dictionary_encode()
+        if not len(words):
+            return [b""] * len(column)
+        ids = pa.array(self._ids_of(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        _, places, raw = ids.buffers()
+        at = np.frombuffer(places, dtype="<i8")[ids.offset :][firsts].tolist()
+        return [raw[a:b].to_pybytes() if a < b else b"" for a, b in zip(at, at[1:])]
 
 
 @functools.lru_cache(maxsize=2)
 def text_encoder(path: str, plain_specials: bool = False) -> TextEncoder:
-    """One encoder per Python worker, kept between its tasks."""
+    """One encoder per Python worker, kept between its tasks; a task that is done lets it :meth:`~TextEncoder.forget`."""
     return TextEncoder(path, plain_specials)
