@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import bitplane_store, tokens
+from tidemark.llm import bitplane_store, grouped_packing, tokens
 from tidemark.llm.queries import tokenizer_path
 
 pytest.importorskip("public_tokenizers")
@@ -83,5 +83,7 @@ def test_words_are_forgotten_with_the_task(spark):
             yield pa.record_batch([pa.array([len(tokens.text_encoder(tokenizer_path())._young)], pa.int64())], ["n"])
 
     docs = spark.createDataFrame([(1, "some words to be met")], "doc_id long, text string").coalesce(1)
+    assert grouped_packing.pieces(docs, tokenizer_path()).count() == 1
+    assert docs.mapInArrow(held, "n long").first()["n"] == 1
     assert bitplane_store.write_ids(docs, tokenizer_path()).count() == 1
     assert docs.mapInArrow(held, "n long").first()["n"] == 1

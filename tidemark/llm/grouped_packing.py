@@ -26,9 +26,9 @@ def _cut(batches, tokenizer: str, end_id: int, capacity: int):
     encoder = text_encoder(tokenizer)
     end = np.asarray([end_id], dtype=encoder.dtype).tobytes()
     task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-    for batch in slices(batches, 512):
+    for batch in slices(batches, 2048):
         rows = []
-        for doc_id, raw in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+        for doc_id, raw in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
             ids = np.frombuffer(raw + end, dtype=encoder.dtype)
             for piece, at in enumerate(range(0, len(ids), capacity)):
                 part = ids[at : at + capacity]
@@ -39,6 +39,7 @@ def _cut(batches, tokenizer: str, end_id: int, capacity: int):
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             names = [c.split()[0] for c in PIECES.split(", ")]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    encoder.forget()
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
