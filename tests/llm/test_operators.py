@@ -699,3 +699,9 @@ def test_a_line_is_parsed_once(spark):
     left = docs.select(line_templates.without_lines("text", "dropped").alias("left"))
     assert left.first()["left"] == "1\tb  c 23 e"
     assert left._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1
+
+
+def test_scores_of_words_outside_the_model_stay_few():
+    scores = toxic_segments._Scores(toxic_segments.ToxicModel({"a": 1.0}, {"": -0.5, "wxyz": 2.0}, 1.0, 1.0, (0.0, 0.0, 0.0)))
+    assert [scores["a"], scores["wxyz1"], scores["b"]] == [1.0, 2.0, 0.0]
+    assert {scores[f"wxyz{i}"] for i in range(120_000)} == {2.0} and len(scores) <= 50_001

@@ -43,7 +43,7 @@ class ToxicModel:
 class _Scores(dict):
     """Score of a word: its own, else its stem's, else the prior's."""
 
-    def __init__(self, model: ToxicModel, bound: int = 500_000):
+    def __init__(self, model: ToxicModel, bound: int = 50_000):
         super().__init__(model.words)
         self._stems, self._bound = model.stems, len(model.words) + bound
 
@@ -115,11 +115,11 @@ def _probability(model: ToxicModel, best: float, strong: float) -> float:
 
 def _count(batches):
     counts: dict[str, list[int]] = {}
-    for batch in batches:
+    for batch in slices(batches, 1024):
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for word in set(WORD.findall((text or "").lower())):
                 counts.setdefault(word, [0, 0])[toxic] += 1
-        if len(counts) > 1_000_000:
+        if len(counts) > 200_000:
             yield _counted(counts)
             counts = {}
     yield _counted(counts)
@@ -135,7 +135,7 @@ def _counted(counts):
 
 def _measure(batches, model):
     model, scores = model.value, _Scores(model.value)
-    for batch in batches:
+    for batch in slices(batches, 1024):
         rows = []
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             s = word_scores(text, scores)
