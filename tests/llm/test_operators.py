@@ -474,6 +474,24 @@ def test_join_of_families_with_a_shared_passage(spark, monkeypatch, small):
     check_join(spark.createDataFrame(rows, DOCS).repartition(5), rows)
 
 
+def test_join_compares_few_pairs_of_a_large_family(spark, monkeypatch):
+    """Texts that are linked in the end by way of others are not compared pair by pair."""
+    handed, plausible = [], jaccard_join._plausible
+
+    def counted(pairs, *rest):
+        handed.append(pairs.count())
+        return plausible(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_plausible", counted)
+    rng = np.random.default_rng(3)
+    origin, rows = [f"o{i}" for i in range(100)], []
+    for i in range(60):
+        at = set(rng.choice(100, 3, replace=False).tolist())
+        rows.append((i, " ".join(f"e{i}x{k}" if k in at else w for k, w in enumerate(origin))))
+    check_join(spark.createDataFrame(rows, DOCS).repartition(3), rows)
+    assert sum(handed) < 6 * len(rows)
+
+
 def test_shingles_follow_the_words():
     texts = [t for _, t in TEXTS] + ["a b c d e f", "A B\tC d  e\rf", "a b c d e", "ab c", "a bc"]
     found = shingles.shingle_sets(pa.array(texts, pa.string()))

@@ -7,15 +7,18 @@ of its own shingles and at distance 1 from all others. Its region is that of its
 an order common to all texts, and the window within which a linked text must be replicated covers
 its first n - ceil(0.8 n) + 1: a set of n shingles keeps at least 0.8 n of them in a link, so two
 linked sets meet in a region. The order puts shingles that many texts have last, by a table of
-counts over all texts.
+levels from the shingles that several sets of a task's chunk have.
 
 Within a region sizes are a second, one-dimensional window (linked sizes differ by a factor of
-0.8 at most), and two texts are compared only where their first common shingle may lie. Shingles whose regions turn out crowded are put last as well, and the prefixes made
-anew: any order is exact, so this only thins the regions. Then texts are compared with a pivot text. What is linked with it becomes one
-component; regions in which several components are left are joined again: small ones pair by
-pair, larger ones after a split into the Voronoi regions of several pivot texts, a text being
+0.8 at most), and two texts are compared only where their first common shingle may lie. Ordinary
+shingles whose regions turn out crowded are put behind as well, and the prefixes made anew: any
+order is exact, so this only thins the regions. Then texts are compared with a pivot text of each
+region, and those outside a region's main component with a few more. What is linked becomes one
+component, and only pairs of different components are left to compare. Regions in which these are
+few for the number of texts are joined, each text outside the main component with all others;
+other regions after a split into the Voronoi regions of several pivot texts, a text being
 replicated to each pivot that is no more than twice the link distance farther than its nearest.
-That goes on until no large region is left, or one can't be split and is joined pair by pair.
+That goes on until no such region is left, or one can't be split and is joined as well.
 
 Pairs whose prefixes have too little in common for a link are put aside first; distances of the
 others come from whole sets. Sets are compared as 64-bit hashes; equal sets are one node.
@@ -28,7 +31,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +39,14 @@ from tidemark.llm.rows import replaced, row_key, spare
 from tidemark.llm.shingles import mix, shingle_sets
 from tidemark.llm.storage import park, release, slices, tasks_import
 
-CELLS = 1 << 20  # of the table of counts: 4 MB from a task, 1 MB to a task, at any size of input
-BLOCKS = 64
+CELL_BITS = 22
+CELLS = 1 << CELL_BITS  # of the table of levels: 4 MB to a worker, at any size of input
+CHUNK = 1 << 22  # shingles of which a task holds the counts at a time
+COMMON = 8
 MAX_FILTER = 1 << 27  # bits of a filter of nodes: 16 MB at most
-SMALL = 64  # a region up to this size is joined pair by pair
+SMALL = 64  # a region with up to half as many pairs a text between its components is joined pair by pair
 PIVOTS = 4
+TURNS = 3  # in which a few pivots a region join components before regions are compared or split, but for the first in large ones
 PASSES = 2  # in which crowded regions may still change the order
 SALTS = 64
 
@@ -54,7 +59,7 @@ def _node(found: np.ndarray) -> int:
 
 
 def _cells(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(44)).astype(np.int64)
+    return (found >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def _read(batches, width: int):
@@ -64,51 +69,54 @@ def _read(batches, width: int):
 
 
 def _nodes(batches, width: int):
-    for (keys, doc_ids), sets in _read(batches, width):
-        nodes = [_node(s) if len(s) else None for s in sets]
-        yield pa.record_batch(
-            [keys, doc_ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())],
-            ["row_key", "doc_id", "n", "node"],
-        )
+    """A row per text, and one per shingle that several different sets of a chunk of this task have: how many."""
 
+    def counted(chunk: dict):
+        shingles, counts = np.unique(np.concatenate(list(chunk.values())), return_counts=True)
+        several = counts > 1
+        shingles, counts = shingles[several].astype(np.int64), counts[several]
+        none = pa.nulls(len(counts), pa.int64())
+        return pa.record_batch([none, none, none, none, pa.array(shingles), pa.array(counts, pa.int64())], names)
 
-def _tally(batches, width: int):
-    """How many texts of this task have a shingle in each cell."""
-    counts = np.zeros(CELLS, dtype=np.int64)
-    for _, sets in _read(batches, width):
-        counts += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS) if sets else 0
-    yield _blocks(dict(enumerate(counts.reshape(BLOCKS, -1))), TaskContext.get().partitionId())
+    names = ["row_key", "doc_id", "n", "node", "shingle", "sets"]
+    chunk, held = {}, 0
+    for (keys, doc_ids), sets in _read(batches, width):
+        nodes = [_node(s) if len(s) else None for s in sets]
+        none = pa.nulls(len(nodes), pa.int64())
+        yield pa.record_batch([keys, doc_ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), none, none], names)
+        for node, found in zip(nodes, sets):
+            if node is not None and node not in chunk:
+                chunk[node] = found
+                held += len(found)
+        if held >= CHUNK:
+            yield counted(chunk)
+            chunk, held = {}, 0
+    if chunk:
+        yield counted(chunk)
 
 
-def _blocks(found: dict[int, np.ndarray], task: int) -> pa.RecordBatch:
-    return pa.record_batch(
-        [pa.array(list(found), pa.int32()), pa.array([task % 32] * len(found), pa.int32()), pa.array([x.astype("<u8").tobytes() for x in found.values()], pa.binary())],
-        ["block", "part", "counts"],
-    )
+def _level(sets: Column) -> Column:
+    """How far last a shingle of so many sets stands: 0 below COMMON, else one more per doubling."""
+    return F.when(sets >= COMMON, F.floor(F.log2(sets / COMMON)) + 1).otherwise(0).cast("int")
 
 
-def _add(batches):
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts")):
-            total[block] = total.get(block, 0) + np.frombuffer(counts.as_buffer(), dtype="<u8")
-    if total:
-        yield _blocks(total, TaskContext.get().partitionId())
+def _by_cell(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the shingles (shingle, sets) that don't stand first, and the level of each: CELLS rows at most."""
+    cell = F.shiftrightunsigned("shingle", 64 - CELL_BITS).cast("int").alias("cell")
+    found = counted.select(cell, _level(F.col("sets")).alias("level")).filter("level > 0").groupBy("cell").agg(F.max("level").alias("level")).toArrow()
+    return found.column("cell").to_numpy().astype(np.int64), found.column("level").to_numpy().astype(np.uint8)
 
 
-def levels(texts: DataFrame, width: int) -> np.ndarray:
-    """Per cell of shingles 0, or how far (in doublings) its count stands out of an even spread.
+def levels(counted: DataFrame) -> np.ndarray:
+    """Per cell of shingles the level of its most common one, from the counts (shingle, sets) of chunks.
 
-    The count of a cell is an upper bound of the texts that have any of its shingles.
+    A shingle that chunks have once is not counted there, so counts are too small for some that few
+    sets have. Any order of shingles is exact; a poor one costs time.
     """
-    schema = "block int, part int, counts binary"
-    tallied = texts.select("text").mapInArrow(partial(_tally, width=width), schema)
-    summed = tallied.repartition(BLOCKS, "block", "part").mapInArrow(_add, schema).repartition(BLOCKS, "block").mapInArrow(_add, schema)
-    counts = np.zeros((BLOCKS, CELLS // BLOCKS))
-    for row in summed.collect():  # BLOCKS rows, CELLS numbers
-        counts[row["block"]] += np.frombuffer(row["counts"], dtype="<u8")
-    even = counts.mean() + 6 * np.sqrt(counts.mean()) + 8
-    return np.ceil(np.log2(np.maximum(counts.reshape(-1), even) / even)).astype(np.uint8)
+    cells, found = _by_cell(counted.groupBy("shingle").agg(F.sum("sets").alias("sets")))
+    standing = np.zeros(CELLS, dtype=np.uint8)
+    standing[cells] = found
+    return standing
 
 
 def _prefixes(batches, width: int, share: int, standing):
@@ -241,7 +249,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The distance of each pair (u, v, distinct) and whether it is a link."""
+    """The distance of each pair (u, v, distinct) and whether it is a link. The pairs are parked: few are broadcast."""
+    sets = sets.join(_ends(pairs), "node", "left_semi")
     left = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("left")), "u")
     both = left.join(sets.select(F.col("node").alias("v"), F.col("items").alias("right")), "v")
     common = F.size(F.array_intersect("left", "right"))
@@ -262,9 +271,35 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _undecided(rows: DataFrame) -> DataFrame:
-    """The rows (region, node, n, rest, component) of regions that hold several components, with their number."""
-    spread = rows.groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("k")).filter("a <> b")
-    return rows.join(spread.select("region", "k"), "region")
+    """The rows (region, node, n, rest, component) of regions that hold several components, with ``k``, the number of
+    the region's rows, ``main``, its largest component, and ``apart``, how many pairs of rows are of different ones."""
+    parts = rows.groupBy("region", "component").agg(F.count("*").alias("m"))
+    spread = parts.groupBy("region").agg(
+        F.sum("m").alias("k"), F.max(F.struct("m", "component"))["component"].alias("main"), F.sum(F.col("m") * F.col("m")).alias("within")
+    )
+    apart = ((F.col("k") * F.col("k") - F.col("within")) / 2).cast("long")
+    return rows.join(spread.select("region", "k", "main", apart.alias("apart")).filter("apart > 0"), "region")
+
+
+def _tries(left: DataFrame, share: int, turn: int) -> DataFrame:
+    """Pairs (u, v) that are likely links between components: a node outside the main component of the largest
+    undecided region that it is in, with each of a few pivots among the nodes that are there as well."""
+    home = F.max(F.struct("k", "region", "main", "n", "component")).alias("home")
+    at = left.groupBy("node").agg(home).select("node", "home.*")
+    drawn = F.xxhash64("node", F.lit(turn))
+    slots = at.groupBy("region", F.pmod(drawn, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(drawn.alias("drawn"), "node", "n", "component")).alias("pivot"))
+    pivots = slots.select("region", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.component").alias("of"))
+    met = at.filter("component <> main").join(pivots, "region").filter("component <> of").filter(_compatible(F.col("n"), F.col("pivot_n"), share))
+    return met.select(*_pairs(F.col("node"), F.col("pivot"))).distinct()
+
+
+def _pairs_apart(left: DataFrame, share: int) -> DataFrame:
+    """Pairs (u, v) of all texts of a region that are of different components and whose first common shingle may be its."""
+    a, b = left.filter("component <> main").alias("a"), left.alias("b")
+    met = a.join(b, F.col("a.region") == F.col("b.region")).filter(
+        (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
+    ).filter(_may_start("a.", "b.", share))
+    return met.select(*_pairs(F.col("a.node"), F.col("b.node"))).distinct()
 
 
 def _prefixes_of(texts: DataFrame, width: int, share: int, standing: np.ndarray) -> DataFrame:
@@ -278,25 +313,23 @@ def _prefixes_of(texts: DataFrame, width: int, share: int, standing: np.ndarray)
     return park(found.groupBy("node").agg(*firsts), "prefixes")
 
 
-def _crowded_cells(prefixes: DataFrame) -> np.ndarray:
-    """Cells of ordinary shingles whose regions hold more than SMALL texts, at most CELLS of them. Put
-    last in the order, such a shingle leaves the prefixes of texts that have rarer ones."""
-    ordinary = prefixes.select(F.explode(F.slice("pivots", F.lit(1), F.col("cold"))).alias("s"))
-    many = ordinary.groupBy("s").agg(F.count("*").alias("k")).filter(F.col("k") > SMALL)
-    cells = many.select(F.shiftrightunsigned("s", 44).cast("int").alias("cell")).distinct()
-    return cells.toArrow().column(0).to_numpy().astype(np.int64)
+def _crowded(prefixes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of ordinary shingles whose regions hold more than SMALL texts, at most CELLS of them, and their
+    levels. Put behind in the order, such a shingle leaves the prefixes of texts that have rarer ones."""
+    ordinary = prefixes.select(F.explode(F.slice("pivots", F.lit(1), F.col("cold"))).alias("shingle"))
+    return _by_cell(ordinary.groupBy("shingle").agg(F.count("*").alias("sets")).filter(F.col("sets") > SMALL))
 
 
-def link_components(texts: DataFrame, width: int, share: int) -> DataFrame:
-    """vertex, component of all nodes that have a link; texts: text."""
+def link_components(texts: DataFrame, counted: DataFrame, width: int, share: int) -> DataFrame:
+    """vertex, component of all nodes that have a link; texts: text; counted: shingle, sets of chunks."""
     spark = texts.sparkSession
-    standing = levels(texts, width)
+    standing = levels(counted)
     for _ in range(PASSES):
         prefixes = _prefixes_of(texts, width, share, standing)
-        crowded = _crowded_cells(prefixes)
+        crowded, found = _crowded(prefixes)
         if not len(crowded):
             break
-        standing[crowded] = np.maximum(standing[crowded], 1)
+        standing[crowded] = np.maximum(standing[crowded], found)
         release(spark, prefixes)
     else:
         prefixes = _prefixes_of(texts, width, share, standing)
@@ -304,33 +337,43 @@ def link_components(texts: DataFrame, width: int, share: int) -> DataFrame:
     regions = park(_region_rows(prefixes, share), "regions")
     release(spark)
 
-    def links_among(pairs: DataFrame) -> DataFrame:
+    def links_among(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         likely = park(_plausible(pairs, prefixes, share), "likely")
         if likely.isEmpty():
             return likely
         release(spark)
-        sets = _sets_of(texts, _ends(likely), width)
+        own = sets is None and _sets_of(texts, _ends(likely), width)
         release(spark)
-        found = park(_measured(likely, sets, share).filter("linked").select("u", "v"), "links")
-        release(spark, likely, sets)
+        found = park(_measured(likely, sets or own, share).filter("linked").select("u", "v"), "links")
+        release(spark, likely, *([own] if own else []))
         return found
 
     beside = regions.filter("node <> pivot_node")
     links = links_among(beside.filter(_may_start("", "pivot_", share)).select(*_pairs(F.col("node"), F.col("pivot_node"))).distinct())
     labels = park(components(links), "labels")
-    rows = park(_undecided(_labelled(beside.select("region", "node", "n", "rest"), labels)).drop("k"), "undecided-rows")
+    columns = ["region", "node", "n", "rest", "component"]
+    rows = park(_undecided(_labelled(beside.select(*columns[:-1]), labels)).select(*columns), "undecided-rows")
     release(spark, regions)
     left = park(_undecided(_one_of_equal(rows)), "undecided")
     release(spark, rows)
+    if left.isEmpty():
+        return components(links)
+    sets = _sets_of(texts, left.select("node").distinct(), width)
+    release(spark)
+    for turn in range(TURNS):
+        tries = park(_tries(left.filter(F.col("k") > SMALL) if turn else left, share, turn), "tries")
+        found = park(_measured(tries, sets, share).filter("linked").select("u", "v"), "links")
+        if found.isEmpty():
+            break
+        links = links.unionAll(found)
+        labels = park(components(links), "labels")
+        before, left = left, park(_undecided(_labelled(left.select(*columns[:-1]), labels)), "undecided")
+        release(spark, before)
     while True:
-        small = left.filter(F.col("k") <= SMALL)
-        a, b = small.alias("a"), small.alias("b")
-        met = a.join(b, F.col("a.region") == F.col("b.region")).filter(
-            (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-        ).filter(_may_start("a.", "b.", share))
-        pairs = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-        links = links.unionAll(links_among(pairs))
-        large = left.filter(F.col("k") > SMALL)
+        few = F.col("stuck") | (2 * F.col("apart") <= SMALL * F.col("k"))
+        left = left if "stuck" in left.columns else left.withColumn("stuck", F.lit(False))
+        links = links.unionAll(links_among(_pairs_apart(left.filter(few), share), sets))
+        large = left.filter(~few)
         if large.isEmpty():
             break
         # the pivots of a large region: the least nodes of different components
@@ -339,9 +382,7 @@ def link_components(texts: DataFrame, width: int, share: int) -> DataFrame:
         pivots = park(heads.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= PIVOTS).select("region", "pivot"), "pivots")
         beside = large.join(pivots, "region").filter("node <> pivot")
         tried = park(beside.select(*_pairs(F.col("node"), F.col("pivot"))).distinct(), "tried")
-        sets = _sets_of(texts, _ends(tried), width)
         distances = park(_measured(tried, sets, share), "distances")
-        release(spark, sets)
         links = links.unionAll(distances.filter("linked").select("u", "v"))
         labels = park(components(links), "labels")
         reach = beside.select("region", "node", "n", "rest", "k", "pivot", *_pairs(F.col("node"), F.col("pivot"))).join(distances, ["u", "v"])
@@ -358,9 +399,8 @@ def link_components(texts: DataFrame, width: int, share: int) -> DataFrame:
         marked = split.join(stuck, "region")
         whole = marked.filter("stuck").select("region", "node", "n", "rest").distinct()
         parts = marked.filter("not stuck").select(F.col("part").alias("region"), "node", "n", "rest")
-        columns = ["region", "node", "n", "rest", "component"]
-        apart = _undecided(_labelled(parts, labels)).select(*columns, "k")
-        kept = _undecided(_labelled(whole, labels)).select(*columns, F.lit(0).cast("long").alias("k"))
+        apart = _undecided(_labelled(parts, labels)).withColumn("stuck", F.lit(False))
+        kept = _undecided(_labelled(whole, labels)).withColumn("stuck", F.lit(True))
         left = park(apart.unionAll(kept), "undecided")
     return components(links)
 
@@ -376,8 +416,10 @@ def join_documents(docs: DataFrame, width: int = 5, share: int = 80) -> DataFram
     """
     tasks_import(docs.sparkSession)
     source = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = park(source.mapInArrow(partial(_nodes, width=width), "row_key long, doc_id long, n long, node long"), "nodes")
-    labels = park(link_components(source, width, share), "components")
+    found = park(source.mapInArrow(partial(_nodes, width=width), "row_key long, doc_id long, n long, node long, shingle long, sets long"), "nodes")
+    rows = found.filter("sets is null").drop("shingle", "sets")
+    counted = found.filter("sets is not null").select("shingle", "sets")
+    labels = park(link_components(source, counted, width, share), "components")
     least = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = _labelled(least, labels)
     reached = named.groupBy("component").agg(F.min("least").alias("component_id"))
